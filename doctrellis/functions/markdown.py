@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .text import _col, all_matches, lines_of, ltrim_u, rtrim_u, trim_u
+from .text import _col, all_matches, let, lines_of, ltrim_u, rtrim_u, trim_u
 
 
 def sorted_set(array: Column) -> Column:
@@ -42,14 +42,22 @@ def _is_rule(line: Column) -> Column:
     return trim_u(line) == "---"
 
 
+def _before(array: Column, position: Column) -> Column:
+    """Elements in front of a 1-based position."""
+    return F.slice(array, 1, F.greatest(position - 1, F.lit(0)))
+
+
 def frontmatter_lines(lines: Column) -> Column:
     """Lines between the opening rule on line 1 and the next rule (or the end)."""
-    rest = F.slice(lines, 2, F.size(lines))
-    close = F.array_position(F.transform(rest, _is_rule), True)
-    body = F.when(close > 0, F.slice(rest, 1, close - 1)).otherwise(rest)
-    return F.when((F.size(lines) > 0) & _is_rule(F.get(lines, F.lit(0))), body).otherwise(
-        F.array().cast("array<string>")
-    )
+    def body(all_lines: Column) -> Column:
+        rest = F.slice(all_lines, 2, F.size(all_lines))
+        inside = let(
+            F.array_position(F.transform(rest, _is_rule), True),
+            lambda close: F.when(close > 0, _before(rest, close)).otherwise(rest),
+        )
+        return F.when(_is_rule(F.get(all_lines, F.lit(0))), inside).otherwise(F.array().cast("array<string>"))
+
+    return let(lines, body)
 
 
 def frontmatter_keys(lines: Column) -> Column:
@@ -69,13 +77,15 @@ def frontmatter_map(lines: Column) -> Column:
         ),
         lambda p: p["key"] != "",
     )
-    later = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(
-            F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]
-        ),
-    )
-    return F.map_from_entries(later)
+
+    def last_wins(entries: Column) -> Column:
+        names = F.transform(entries, lambda p: p["key"])
+        return F.filter(
+            entries,
+            lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(entries)), p["key"]),
+        )
+
+    return F.map_from_entries(let(pairs, last_wins))
 
 
 def artifact_ids(text: Column | str) -> Column:
@@ -100,14 +110,16 @@ def mermaid_count(text: Column | str) -> Column:
 
 def structural_properties(text: Column | str) -> Column:
     """Struct of sorted fact sets and counts for one document."""
-    lines = lines_of(text)
-    return F.struct(
-        headings(lines).alias("headings"),
-        frontmatter_keys(lines).alias("frontmatter_keys"),
-        artifact_ids(text).alias("ids"),
-        unreplaced_tokens(text).alias("unreplaced_tokens"),
-        F.size(F.filter(lines, is_table_row)).cast("bigint").alias("table_row_count"),
-        mermaid_count(text).alias("mermaid_count"),
+    return let(
+        lines_of(text),
+        lambda lines: F.struct(
+            headings(lines).alias("headings"),
+            frontmatter_keys(lines).alias("frontmatter_keys"),
+            artifact_ids(text).alias("ids"),
+            unreplaced_tokens(text).alias("unreplaced_tokens"),
+            F.size(F.filter(lines, is_table_row)).cast("bigint").alias("table_row_count"),
+            mermaid_count(text).alias("mermaid_count"),
+        ),
     )
 
 
@@ -145,25 +157,31 @@ def set_frontmatter_value(text: Column | str, key: str, value: Column | str) ->
     """
     text = _col(text)
     value = F.lit(value) if isinstance(value, str) else value
-    lines = lines_of(text)
-    rest = F.slice(lines, 2, F.size(lines))
-    close = F.array_position(F.transform(rest, _is_rule), True)
-    block = F.slice(rest, 1, F.greatest(close - 1, F.lit(0)))
-    tail = F.slice(rest, F.greatest(close + 1, F.lit(1)), F.size(rest))
-    new_line = F.array(F.concat(F.lit(f"{key}: "), value))
-    at = F.array_position(F.transform(block, lambda x: F.rlike(x, F.lit(rf"(?U)^\s*{key}\s*:"))), True)
-    new_block = F.when(
-        at > 0,
-        F.concat(
-            F.slice(block, 1, F.greatest(at - 1, F.lit(0))),
-            new_line,
-            F.slice(block, at + 1, F.size(block)),
-        ),
-    ).otherwise(F.concat(block, new_line))
-    rule = F.array(F.lit("---"))
-    rebuilt = F.concat(
-        F.array_join(F.concat(rule, new_block, rule, tail), "\n"),
-        F.when(F.endswith(text, F.lit("\n")), "\n").otherwise(""),
-    )
-    has_block = (F.size(lines) > 0) & _is_rule(F.get(lines, F.lit(0))) & (close > 0)
-    return F.when(has_block, rebuilt).otherwise(text)
+    rule, new_line = F.array(F.lit("---")), F.array(F.concat(F.lit(f"{key}: "), value))
+    ending = F.when(F.endswith(text, F.lit("\n")), "\n").otherwise("")
+
+    def with_key(block: Column) -> Column:
+        return let(
+            F.array_position(F.transform(block, lambda x: F.rlike(x, F.lit(rf"(?U)^\s*{key}\s*:"))), True),
+            lambda at: F.when(
+                at > 0, F.concat(_before(block, at), new_line, F.slice(block, (at + 1).cast("int"), F.size(block)))
+            ).otherwise(F.concat(block, new_line)),
+        )
+
+    def rebuilt(rest: Column, close: Column) -> Column:
+        block = let(_before(rest, close), with_key)
+        tail = F.slice(rest, (close + 1).cast("int"), F.size(rest))
+        return F.concat(F.array_join(F.concat(rule, block, rule, tail), "\n"), ending)
+
+    def body(lines: Column) -> Column:
+        return let(
+            F.slice(lines, 2, F.size(lines)),
+            lambda rest: let(
+                F.array_position(F.transform(rest, _is_rule), True),
+                lambda close: F.when(
+                    _is_rule(F.get(lines, F.lit(0))) & (close > 0), rebuilt(rest, close)
+                ).otherwise(text),
+            ),
+        )
+
+    return let(lines_of(text), body)

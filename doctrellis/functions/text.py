@@ -26,10 +26,20 @@ def trim_u(c: Column | str) -> Column:
     return rtrim_u(ltrim_u(c))
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it many times in ``body``.
+
+    Expressions inside higher-order functions are not shared by the optimizer; a lambda
+    variable is computed once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines_of(c: Column | str) -> Column:
     """Array of lines; a final line break does not open another, empty line."""
-    parts = F.split(_col(c), K.LINE_BREAK, -1)
-    return F.slice(parts, 1, F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0))
+    text = _col(c)
+    closed = F.regexp_replace(text, f"(?:{K.LINE_BREAK})\\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(closed, K.LINE_BREAK, -1))
 
 
 def all_matches(c: Column | str, pattern: str, group: int = 1) -> Column:

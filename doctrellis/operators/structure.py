@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import markdown as M
-from ..functions.text import lines_of, trim_u
+from ..functions.text import let, lines_of, trim_u
 from .facts import artifact_files
 
 EXTRACTED = ("heading", "frontmatter_key", "id", "unreplaced_token")
@@ -27,15 +27,19 @@ def set_facts(docs: DataFrame, doc_set: str = "doc_set") -> DataFrame:
     def tag(kind: str, values):
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-    lines = lines_of("text")
-    masked = F.transform(
-        M.headings(lines), lambda h: trim_u(F.regexp_replace(h, K.ISO_DATE, "\\" + K.DATE_MASK))
-    )
-    found = F.concat(
-        tag("heading", masked),
-        tag("frontmatter_key", M.frontmatter_keys(lines)),
-        tag("id", M.artifact_ids("text")),
-        tag("unreplaced_token", M.unreplaced_tokens("text")),
+    def masked(lines):
+        return F.transform(
+            M.headings(lines), lambda h: trim_u(F.regexp_replace(h, K.ISO_DATE, "\\" + K.DATE_MASK))
+        )
+
+    found = let(
+        lines_of("text"),
+        lambda lines: F.concat(
+            tag("heading", masked(lines)),
+            tag("frontmatter_key", M.frontmatter_keys(lines)),
+            tag("id", M.artifact_ids("text")),
+            tag("unreplaced_token", M.unreplaced_tokens("text")),
+        ),
     )
     return (
         artifact_files(docs).select(F.col(doc_set).alias("doc_set"), F.explode(found).alias("f"))
@@ -105,3 +109,51 @@ def refresh_golden(old: DataFrame, actual: DataFrame) -> DataFrame:
         F.col("_new").isNull() | ~F.col("kind").isin(*EXTRACTED)
     )
     return kept.select("doc_set", "kind", "value").unionByName(actual.select("doc_set", "kind", "value"))
+
+
+def passages_found(items: DataFrame, docs: DataFrame, inner_words: int = 4) -> DataFrame:
+    """``(item_id, contained)``: whether each passage occurs word for word in any document.
+
+    ``items(item_id, text)`` meet ``docs(doc_id, text)`` on a key every document holding
+    the passage must have, then the pair is checked on the full texts.  The key is a run of
+    inner words (the first and last word may touch other text in the document); a passage
+    of three to five words uses one inner word, a shorter one its first two characters.
+    """
+    white = r"(?U)\s+"
+    words = F.split("text", white)
+    sized = items.select("item_id", "text", words.alias("_w"), F.size(words).alias("_n"))
+    word_docs = docs.select("doc_id", words.alias("_w"))
+
+    def runs(n: int):
+        starts = F.sequence(F.lit(1), F.size("_w") - (n - 1))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(F.col("_w"), i, n), " ")))
+
+    def pieces(n: int):
+        starts = F.sequence(F.lit(1), F.length("text") - (n - 1))
+        return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("text"), i, F.lit(n))))
+
+    enough = inner_words + 2
+    tiers = [
+        (sized.filter(F.col("_n") >= enough), F.array_join(F.slice("_w", 2, inner_words), " "),
+         word_docs.filter(F.size("_w") >= inner_words), runs(inner_words)),
+        (sized.filter((F.col("_n") >= 3) & (F.col("_n") < enough)), F.get("_w", F.lit(1)), word_docs, F.array_distinct("_w")),
+        (sized.filter((F.col("_n") < 3) & (F.length("text") >= 2)), F.substring("text", 1, 2), docs.filter("length(text) >= 2"), pieces(2)),
+        (sized.filter((F.col("_n") < 3) & (F.length("text") < 2)), F.col("text"), docs.filter("length(text) >= 1"), pieces(1)),
+    ]
+    pairs = None
+    for tier_items, key, tier_docs, keys in tiers:
+        # Explode only keys: the text stays behind and is fetched for candidates alone.
+        found = tier_docs.select("doc_id", F.explode(keys).alias("_key")).join(
+            tier_items.select("item_id", key.alias("_key")), "_key"
+        ).select("doc_id", "item_id")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    hits = (
+        pairs.distinct()
+        .join(docs.select("doc_id", F.col("text").alias("_doc")), "doc_id")
+        .join(items.select("item_id", F.col("text").alias("_passage")), "item_id")
+        .filter(F.contains("_doc", F.col("_passage")))
+        .select("item_id").distinct().withColumn("_hit", F.lit(True))
+    )
+    return items.select("item_id").join(hits, "item_id", "left").select(
+        "item_id", F.coalesce("_hit", F.lit(False)).alias("contained")
+    )

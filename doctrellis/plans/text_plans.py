@@ -8,7 +8,9 @@ from .. import constants as K
 from ..functions import markdown as M
 from ..functions.text import all_matches, lines_of, mask_dates, normalize_heading
 from ..functions.values import clip
-from ..operators import lint, merge, trace
+from ..operators import facts, lint, merge, references, report, structure, trace
+from ..operators.ordered import Previous, ordered_scan
+from .corpus import lines, say
 from .registry import query, table
 
 # Lines of a text column in DuckDB; the texts break lines with line feeds only.
@@ -123,44 +125,9 @@ def table_columns(spark, folder):
 @query("golden_subset", """
 SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS contained FROM benchmark b""")
 def golden_subset(spark, folder):
-    """Which benchmark passages occur in any document, word for word.
-
-    A passage can only occur where its inner words (all but the first and last, which may
-    touch other text) occur as whole words in the same order.  Up to four of them make an
-    equi-join key; documents that share a key are then checked on the full text.
-    """
-    span = 4
-    items = table(spark, folder, "benchmark").withColumn("_w", F.split("text", r"[ \n]+"))
-    items = items.withColumn("_n", F.least(F.lit(span), F.size("_w") - 2))
-    anchors = items.filter("_n >= 1").select(
-        "item_id", "_n", F.array_join(F.slice("_w", 2, F.greatest("_n", F.lit(1))), " ").alias("anchor")
-    )
-    docs = table(spark, folder, "documents")
-    words = docs.select("doc_id", F.split("text", r"[ \n]+").alias("_w"))
-    keys = [
-        words.filter(F.size("_w") >= n).select(
-            "doc_id",
-            F.explode(F.array_distinct(F.transform(
-                F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice(F.col("_w"), i, n), " ")
-            ))).alias("anchor"),
-        )
-        for n in (span,)
-    ]
-    shingles = keys[0]
-    # Passages of fewer than six words would need shorter keys; they are matched on those.
-    short = anchors.filter(F.col("_n") < span)
-    candidates = shingles.join(anchors.filter(F.col("_n") == span).select("item_id", "anchor"), "anchor").select("doc_id", "item_id")
-    short_words = words.select("doc_id", F.explode(F.array_distinct("_w")).alias("anchor"))
-    first_word = short.select("item_id", F.split_part("anchor", F.lit(" "), F.lit(1)).alias("anchor"))
-    candidates = candidates.unionByName(short_words.join(first_word, "anchor").select("doc_id", "item_id")).distinct()
-    found = (
-        candidates.join(docs.select("doc_id", F.col("text").alias("_doc")), "doc_id")
-        .join(items.select("item_id", "text"), "item_id")
-        .filter(F.contains("_doc", F.col("text")))
-        .select("item_id").distinct().withColumn("_hit", F.lit(True))
-    )
-    return items.select("item_id").join(found, "item_id", "left").select(
-        "item_id", F.coalesce("_hit", F.lit(False)).alias("contained")
+    """Which benchmark passages occur in any document, word for word."""
+    return structure.passages_found(
+        table(spark, folder, "benchmark"), table(spark, folder, "documents").select("doc_id", "text")
     )
 
 
@@ -196,8 +163,6 @@ def dup_ids(spark, folder):
 WITH c AS (SELECT conv_id, turn, length(text) AS n, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
 SELECT conv_id, turn, p AS old_size, n AS new_size, abs(n - p) > p * 0.2 AS large FROM c WHERE p IS NOT NULL""")
 def change_magnitude(spark, folder):
-    from ..operators.ordered import Previous, ordered_scan
-
     turns = table(spark, folder, "conversations").select("conv_id", "turn", F.length("text").alias("new_size"))
     scanned = ordered_scan(turns, ["conv_id"], ["turn"], {"old_size": Previous(F.col("new_size"))})
     return scanned.filter("old_size is not null").select(
@@ -210,30 +175,24 @@ SELECT doc_id, line, upper(lang) || '_KEY' AS key, 'v' || n_chars AS value
 FROM documents, unnest([2, 3]) AS u(line)""")
 def config_values(spark, folder):
     """``KEY: value`` lines in either decoration, from a block derived per document."""
-    from ..operators.facts import config_pairs
-    from .corpus import lines, say
-
     docs = table(spark, folder, "documents").withColumn("k", F.upper("lang"))
     block = docs.select(
         F.col("doc_id").cast("string").alias("path"),
         lines("```", say("{}_KEY: v{}   # note", "k", "n_chars"), say("- `{}_KEY` = `v{}`", "k", "n_chars"), "not a pair", "```").alias("text"),
     )
-    return config_pairs(block).select(F.col("path").cast("bigint").alias("doc_id"), "line", "key", "value")
+    return facts.config_pairs(block).select(F.col("path").cast("bigint").alias("doc_id"), "line", "key", "value")
 
 
 @query("config_typed", """
 SELECT doc_id, n_chars / 4.0 AS LIMIT_USD, n_chars::INTEGER AS MAX_STEPS FROM documents""")
 def config_typed(spark, folder):
     """Typed settings: a later bad number does not undo an earlier good one."""
-    from ..operators.facts import config_pairs, typed_config
-    from .corpus import lines, say
-
     docs = table(spark, folder, "documents").withColumn("q", F.col("n_chars") / 4)
     block = docs.select(
         F.col("doc_id").cast("string").alias("path"),
         lines(say("LIMIT_USD: {}", "q"), "LIMIT_USD: many", say("MAX_STEPS: {}", "n_chars"), "MAX_STEPS: 1.5").alias("text"),
     )
-    return typed_config(config_pairs(block), ["LIMIT_USD"], ["MAX_STEPS"]).select(
+    return facts.typed_config(facts.config_pairs(block), ["LIMIT_USD"], ["MAX_STEPS"]).select(
         F.col("path").cast("bigint").alias("doc_id"), "LIMIT_USD", "MAX_STEPS"
     )
 
@@ -243,13 +202,10 @@ WITH s AS (SELECT DISTINCT lang || '.py' AS script, source AS sub FROM documents
 SELECT script, sub AS subcommand, '--from-' || sub AS flag FROM s""")
 def help_catalogue(spark, folder):
     """Subcommands and flags read back out of help text, one help page per script and source."""
-    from ..operators.references import parse_help
-    from .corpus import say
-
     pairs = table(spark, folder, "documents").select(F.concat("lang", F.lit(".py")).alias("script"), "source").distinct()
     top = pairs.select("script", F.lit("").alias("subcommand"), say("usage: {} [-h] {{},x-only}", "script", "source").alias("text"))
     sub = pairs.select("script", F.col("source").alias("subcommand"), say("usage: {} [--from-{}]", "script", "source").alias("text"))
-    _, subs, flags = parse_help(top.unionByName(sub))
+    _, subs, flags = references.parse_help(top.unionByName(sub))
     return flags.join(subs, ["script", "subcommand"], "left_semi").select("script", "subcommand", "flag")
 
 
@@ -258,9 +214,7 @@ SELECT p_partkey, c AS "column", CASE c WHEN 'p_name' THEN p_name WHEN 'p_brand'
  p_partkey || chr(9) || c || chr(9) || (CASE c WHEN 'p_name' THEN p_name WHEN 'p_brand' THEN p_brand ELSE p_size::VARCHAR END) AS tsv
 FROM part, unnest(['p_name', 'p_brand', 'p_size']) AS u(c)""")
 def cells_tsv(spark, folder):
-    from ..operators.report import unpivot_cells
-
-    return unpivot_cells(table(spark, folder, "part"), "p_partkey", ["p_name", "p_brand", "p_size"])
+    return report.unpivot_cells(table(spark, folder, "part"), "p_partkey", ["p_name", "p_brand", "p_size"])
 
 
 @query("snapshot_diff", """
