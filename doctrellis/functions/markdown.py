@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .text import _col, all_matches, let, lines_of, ltrim_u, rtrim_u, trim_u
+from .text import _col, all_matches, first_match, let, lines_of, normalize_heading, trim_u
 
 
 def sorted_set(array: Column) -> Column:
@@ -15,31 +15,41 @@ def sorted_set(array: Column) -> Column:
 
 def lint_heading(line: Column | str) -> Column:
     """Title of a level-2-or-deeper heading line, NULL for other lines (not normalised)."""
-    title = F.regexp_extract(_col(line), K.LINT_HEADING, 1)
-    return F.when(title != "", title)
+    return first_match(line, K.LINT_HEADING)
 
 
 def any_heading(line: Column | str) -> Column:
     """Title of a level-1-to-6 heading line, NULL for other lines."""
-    title = F.regexp_extract(_col(line), K.ANY_HEADING, 1)
-    return F.when(title != "", trim_u(title))
+    return first_match(line, K.ANY_HEADING)
+
+
+def _marked(lines: Column) -> Column:
+    """Lines that start with a heading mark: a cheap test in front of the patterns."""
+    return F.filter(lines, lambda x: F.startswith(x, F.lit("#")))
 
 
 def headings(lines: Column) -> Column:
-    return sorted_set(F.array_compact(F.transform(lines, any_heading)))
+    return sorted_set(F.array_compact(F.transform(_marked(lines), lambda x: trim_u(any_heading(x)))))
+
+
+def lint_titles(lines: Column) -> Column:
+    """Distinct level-2-or-deeper headings in compare form."""
+    return F.array_distinct(
+        F.array_compact(F.transform(_marked(lines), lambda x: normalize_heading(lint_heading(x))))
+    )
 
 
 def is_table_row(line: Column | str) -> Column:
-    line = _col(line)
-    return F.startswith(ltrim_u(line), F.lit("|")) & F.endswith(rtrim_u(line), F.lit("|"))
+    """A pipe is the first and the last character that is not white space."""
+    return F.rlike(_col(line), F.lit(r"(?U)^\s*\|(?:.*\|)?\s*$"))
 
 
 def is_fence(line: Column | str) -> Column:
-    return F.startswith(ltrim_u(line), F.lit(K.CODE_FENCE))
+    return F.rlike(_col(line), F.lit(r"(?U)^\s*" + K.CODE_FENCE))
 
 
 def _is_rule(line: Column) -> Column:
-    return trim_u(line) == "---"
+    return F.rlike(line, F.lit(r"(?U)^\s*---\s*$"))
 
 
 def _before(array: Column, position: Column) -> Column:

@@ -36,10 +36,20 @@ def let(value: Column, body) -> Column:
 
 
 def lines_of(c: Column | str) -> Column:
-    """Array of lines; a final line break does not open another, empty line."""
+    """Array of lines; a final line break does not open another, empty line.
+
+    Nearly all texts break lines with line feeds alone; those take a plain split, the
+    pattern is left to texts that hold any other line break.
+    """
     text = _col(c)
+    feed = F.lit("\n")
+    body = F.when(F.endswith(text, feed), F.left(text, F.length(text) - 1)).otherwise(text)
     closed = F.regexp_replace(text, f"(?:{K.LINE_BREAK})\\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(closed, K.LINE_BREAK, -1))
+    return (
+        F.when(text == "", F.array().cast("array<string>"))
+        .when(~F.rlike(text, F.lit(K.OTHER_BREAK)), F.split(body, "\n", -1))
+        .otherwise(F.split(closed, K.LINE_BREAK, -1))
+    )
 
 
 def all_matches(c: Column | str, pattern: str, group: int = 1) -> Column:
@@ -47,9 +57,8 @@ def all_matches(c: Column | str, pattern: str, group: int = 1) -> Column:
 
 
 def first_match(c: Column | str, pattern: str, group: int = 1) -> Column:
-    """First capture, or NULL when the pattern does not match."""
-    found = F.regexp_extract(_col(c), pattern, group)
-    return F.when(found != "", found)
+    """First capture, or NULL when the pattern does not match (evaluates the pattern once)."""
+    return F.get(all_matches(c, pattern, group), F.lit(0))
 
 
 def normalize_heading(c: Column | str) -> Column:

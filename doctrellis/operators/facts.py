@@ -25,17 +25,24 @@ def md_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def holding(docs: DataFrame, *marks: str) -> DataFrame:
+    """Documents that contain any of the marks: a byte search that spares the others the split."""
+    test = F.lit(False)
+    for mark in marks:
+        test = test | F.contains("text", F.lit(mark))
+    return docs.filter(test)
+
+
 def lint_headings(docs: DataFrame) -> DataFrame:
     """Distinct ``(path, heading)`` of level-2-or-deeper headings in compare form."""
-    titles = F.array_compact(
-        F.transform(lines_of("text"), lambda x: normalize_heading(M.lint_heading(x)))
-    )
-    return docs.select("path", F.explode(F.array_distinct(titles)).alias("heading"))
+    return docs.select("path", F.explode(M.lint_titles(lines_of("text"))).alias("heading"))
 
 
 def headings(docs: DataFrame) -> DataFrame:
     """``(path, line, level, heading)`` for every heading of level 1 to 6, dates masked."""
-    lines = md_lines(docs).withColumn("title", M.any_heading("text")).filter("title is not null")
+    lines = md_lines(docs).filter(F.startswith("text", F.lit("#"))).withColumn(
+        "title", trim_u(M.any_heading("text"))
+    ).filter("title is not null")
     return lines.select(
         "path", "line",
         F.length(F.regexp_extract("text", "^(#+)", 1)).alias("level"),
@@ -49,8 +56,9 @@ def resolved_refs(docs: DataFrame, home_prefix: str, repo_prefix: str) -> DataFr
     Backward as-of: the nearest resolvable Read on the same or an earlier line; only the
     first Read of a line counts; without one the document itself is meant.
     """
-    lines = md_lines(docs).filter(
-        F.rlike("text", F.lit(K.APPLY_REF)) | F.rlike("text", F.lit(K.READ_TARGET))
+    lines = md_lines(holding(docs, "apply")).filter(
+        (F.contains("text", F.lit("apply")) & F.rlike("text", F.lit(K.APPLY_REF)))
+        | (F.contains("text", F.lit("Read")) & F.rlike("text", F.lit(K.READ_TARGET)))
     )
     reads = resolve_path(first_match("text", K.READ_TARGET), home_prefix, repo_prefix)
     so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -67,16 +75,15 @@ def resolved_refs(docs: DataFrame, home_prefix: str, repo_prefix: str) -> DataFr
 
 def agent_definitions(docs: DataFrame) -> DataFrame:
     """``(agent, path, name, has_section, tokens)``: one row per definition file."""
-    lines = lines_of("text")
-    titles = F.transform(
-        F.filter(lines, lambda x: F.startswith(trim_u(x), F.lit("### "))), lambda x: F.lower(x)
-    )
-    names = F.array_compact(F.transform(lines, lambda x: first_match(x, K.NAME_LINE)))
-    return docs.select(
+    def opens_inputs(line: Column) -> Column:
+        return F.rlike(line, F.lit(r"(?U)^\s*### ")) & F.contains(F.lower(line), F.lit(K.REQUIRED_SECTION))
+
+    named = F.filter("_lines", lambda x: F.rlike(x, F.lit(K.NAME_LINE)))
+    return docs.select("path", "text", lines_of("text").alias("_lines")).select(
         stem("path").alias("agent"),
         "path",
-        F.get(names, F.lit(0)).alias("name"),
-        F.exists(titles, lambda t: F.contains(t, F.lit(K.REQUIRED_SECTION))).alias("has_section"),
+        first_match(F.get(named, F.lit(0)), K.NAME_LINE).alias("name"),
+        F.exists("_lines", opens_inputs).alias("has_section"),
         M.quoted_keys("text").alias("tokens"),
     )
 
@@ -87,7 +94,10 @@ def agent_inputs(docs: DataFrame) -> DataFrame:
     The latest ``### `` heading decides how bullets are read; keys come only from the part
     before the first colon.
     """
-    lines = md_lines(docs).withColumn("bare", trim_u("text"))
+    inputs = docs.filter(
+        F.contains(F.lower("text"), F.lit(K.REQUIRED_SECTION)) | F.contains(F.lower("text"), F.lit(K.OPTIONAL_SECTION))
+    )
+    lines = md_lines(inputs).withColumn("bare", trim_u("text"))
     is_title = F.startswith("bare", F.lit("### "))
     title = F.lower("bare")
     section = (
@@ -115,16 +125,23 @@ def agent_calls(docs: DataFrame) -> DataFrame:
     """``(path, line, agent, parsed, passed_required, passed_optional)`` per call line.
 
     The payload is the first code fence that opens on the call line or within the three
-    lines below it.  Fences are numbered per document, so calls and payload keys meet in
-    an equi-join on (path, fence number).
+    lines below it.  Fences are numbered per document; a call asks for the next fence, a
+    payload key belongs to the latest one, so both meet in one group per (path, fence) on
+    the partitioning the window already has: one shuffle, no join.
     """
+    # The first visible character tells most lines apart from fences and payload keys.
+    head = F.substring(F.ltrim("text"), 1, 1)
+    may_matter = F.contains("text", F.lit("subagent_type")) | F.rlike(head, F.lit(r"(?U)[A-Z`（(\s]"))
     lines = (
-        md_lines(docs)
-        .withColumn("agent", first_match("text", K.SUBAGENT))
+        md_lines(holding(docs, "subagent_type")).filter(may_matter)
         .withColumn("fence", M.is_fence("text"))
-        .withColumn("required_key", first_match("text", K.PAYLOAD_KEY))
-        .withColumn("optional_key", first_match("text", K.PAYLOAD_KEY_AFTER_CONDITION))
-        .filter("fence or agent is not null or required_key is not null or optional_key is not null")
+        .withColumn("agent", F.when(F.contains("text", F.lit("subagent_type")), first_match("text", K.SUBAGENT)))
+        .withColumn("required", F.when(~F.col("fence"), first_match("text", K.PAYLOAD_KEY)))
+        .withColumn(
+            "optional",
+            F.when(~F.col("fence") & F.col("required").isNull(), first_match("text", K.PAYLOAD_KEY_AFTER_CONDITION)),
+        )
+        .drop("text")
     )
     order = Window.partitionBy("path").orderBy("line")
     one = F.when(F.col("fence"), F.lit(1)).otherwise(F.lit(0))
@@ -137,25 +154,30 @@ def agent_calls(docs: DataFrame) -> DataFrame:
             order.rowsBetween(0, Window.unboundedFollowing)
         ),
     )
-    calls = placed.filter("agent is not null").select(
-        "path", "line", "agent",
-        (F.col("next_fence") <= F.col("line") + 3).alias("_open"),
-        (F.col("fences_before") + 1).alias("_fence_no"),
-    )
-    payload = (
-        placed.filter("not fence and fences_before > 0")
-        .groupBy("path", F.col("fences_before").alias("_fence_no"))
+    call = F.when(F.col("agent").isNotNull(), F.struct("line", "agent", "next_fence"))
+    has_key = F.col("required").isNotNull() | F.col("optional").isNotNull()
+    roles = F.array_compact(F.array(
+        F.when(call.isNotNull(), F.struct((F.col("fences_before") + 1).alias("fence_no"), call.alias("call"),
+               F.lit(None).cast("string").alias("required"), F.lit(None).cast("string").alias("optional"))),
+        F.when(has_key & (F.col("fences_before") > 0), F.struct(F.col("fences_before").alias("fence_no"),
+               F.lit(None).cast("struct<line:int,agent:string,next_fence:int>").alias("call"), "required", "optional")),
+    ))
+    met = (
+        placed.select("path", F.inline(roles))
+        .groupBy("path", "fence_no")
         .agg(
-            F.collect_set("required_key").alias("_required"),
-            F.collect_set(F.when(F.col("required_key").isNull(), F.col("optional_key"))).alias("_optional"),
+            F.collect_list("call").alias("calls"),
+            F.array_sort(F.collect_set("required")).alias("keys"),
+            F.array_sort(F.collect_set("optional")).alias("extra"),
         )
+        .select("path", "keys", "extra", F.explode("calls").alias("call"))
     )
     nothing = F.array().cast("array<string>")
-    parsed = F.coalesce("_open", F.lit(False))
-    return calls.join(payload, ["path", "_fence_no"], "left").select(
-        "path", "line", "agent", parsed.alias("parsed"),
-        F.when(parsed, F.array_sort(F.coalesce("_required", nothing))).otherwise(nothing).alias("passed_required"),
-        F.when(parsed, F.array_sort(F.coalesce("_optional", nothing))).otherwise(nothing).alias("passed_optional"),
+    parsed = F.coalesce(F.col("call.next_fence") <= F.col("call.line") + 3, F.lit(False))
+    return met.select(
+        "path", "call.line", "call.agent", parsed.alias("parsed"),
+        F.when(parsed, F.col("keys")).otherwise(nothing).alias("passed_required"),
+        F.when(parsed, F.col("extra")).otherwise(nothing).alias("passed_optional"),
     )
 
 
@@ -168,7 +190,7 @@ def script_calls(docs: DataFrame) -> DataFrame:
     # The look-ahead captures the arguments without consuming them, so a later script on
     # the same line is found as well.
     with_rest = K.SCRIPT_NAME + r"(?=([^`]*))"
-    logical = docs.select("path", F.explode(M.logical_lines("text")).alias("l")).select(
+    logical = holding(docs, ".py").select("path", F.explode(M.logical_lines("text")).alias("l")).select(
         "path", F.col("l.line").alias("line"), F.col("l.text").alias("text")
     ).filter(F.rlike("text", F.lit(K.SCRIPT_NAME)))
     found = logical.select(
@@ -199,7 +221,7 @@ def is_template(path: Column | str) -> Column:
 
 def placeholder_tokens(docs: DataFrame) -> DataFrame:
     """``(path, token, template)``; distinct per document."""
-    return docs.select(
+    return holding(docs, "{").select(
         "path", is_template("path").alias("template"), F.explode(M.placeholders("text")).alias("token")
     )
 
@@ -239,7 +261,7 @@ def tables(docs: DataFrame) -> DataFrame:
 
     Consecutive pipe lines form one table, named by the line of its header.
     """
-    rows = md_lines(docs).filter(M.is_table_row("text"))
+    rows = md_lines(holding(docs, "|")).filter(F.contains("text", F.lit("|")) & M.is_table_row("text"))
     order = Window.partitionBy("path").orderBy("line")
     grouped = rows.withColumn("_block", F.col("line") - F.row_number().over(order))
     block = Window.partitionBy("path", "_block").orderBy("line")
@@ -264,7 +286,7 @@ def table_column_errors(table_rows: DataFrame) -> DataFrame:
 
 def mermaid_blocks(docs: DataFrame) -> DataFrame:
     """``(path, block, line, text)``: the lines inside mermaid fences."""
-    lines = md_lines(docs).withColumn("fence", M.is_fence("text"))
+    lines = md_lines(holding(docs, K.MERMAID_FENCE)).withColumn("fence", M.is_fence("text"))
     order = Window.partitionBy("path").orderBy("line")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     one = F.when(F.col("fence"), F.lit(1)).otherwise(F.lit(0))

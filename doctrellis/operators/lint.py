@@ -29,20 +29,26 @@ def elements(docs: DataFrame) -> DataFrame:
 
     A parent line is NULL when a shallower element closed that parent before.
     """
-    lines = md_lines(docs).filter(
-        F.rlike("text", F.lit(r"^#{3,}\s")) | F.rlike("text", F.lit(_BOLD_LINE)) | F.rlike("text", F.lit(r"^\s*-\s+\*\*"))
+    # The first visible character decides which patterns a line is tried against.
+    head = F.substring(F.ltrim("text"), 1, 1)
+    lines = md_lines(docs).withColumn("_head", head).filter(F.col("_head").isin("#", "*", "-"))
+    is_title = F.startswith("text", F.lit("###"))
+    level = F.length(F.regexp_extract("text", r"^(#+)\s", 1))
+    staged = lines.select(
+        "path", "line", "_head", "text",
+        F.when(is_title, level).alias("_level"),
+        F.when(F.col("_head") == "-", F.rlike("text", F.lit(_SPEC))).alias("_is_spec"),
     )
-    level = F.length(F.regexp_extract("text", r"^(#+)", 1))
-    kind = F.when(level > 6, "too_deep")
+    kind = F.when(F.col("_level") > 6, "too_deep")
     for depth, name in _LEVEL_KINDS.items():
-        kind = kind.when(level == depth, name)
+        kind = kind.when(F.col("_level") == depth, name)
     kind = (
-        kind.when(F.rlike("text", F.lit(_SPEC)), "SP")
-        .when(F.rlike("text", F.lit(_ATTRIBUTE)), "attribute")
-        .when(F.rlike("text", F.lit(_BOLD_LINE)), "spec_group")
+        kind.when(F.col("_is_spec"), "SP")
+        .when((F.col("_head") == "-") & F.rlike("text", F.lit(_ATTRIBUTE)), "attribute")
+        .when((F.col("_head") == "*") & F.rlike("text", F.lit(_BOLD_LINE)), "spec_group")
     )
     title = trim_u(F.regexp_replace("text", "^#+", ""))
-    typed = lines.withColumn("kind", kind).filter("kind is not null").select(
+    typed = staged.withColumn("kind", kind).filter("kind is not null").select(
         "path", "line", "kind",
         F.when(F.col("kind").isin("UR", "SR"), F.regexp_extract(title, _ID, 1))
         .when(F.col("kind") == "SP", F.regexp_extract("text", _SPEC, 1)).alias("id"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import table
+from .registry import spread, table
 
 HOME, REPO = "~/.books/", "books/"
 
@@ -43,7 +43,7 @@ def say(template: str, *columns: str) -> Column:
 
 def order_docs(spark: SparkSession, folder: str) -> DataFrame:
     """One working document per order: references, a call with payload, a table, a diagram."""
-    orders = table(spark, folder, "orders")
+    orders = spread(table(spark, folder, "orders"))
     mapping = F.create_map(*[F.lit(x) for pair in SEGMENT_OF_PRIORITY.items() for x in pair])
     orders = orders.withColumn("seg", F.try_element_at(mapping, F.col("o_orderpriority"))).withColumn(
         "day", F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -102,18 +102,18 @@ def customer_docs(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     home = F.when(F.col("c_mktsegment") == "MACHINERY", "archive").otherwise("books")
-    return table(spark, folder, "customer").select(
+    return spread(table(spark, folder, "customer")).select(
         F.concat(home, say("/customer/c{}.md", "c_custkey")).alias("path"), text.alias("text")
     )
 
 
 def template_docs(spark: SparkSession, folder: str) -> DataFrame:
     """A template per part with its placeholder, and a note per line item naming parts sent back."""
-    templates = table(spark, folder, "part").select(
+    templates = spread(table(spark, folder, "part")).select(
         say("skills/part/templates/{}.md", "p_partkey").alias("path"),
         say("size {} slot {P_{}} in {DB}", "p_size", "p_partkey").alias("text"),
     )
-    notes = table(spark, folder, "lineitem").select(
+    notes = spread(table(spark, folder, "lineitem")).select(
         say("skills/return/{}-{}.md", "l_orderkey", "l_linenumber").alias("path"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45), say("sent back {P_{}}", "l_partkey")).otherwise(F.lit("kept")).alias("text"),
     )
@@ -126,7 +126,7 @@ def run_docs(spark: SparkSession, folder: str) -> DataFrame:
         say("Run `{}.py u{} \\", "event_type", "user_id"),
         F.concat(F.lit("  --k"), F.get_json_object("props", "$.k"), F.lit(" --amount 1` now")),
     )
-    return table(spark, folder, "events").select(say("skills/run/{}.md", "event_id").alias("path"), text.alias("text"), "ts")
+    return spread(table(spark, folder, "events")).select(say("skills/run/{}.md", "event_id").alias("path"), text.alias("text"), "ts")
 
 
 def requirement_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,12 +153,12 @@ def requirement_docs(spark: SparkSession, folder: str) -> DataFrame:
         "|---|---|---|---|",
         say("| UR-{} | SR-{}-001 | SP-{}-001, SP-{}-002 | |", "o_custkey", "o_orderkey", "o_orderkey", "o_orderkey"),
     )
-    return table(spark, folder, "orders").select(say("req/{}.md", "o_orderkey").alias("path"), text.alias("text"))
+    return spread(table(spark, folder, "orders")).select(say("req/{}.md", "o_orderkey").alias("path"), text.alias("text"))
 
 
 def source_files(spark: SparkSession, folder: str) -> DataFrame:
     """One source file per customer and per order; orders call customers, customers use nations."""
-    customers = table(spark, folder, "customer").select(
+    customers = spread(table(spark, folder, "customer")).select(
         say("src/customer/{}.py", "c_custkey").alias("path"),
         lines(
             say("# uses nation_{}", "c_nationkey"),
@@ -167,7 +167,7 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
             say("    return rate_{}", "c_custkey"),
         ).alias("text"),
     )
-    orders = table(spark, folder, "orders").select(
+    orders = spread(table(spark, folder, "orders")).select(
         say("src/order/{}.py", "o_orderkey").alias("path"),
         lines(say("def order_{}():", "o_orderkey"), say("    return customer_{}(1)", "o_custkey")).alias("text"),
     )
