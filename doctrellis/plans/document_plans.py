@@ -390,3 +390,53 @@ SELECT 'src/customer/' || c_custkey || '.py' AS path, 1 AS line FROM customer"""
 def comment_lines(spark, folder):
     rows = facts.md_lines(corpus.source_files(spark, folder))
     return rows.filter(facts.is_comment_line("path", "text")).select("path", "line")
+
+
+@query("flat_requirements", f"""{_REQ}
+SELECT path, 1 AS line, CASE WHEN st = 'P' THEN st ELSE '＜' || st || '＞' END AS category, NULL AS sp, '' AS reason FROM r
+UNION ALL SELECT path, 2, NULL, NULL, CASE WHEN pr = '5-LOW' THEN '' ELSE pr END FROM r
+UNION ALL SELECT path, 4 + ax, NULL, NULL, '' FROM r
+UNION ALL SELECT path, 5 + ax, NULL, NULL, CASE WHEN pr = '1-URGENT' THEN 'late' ELSE '' END FROM r
+UNION ALL SELECT path, 6 + ax + rs, NULL, NULL, '' FROM r
+UNION ALL SELECT path, 7 + ax + rs, NULL, ns || 'SP-' || k || '-001.001', '' FROM r
+UNION ALL SELECT path, 8 + ax + rs, NULL, ns || 'SP-' || k || '-001.002', '' FROM r WHERE st = 'F'
+UNION ALL SELECT path, 8 + ax + rs, NULL, NULL, '' FROM r WHERE st = 'P'""")
+def flat_requirements(spark, folder):
+    from ..sources.sinks import flat_requirements as flat
+
+    return flat(lint.elements(corpus.requirement_docs(spark, folder))).select("path", "line", "category", "sp", "reason")
+
+
+@query("hit_filter_audit", """
+SELECT 'customer' AS kind, 'comment' AS reason, count(*) AS n FROM customer
+UNION ALL SELECT 'customer', 'recorded', 3 * count(*) FROM customer UNION ALL SELECT 'order', 'recorded', 2 * count(*) FROM orders""")
+def hit_filter_audit(spark, folder):
+    """Comment lines are set aside with a reason, never silently dropped."""
+    rows = facts.md_lines(corpus.source_files(spark, folder))
+    reason = F.when(facts.is_comment_line("path", "text"), "comment").otherwise("recorded")
+    return rows.groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("kind"), reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("golden_json_round_trip", f"""
+SELECT 'skills/order/' || o_orderkey || '.md' AS path, 3 AS headings, 2 AS keys, 3 AS ids, 3 + {_EXTRA} AS table_row_count FROM orders""")
+def golden_json_round_trip(spark, folder):
+    """Profiles written as JSON objects and read back with every member optional."""
+    from ..sources.files import GOLDEN_SCHEMA
+    from ..sources.sinks import golden_json
+
+    written = golden_json(structure.document_profiles(corpus.order_docs(spark, folder)))
+    return written.select("path", F.from_json("json", GOLDEN_SCHEMA).alias("g")).select(
+        "path", F.size("g.headings").alias("headings"), F.size("g.frontmatter_keys").alias("keys"),
+        F.size("g.ids").alias("ids"), "g.table_row_count",
+    )
+
+
+@query("artifact_folders", """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'books/CR-*/02_analysis' WHEN 'O' THEN 'books/latest-specs' ELSE 'own/' || o_custkey END AS folder FROM orders""")
+def artifact_folders(spark, folder):
+    """Folder by phase from the default table unless the row configures its own."""
+    from ..sources.files import artifact_glob
+
+    phase = F.when(F.col("o_orderstatus") == "F", "02").otherwise("11")
+    own = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("own/"), F.col("o_custkey").cast("string")))
+    return table(spark, folder, "orders").select("o_orderkey", artifact_glob(phase, own, root="books").alias("folder"))
