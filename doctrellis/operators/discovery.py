@@ -246,6 +246,11 @@ def discover(
         frontier = store.write("frontier", wave, derived.select(*frontier_schema.names))
         size = frontier.count()
 
+    if hit_schema is None:
+        empty = table.filter("false").select("symbol", "file", "line").withColumns({
+            "confidence": F.lit("HIGH"), "reason": F.lit("recorded"), "noisy": F.lit(False), "relevant": F.lit(True),
+        })
+        hit_schema = store.write("hits", 0, empty).schema
     all_hits = store.read("hits", hit_schema)
     live_hits = all_hits.filter("reason in ('recorded', 'noise-collapse') and (relevant or noisy)")
     return {

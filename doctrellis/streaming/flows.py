@@ -55,9 +55,9 @@ def gate_stream(
         if number > 0:
             before = spark.read.parquet(f"{path}/state/version={number - 1}")
         else:
-            before = spark.createDataFrame(
-                [], batch.select(*keys).schema.add("spent", "decimal(28,6)").add("steps", "bigint").add("stopped", "boolean")
-            )
+            before = batch.select(*keys).filter("false").withColumns({
+                "spent": F.lit(0).cast("decimal(28,6)"), "steps": F.lit(0).cast("bigint"), "stopped": F.lit(False),
+            })
         known = batch.join(before, keys, "left").withColumns({
             "spent": F.coalesce("spent", F.lit(0).cast("decimal(28,6)")),
             "steps": F.coalesce("steps", F.lit(0)),
