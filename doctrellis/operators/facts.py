@@ -150,8 +150,9 @@ def agent_calls(docs: DataFrame) -> DataFrame:
         F.coalesce(F.sum(one).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).withColumn(
         "next_fence",
-        F.first(F.when(F.col("fence"), F.col("line")), ignorenulls=True).over(
-            order.rowsBetween(0, Window.unboundedFollowing)
+        # Looking ahead as looking back in descending order: linear in the document.
+        F.last(F.when(F.col("fence"), F.col("line")), ignorenulls=True).over(
+            Window.partitionBy("path").orderBy(F.col("line").desc()).rowsBetween(Window.unboundedPreceding, 0)
         ),
     )
     call = F.when(F.col("agent").isNotNull(), F.struct("line", "agent", "next_fence"))

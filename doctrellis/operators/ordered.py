@@ -100,25 +100,27 @@ def _unwrap(df: DataFrame, scans: dict[str, Scan]) -> DataFrame:
     return df.withColumns(opened) if opened else df
 
 
-def _window_column(scan: Scan, window) -> Column:
-    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+def _window_column(scan: Scan, keys: list[str], order: list[str]) -> Column:
+    """The scan as a window over ``keys``.
+
+    Looking ahead is looking back in descending order: a frame that starts at the row and
+    ends with the group would be evaluated anew for every row.
+    """
+    window = Window.partitionBy(*keys).orderBy(*order)
+    if isinstance(scan, RowNumber):
+        return F.row_number().over(window).cast("bigint")
+    if isinstance(scan, NextValue):
+        window = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    frame = window.rowsBetween(Window.unboundedPreceding, 0 if scan.inclusive else -1)
     if isinstance(scan, RunningSum):
-        frame = window.rowsBetween(start, 0 if scan.inclusive else -1)
         zero = F.lit(0).cast("int")
         return F.coalesce(F.sum(F.coalesce(scan.value, zero)).over(frame), zero)
-    if isinstance(scan, LastValue):
-        frame = window.rowsBetween(start, 0 if scan.inclusive else -1)
-        return F.last(scan.value, ignorenulls=True).over(frame)
-    if isinstance(scan, NextValue):
-        frame = window.rowsBetween(0 if scan.inclusive else 1, end)
-        return F.first(scan.value, ignorenulls=True).over(frame)
-    return F.row_number().over(window).cast("bigint")
+    return F.last(scan.value, ignorenulls=True).over(frame)
 
 
 def _plain(df, keys, order, scans):
-    window = Window.partitionBy(*keys).orderBy(*order)
     return _unwrap(
-        df.withColumns({name: _window_column(scan, window) for name, scan in scans.items()}), scans
+        df.withColumns({name: _window_column(scan, keys, order) for name, scan in scans.items()}), scans
     )
 
 
@@ -149,16 +151,16 @@ def _segmented(df, keys, order, scans, segment_rows):
 
     # Carries: only keys that cross a boundary have more than one row here, at most two
     # such keys per segment, whatever the size of the data.
-    across = Window.partitionBy(*keys).orderBy("_segment")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    after = across.rowsBetween(1, Window.unboundedFollowing)
+    earlier = Window.unboundedPreceding, -1
+    before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(*earlier)
+    after = Window.partitionBy(*keys).orderBy(F.col("_segment").desc()).rowsBetween(*earlier)
     carries = {}
     for name, scan in scans.items():
         total = F.col(f"_t_{name}")
         if isinstance(scan, LastValue):
             carries[f"_c_{name}"] = F.last(total, ignorenulls=True).over(before)
         elif isinstance(scan, NextValue):
-            carries[f"_c_{name}"] = F.first(total, ignorenulls=True).over(after)
+            carries[f"_c_{name}"] = F.last(total, ignorenulls=True).over(after)
         else:
             carries[f"_c_{name}"] = F.sum(total).over(before)
     carry = (
@@ -171,12 +173,11 @@ def _segmented(df, keys, order, scans, segment_rows):
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_segment").alias("_s"), *carries
     )
 
-    inside = Window.partitionBy(*keys, "_segment").orderBy(*order)
     local = cut.withColumns(
         {
             name: _window_column(
                 scan if isinstance(scan, RowNumber) else type(scan)(F.col(f"_v_{name}"), scan.inclusive),
-                inside,
+                [*keys, "_segment"], order,
             )
             for name, scan in scans.items()
         }

@@ -84,17 +84,23 @@ def compare_with_golden(actual: DataFrame, golden: DataFrame) -> DataFrame:
     the actual text, whether or not the golden recorded it.  Sets without a golden are not
     compared (see ``without_golden``).
     """
-    expected = golden.filter(F.col("kind").isin("required_heading", "id", "frontmatter_key")).withColumn(
-        "_kind", F.when(F.col("kind") == "required_heading", "heading").otherwise(F.col("kind"))
-    )
-    have = actual.select("doc_set", F.col("kind").alias("_kind"), "value")
-    missing = expected.join(have, ["doc_set", "_kind", "value"], "left_anti").select(
-        "doc_set", F.concat(F.lit("missing_"), F.col("kind")).alias("kind"), "value"
-    )
-    left_over = actual.filter("kind = 'unreplaced_token'").join(
-        golden.select("doc_set").distinct(), "doc_set", "left_semi"
+    required = golden.filter(F.col("kind").isin("required_heading", "id", "frontmatter_key"))
+    sides = required.select(
+        "doc_set", F.when(F.col("kind") == "required_heading", "heading").otherwise(F.col("kind")).alias("kind"),
+        "value", F.col("kind").alias("expected"), F.lit(None).cast("boolean").alias("present"),
+    ).unionByName(actual.select(
+        "doc_set", "kind", "value", F.lit(None).cast("string").alias("expected"), F.lit(True).alias("present")
+    ))
+    # One aggregate over both sides: each input is read once and no value is hot.
+    met = sides.groupBy("doc_set", "kind", "value").agg(F.max("expected").alias("expected"), F.max("present").alias("present"))
+    judged = met.filter(
+        (F.col("expected").isNotNull() & F.col("present").isNull()) | (F.col("kind") == "unreplaced_token")
+    ).select(
+        "doc_set",
+        F.when(F.col("expected").isNotNull(), F.concat(F.lit("missing_"), "expected")).otherwise(F.col("kind")).alias("kind"),
+        "value",
     )
-    return missing.unionByName(left_over.select("doc_set", "kind", "value"))
+    return judged.join(golden.select("doc_set").distinct(), "doc_set", "left_semi")
 
 
 def without_golden(sets: DataFrame, golden: DataFrame) -> DataFrame:
