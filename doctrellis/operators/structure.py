@@ -41,8 +41,10 @@ def set_facts(docs: DataFrame, doc_set: str = "doc_set") -> DataFrame:
             tag("unreplaced_token", M.unreplaced_tokens("text")),
         ),
     )
+    # Never NULL, so that no join downstream infers a test that would parse all texts twice.
+    set_name = F.coalesce(F.col(doc_set), F.lit("")).alias("doc_set")
     return (
-        artifact_files(docs).select(F.col(doc_set).alias("doc_set"), F.explode(found).alias("f"))
+        artifact_files(docs).select(set_name, F.explode(found).alias("f"))
         .select("doc_set", "f.kind", "f.value").distinct()
     )
 

@@ -41,6 +41,15 @@ def say(template: str, *columns: str) -> Column:
     return F.concat(*parts)
 
 
+def render(rows: DataFrame, path: Column, text: Column, *more: str) -> DataFrame:
+    """``(path, text)`` documents.
+
+    Rendered through a generator: a filter on the text stays above it, where pushing it
+    below would render every document a second time just to test it.
+    """
+    return rows.select(F.inline(F.array(F.struct(path.alias("path"), text.alias("text"), *more))))
+
+
 def order_docs(spark: SparkSession, folder: str) -> DataFrame:
     """One working document per order: references, a call with payload, a table, a diagram."""
     orders = spread(table(spark, folder, "orders"))
@@ -76,7 +85,7 @@ def order_docs(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", say("  o{}[order --> done", "o_orderkey")),
         "```",
     )
-    return orders.select(say("skills/order/{}.md", "o_orderkey").alias("path"), text.alias("text"))
+    return render(orders, say("skills/order/{}.md", "o_orderkey"), text)
 
 
 def customer_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,20 +111,21 @@ def customer_docs(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     home = F.when(F.col("c_mktsegment") == "MACHINERY", "archive").otherwise("books")
-    return spread(table(spark, folder, "customer")).select(
-        F.concat(home, say("/customer/c{}.md", "c_custkey")).alias("path"), text.alias("text")
-    )
+    customers = spread(table(spark, folder, "customer"))
+    return render(customers, F.concat(home, say("/customer/c{}.md", "c_custkey")), text)
 
 
 def template_docs(spark: SparkSession, folder: str) -> DataFrame:
     """A template per part with its placeholder, and a note per line item naming parts sent back."""
-    templates = spread(table(spark, folder, "part")).select(
-        say("skills/part/templates/{}.md", "p_partkey").alias("path"),
-        say("size {} slot {P_{}} in {DB}", "p_size", "p_partkey").alias("text"),
+    templates = render(
+        spread(table(spark, folder, "part")),
+        say("skills/part/templates/{}.md", "p_partkey"),
+        say("size {} slot {P_{}} in {DB}", "p_size", "p_partkey"),
     )
-    notes = spread(table(spark, folder, "lineitem")).select(
-        say("skills/return/{}-{}.md", "l_orderkey", "l_linenumber").alias("path"),
-        F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45), say("sent back {P_{}}", "l_partkey")).otherwise(F.lit("kept")).alias("text"),
+    notes = render(
+        spread(table(spark, folder, "lineitem")),
+        say("skills/return/{}-{}.md", "l_orderkey", "l_linenumber"),
+        F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45), say("sent back {P_{}}", "l_partkey")).otherwise(F.lit("kept")),
     )
     return templates.unionByName(notes)
 
@@ -126,7 +136,7 @@ def run_docs(spark: SparkSession, folder: str) -> DataFrame:
         say("Run `{}.py u{} \\", "event_type", "user_id"),
         F.concat(F.lit("  --k"), F.get_json_object("props", "$.k"), F.lit(" --amount 1` now")),
     )
-    return spread(table(spark, folder, "events")).select(say("skills/run/{}.md", "event_id").alias("path"), text.alias("text"), "ts")
+    return render(spread(table(spark, folder, "events")), say("skills/run/{}.md", "event_id"), text, "ts")
 
 
 def requirement_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,22 +163,24 @@ def requirement_docs(spark: SparkSession, folder: str) -> DataFrame:
         "|---|---|---|---|",
         say("| UR-{} | SR-{}-001 | SP-{}-001, SP-{}-002 | |", "o_custkey", "o_orderkey", "o_orderkey", "o_orderkey"),
     )
-    return spread(table(spark, folder, "orders")).select(say("req/{}.md", "o_orderkey").alias("path"), text.alias("text"))
+    return render(spread(table(spark, folder, "orders")), say("req/{}.md", "o_orderkey"), text)
 
 
 def source_files(spark: SparkSession, folder: str) -> DataFrame:
     """One source file per customer and per order; orders call customers, customers use nations."""
-    customers = spread(table(spark, folder, "customer")).select(
-        say("src/customer/{}.py", "c_custkey").alias("path"),
+    customers = render(
+        spread(table(spark, folder, "customer")),
+        say("src/customer/{}.py", "c_custkey"),
         lines(
             say("# uses nation_{}", "c_nationkey"),
             say("def customer_{}(base_{}):", "c_custkey", "c_custkey"),
             say("    rate_{} = nation_{}", "c_custkey", "c_nationkey"),
             say("    return rate_{}", "c_custkey"),
-        ).alias("text"),
+        ),
     )
-    orders = spread(table(spark, folder, "orders")).select(
-        say("src/order/{}.py", "o_orderkey").alias("path"),
-        lines(say("def order_{}():", "o_orderkey"), say("    return customer_{}(1)", "o_custkey")).alias("text"),
+    orders = render(
+        spread(table(spark, folder, "orders")),
+        say("src/order/{}.py", "o_orderkey"),
+        lines(say("def order_{}():", "o_orderkey"), say("    return customer_{}(1)", "o_custkey")),
     )
     return customers.unionByName(orders)
