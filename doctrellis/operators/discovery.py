@@ -78,11 +78,13 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
 def code_index(files: DataFrame) -> DataFrame:
     """Token index of source files ``(path, text)``.
 
-    ``(file, line, text, symbol, is_comment, derived)``: one row per distinct identifier
-    on a line; ``derived`` lists what a hit on it propagates to as ``struct<symbol,
-    scope_file, confidence>``: the enclosing definition and an assignment target (HIGH,
-    everywhere), and the formal parameter an argument lands in (MEDIUM, inside the file
-    that defines the callee).
+    ``(file, line, symbol, is_comment, derived)``: one row per distinct identifier on a
+    line, and one more per identifier that is passed to a known definition; a walk merges
+    them when it groups hits by location, so the tokens themselves are never shuffled
+    here.  ``derived`` lists what a hit propagates to as ``struct<symbol, scope_file,
+    confidence>``: the enclosing definition and an assignment target (HIGH, everywhere),
+    and the formal parameter an argument lands in (MEDIUM, inside the file that defines
+    the callee).
     """
     define = r"^\s*(?:def|class|function|func|fn)\s+([A-Za-z_]\w*)"
     lines = md_lines(files).withColumnRenamed("path", "file")
@@ -114,28 +116,29 @@ def code_index(files: DataFrame) -> DataFrame:
         .select("file", "line", "callee", "position", F.explode(F.array_distinct(all_matches("actual", r"([A-Za-z_]\w*)"))).alias("symbol"))
     )
     passed = (
-        arguments.join(formals, ["callee", "position"])
-        .groupBy("file", "line", "symbol")
-        .agg(F.collect_set(F.struct(F.col("formal").alias("symbol"), F.col("callee_file").alias("scope_file"), F.lit("MEDIUM").alias("confidence"))).alias("_formals"))
+        arguments.join(formals, ["callee", "position"]).filter("symbol <> formal").select(
+            "file", "line", "symbol", F.lit(False).alias("is_comment"),
+            F.array(F.struct(
+                F.col("formal").alias("symbol"), F.col("callee_file").alias("scope_file"), F.lit("MEDIUM").alias("confidence")
+            )).alias("derived"),
+        )
     )
+
     def high(c: str) -> Column:
         return F.struct(F.col(c).alias("symbol"), F.lit(None).cast("string").alias("scope_file"), F.lit("HIGH").alias("confidence"))
 
     tokens = enclosed.select(
-        "file", "line", "text", is_comment_line("file", "text").alias("is_comment"),
+        "file", "line", is_comment_line("file", "text").alias("is_comment"),
         F.array_compact(F.array(
             F.when(F.col("enclosing").isNotNull(), high("enclosing")),
             F.when(F.col("lhs") != "", high("lhs")),
         )).alias("_high"),
         F.explode(F.array_distinct(all_matches("text", r"([A-Za-z_]\w*)"))).alias("symbol"),
+    ).select(
+        "file", "line", "symbol", "is_comment",
+        F.filter("_high", lambda d: d["symbol"] != F.col("symbol")).alias("derived"),
     )
-    return tokens.join(passed, ["file", "line", "symbol"], "left").select(
-        "file", "line", "text", "symbol", "is_comment",
-        F.filter(
-            F.concat("_high", F.coalesce("_formals", F.array().cast("array<struct<symbol:string,scope_file:string,confidence:string>>"))),
-            lambda d: d["symbol"] != F.col("symbol"),
-        ).alias("derived"),
-    )
+    return tokens.unionByName(passed)
 
 
 def noisy_symbols(hits: DataFrame, max_files: int) -> DataFrame:
@@ -196,8 +199,8 @@ def discover(
         ).filter("scope_file is null or scope_file = file")
         # A location counts once per symbol, at its best confidence.
         found = found.groupBy("symbol", "file", "line").agg(
-            F.min("confidence").alias("confidence"), F.first("is_comment").alias("is_comment"),
-            F.first("derived").alias("derived"),
+            F.min("confidence").alias("confidence"), F.bool_or("is_comment").alias("is_comment"),
+            F.array_distinct(F.flatten(F.collect_list("derived"))).alias("derived"),
         )
         if hit_schema is None:
             tagged = found.withColumn("_seen", F.lit(None).cast("boolean"))

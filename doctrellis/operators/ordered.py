@@ -23,6 +23,8 @@ from ..session import cut_lineage
 # Rows of one key that a single task may scan comfortably, and rows aimed at per segment.
 GROUP_ROWS = 4_000_000
 SEGMENT_ROWS = 1_000_000
+# Most segments a scan is cut into; with two carried rows each this bounds the broadcast.
+MAX_SEGMENTS = 20_000
 
 
 @dataclass(frozen=True)
@@ -125,7 +127,7 @@ def _plain(df, keys, order, scans):
 
 
 def _segmented(df, keys, order, scans, segment_rows):
-    segments = max(2, math.ceil(df.count() / segment_rows))
+    segments = min(MAX_SEGMENTS, max(2, math.ceil(df.count() / segment_rows)))
     values = {f"_v_{name}": s.value for name, s in scans.items() if not isinstance(s, RowNumber)}
     # Segment numbers come from sampled range bounds, so they are written down once:
     # both passes below must see the same cut.
@@ -185,7 +187,7 @@ def _segmented(df, keys, order, scans, segment_rows):
     match = local["_segment"] == carry["_s"]
     for key in keys:
         match = match & local[key].eqNullSafe(carry[f"_k_{key}"])
-    # At most 2 x segments rows, a number fixed above: safe to broadcast.
+    # At most 2 x MAX_SEGMENTS rows: safe to broadcast.
     joined = local.join(F.broadcast(carry), match, "left")
     result = {}
     for name, scan in scans.items():

@@ -114,7 +114,7 @@ def tally(rows: DataFrame, status: str, statuses: DataFrame | None = None) -> Da
         counted = statuses.select(status).distinct().join(counted, status, "left").select(
             status, F.coalesce("n", F.lit(0)).alias("n")
         )
-    total = rows.agg(F.lit("TOTAL").alias(status), F.count(F.lit(1)).alias("n"))
+    total = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("TOTAL").alias(status), "n")
     return counted.unionByName(total)
 
 

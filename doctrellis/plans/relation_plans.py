@@ -90,13 +90,13 @@ def array_set_ops(spark, folder):
 
 @query("flag_wiring", """
 WITH u AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k, value FROM events),
-allowed AS (SELECT DISTINCT event_type, k FROM u WHERE value > 30)
+allowed AS (SELECT DISTINCT event_type, k FROM u WHERE value > 250)
 SELECT event_type, k AS flag, count(*) AS calls FROM u WHERE NOT EXISTS (SELECT 1 FROM allowed a WHERE a.event_type = u.event_type AND a.k = u.k) GROUP BY 1, 2""")
 def flag_wiring(spark, folder):
     """Type and key pairs outside the catalogue that larger events establish."""
     used = table(spark, folder, "events").select("event_type", F.get_json_object("props", "$.k").alias("flag"), "value")
     calls = used.groupBy("event_type", "flag").agg(F.count(F.lit(1)).alias("calls"))
-    return trace.missing_from(calls, used.filter("value > 30"), ["event_type", "flag"])
+    return trace.missing_from(calls, used.filter("value > 250"), ["event_type", "flag"])
 
 
 @query("first_match", """
