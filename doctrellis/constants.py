@@ -10,7 +10,7 @@ LINE_BREAK = "\\r\\n|[\\n\\x0B\\f\\r\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 OTHER_BREAK = "[\\x0B\\f\\r\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
-# --- fixed values: patterns of the reference linter ------------------------------------
+# --- fixed values: patterns of the reference-integrity checks ---------------------------
 LINT_HEADING = r"(?U)^#{2,}\s+(.*\S)\s*$"
 APPLY_REF = r'(?U)apply\s+"(#{2,}\s*[^"]+)"'
 READ_TARGET = r"(?U)Read\s+`([^`]+)`"

@@ -171,7 +171,11 @@ def discover(
     index: DataFrame, seeds: DataFrame, max_files: int, max_waves: int, collapse: bool = True,
     comment_filter: bool = True, classify=None,
 ) -> dict[str, DataFrame]:
-    """Walk from ``seeds(symbol)``; returns ``hits``, ``frontier``, ``confirmed`` and ``counts``.
+    """Walk from ``seeds(symbol)``; returns ``hits``, ``frontier``, ``confirmed``, ``counts``
+    and ``pending``.
+
+    Reaching ``max_waves`` pauses the walk and loses nothing: ``pending`` holds the symbols
+    that were found but not searched (see ``close_pending``).
 
     Per wave: match the frontier against the index, set comment lines and locations that
     an earlier wave recorded aside (kept, with the reason), test what remains for noise,
@@ -212,7 +216,8 @@ def discover(
         dropped = (
             F.when(F.col("is_comment") & F.lit(comment_filter), "comment").when(F.col("_seen").isNotNull(), "dedup")
         )
-        judged = tagged.withColumn("reason", dropped).drop("_seen", "is_comment")
+        # Written down before it is used three times: the index is read once per wave.
+        judged = store.write("matched", wave, tagged.withColumn("reason", dropped).drop("_seen", "is_comment"))
         live = judged.filter("reason is null")
         noisy = noisy_symbols(live, max_files).select("symbol", F.lit(True).alias("noisy"))
         marked = judged.join(noisy, "symbol", "left").withColumn(
@@ -261,9 +266,21 @@ def discover(
         "frontier": store.read("frontier", frontier_schema),
         "confirmed": live_hits.groupBy("file").agg(F.min("confidence").alias("confidence")),
         "counts": reconcile_counts(all_hits, ["wave"]),
+        "pending": frontier,
     }
 
 
+def close_pending(pending: DataFrame, choice: str | None, pauses: int) -> DataFrame:
+    """Status of the symbols a paused walk left: what was chosen, else ``paused``.
+
+    ``choice`` is ``prune``, ``record`` or ``out-of-scope``; a second pause is recorded
+    without asking.
+    """
+    if choice not in (None, "prune", "record", "out-of-scope"):
+        raise ValueError(f"unknown choice {choice}")
+    return pending.withColumn("status", F.lit("record" if pauses > 1 else choice or "paused"))
+
+
 def number_rows(rows: DataFrame, wave: str, label: str, numbered: str) -> DataFrame:
     """``W{wave}-{label}{n}`` identifiers from a per-wave position column."""
     return rows.withColumn("row_id", F.format_string(f"W%s-{label}%d", F.col(wave).cast("string"), F.col(numbered)))

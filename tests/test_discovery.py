@@ -92,3 +92,11 @@ def test_priority(spark):
     dirs = spark.createDataFrame([("a/b",), ("a",), ("a/b/c",), ("a/x",), ("z",), ("a/b/c/d",)], "dir string")
     got = {r.dir: r.priority for r in discovery.with_priority(dirs, spark.createDataFrame([("a/b",)], "dir string")).collect()}
     assert got == {"a/b": "HIGH", "a": "HIGH", "a/b/c": "HIGH", "a/x": "LOW", "z": "LOW", "a/b/c/d": "LOW"}
+
+
+def test_depth_cap_pauses(spark):
+    files = spark.createDataFrame([("a.py", "def f():\n    return target"), ("b.py", "def g():\n    return f()")], "path string, text string")
+    run = discovery.discover(discovery.code_index(files), spark.createDataFrame([("target",)], "symbol string"), 10, max_waves=1)
+    assert {r.symbol for r in run["pending"].collect()} == {"f"}
+    assert {r.status for r in discovery.close_pending(run["pending"], None, 1).collect()} == {"paused"}
+    assert {r.status for r in discovery.close_pending(run["pending"], "prune", 2).collect()} == {"record"}

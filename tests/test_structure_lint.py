@@ -125,8 +125,8 @@ def test_mermaid(spark):
 
 
 def test_config(spark):
-    text = "- `SMOKE_BUDGET`: `30.0`   # dollars\nMAX_PHASES = 10\nMAX_PHASES: ten\nSMOKE_BUDGET: bad\nlower: 1"
+    text = "- `RUN_BUDGET`: `30.0`   # dollars\nMAX_PHASES = 10\nMAX_PHASES: ten\nRUN_BUDGET: bad\nlower: 1"
     pairs = facts.config_pairs(frame(spark, [("c.md", text)]))
-    assert {(r.line, r.key, r.value) for r in pairs.collect()} >= {(1, "SMOKE_BUDGET", "30.0"), (2, "MAX_PHASES", "10")}
-    typed = facts.typed_config(pairs, ["SMOKE_BUDGET"], ["MAX_PHASES"]).first()
-    assert (typed.SMOKE_BUDGET, typed.MAX_PHASES) == (30.0, 10)
+    assert {(r.line, r.key, r.value) for r in pairs.collect()} >= {(1, "RUN_BUDGET", "30.0"), (2, "MAX_PHASES", "10")}
+    typed = facts.typed_config(pairs, ["RUN_BUDGET"], ["MAX_PHASES"]).first()
+    assert (typed.RUN_BUDGET, typed.MAX_PHASES) == (30.0, 10)

@@ -21,7 +21,7 @@ def test_trim_covers_ideographic_space(spark):
 
 def test_normalize_heading(spark):
     for raw, want in [
-        ("## Regenerate CRS Excel (UR-016)", "Regenerate CRS Excel"),
+        ("## Make the sheet (UR-016)", "Make the sheet"),
         ("## レビュー（最大 N 回）", "レビュー"),
         ("## Load Config", "Load Config"),
         ("### A (b) (c)", "A (b)"),
