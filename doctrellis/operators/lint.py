@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import markdown as M
 from ..functions.text import all_matches, contains_any, lines_of, trim_u
-from .facts import md_lines
+from .facts import holding, md_lines
 
 _ATTRIBUTE = r"(?U)^\s*-\s+\*\*([^*：:]+)[：:]\s*\*\*\s*(.*)$"
 _SPEC = r"(?U)^\s*-\s+\*\*([A-Za-z][A-Za-z0-9_.-]*)\*\*\s*[:：]\s*(.*)$"
@@ -31,7 +31,7 @@ def elements(docs: DataFrame) -> DataFrame:
     """
     # The first visible character decides which patterns a line is tried against.
     head = F.substring(F.ltrim("text"), 1, 1)
-    lines = md_lines(docs).withColumn("_head", head).filter(F.col("_head").isin("#", "*", "-"))
+    lines = md_lines(holding(docs, "###", "**")).withColumn("_head", head).filter(F.col("_head").isin("#", "*", "-"))
     is_title = F.startswith("text", F.lit("###"))
     level = F.length(F.regexp_extract("text", r"^(#+)\s", 1))
     staged = lines.select(
