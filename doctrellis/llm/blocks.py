@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, mapped, written
+from .common import bounded, mapped, numbering, written
 
 BLOCK_BYTES = 32 << 20  # text of one block
 SCHEMA = "block long, number int, key string, weight long, documents binary"
@@ -36,7 +37,7 @@ class Numbering:
     """Numbers for the keys of a block, and per document (number, frequency) lists."""
 
     def __init__(self):
-        self.number: dict = {}
+        self.number = numbering()
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys per document, numbers, frequencies
         self.facts: list[dict[str, np.ndarray]] = []
         self.size = 0
@@ -44,7 +45,7 @@ class Numbering:
     def add(self, keys: list[list], facts: dict[str, np.ndarray], size: int) -> None:
         """``keys``: the keys of each document in text order; ``facts``: further arrays, one value per document."""
         counts = np.fromiter(map(len, keys), np.int64, len(keys))
-        numbers = np.fromiter((self.number.setdefault(k, len(self.number)) for x in keys for k in x), np.int64, int(counts.sum()))
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(keys)), np.int64, int(counts.sum()))
         owner = np.repeat(np.arange(len(keys)), counts)
         pairs, times = np.unique(owner * (len(self.number) + 1) + numbers, return_counts=True)
         owner, numbers = np.divmod(pairs, len(self.number) + 1)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +56,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [v if v is not None else b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
+def numbering() -> defaultdict:
+    """Numbers keys in the order they are first asked for."""
+    return defaultdict(count().__next__)
+
+
 def crc_fold(column: str, modulus: int):
     """crc32 of a number written as decimal text, modulo ``modulus``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

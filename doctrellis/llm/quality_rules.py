@@ -16,12 +16,13 @@ an empty table gives an empty table; other columns of the input play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, mapped, utf8
+from .common import bounded, mapped, numbering, utf8
 from .suffix import longest_repeat
 
 MIN_WORDS = 50
@@ -62,8 +63,7 @@ def window_words(reach: np.ndarray, size: int) -> np.ndarray:
 def measures(texts: list[bytes], phrase_words: int) -> dict[str, np.ndarray]:
     words = [x.split() for x in texts]
     counts = np.array([len(x) for x in words], np.int64)
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for x in words for w in x), np.int64, int(counts.sum()))
+    ids = np.fromiter(map(numbering().__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
     owner = np.repeat(np.arange(len(texts)), counts)
     reach = longest_repeat(ids, owner)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .quality_rules import quality_rules
 from .token_counts import token_counts
+from .token_store import token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_quality_rules")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"))
+
+
+@query("op7_token_store")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return token_store(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
