@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .byte_bpe import byte_bpe
 from .common import table
 from .quality_rules import quality_rules
 from .token_counts import token_counts
@@ -26,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = byte_bpe(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op5_token_counts")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))

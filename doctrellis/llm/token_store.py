@@ -17,39 +17,32 @@ gives no shard and an empty result; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bounded, mapped, numbering, shared_dir, utf8, written
+from .chunks import ChunkEncoder
+from .common import bounded, mapped, shared_dir, utf8, written
 
 SEQUENCE = 2048  # ids of one sequence
 BATCH = 64  # sequences of one record batch
-KNOWN = 700_000  # chunks an encoder remembers before it starts anew
 END_ID = 2
 
 MANIFEST = "shard int, path string, index_path string, n_docs long, n_ids long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-class ChunkEncoder:
-    """Ids of whole texts from those of their chunks, each distinct chunk encoded once.
-
-    The byte-level pattern always starts a match at a space before a visible character, so a
-    text may be cut there.  Texts with a special string are encoded as they are.
-    """
+class LibraryEncoder(ChunkEncoder):
+    """Ids as the tokenizers library gives them; texts with a special string go to it as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -58,17 +51,14 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.pattern = regex.compile(PATTERN)
         # the model's character for each byte, as the library's own byte-level step gives it
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.alphabet = {b: self.byte_character(byte_level, b) for b in range(256)}
-        self.odd = re.compile(r" (?!\S)")
-        self.cut = re.compile(r" (?=\S)")
-        self.forget()
+        super().__init__()
 
     @staticmethod
     def byte_character(byte_level, b: int) -> str:
-        """Printable ASCII stands for itself; other bytes are read off a character that holds them."""
+        """ASCII is asked for itself; any other byte is read off a character that holds it."""
         if b < 128:
             return byte_level.pre_tokenize_str(chr(b))[0][0]
         for n in range(0x80, 0x110000, 0x40 if b >= 0xC0 else 1):
@@ -76,60 +66,18 @@ class ChunkEncoder:
                 return byte_level.pre_tokenize_str(chr(n))[0][0][chr(n).encode().index(b)]
         return chr(b)  # not a byte of UTF-8
 
-    def forget(self) -> None:
-        self.number = numbering()
-        self.flat, self.lengths = np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        self.pretoken = numbering()
-        self.pieces: list[list[int]] = []
-
-    def chunks(self, text: str) -> list[str]:
-        parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        parts[0] = " " + parts[0]  # a first chunk has no space of its own
-        return parts
-
-    def parts(self, chunk: str) -> list[str]:
-        """Pre-tokens of a chunk."""
-        text = chunk[1:] if chunk[:1] == " " else " " + chunk
-        if chunk.isalpha():
-            return [text]
-        if chunk[:-1].isalpha() and chunk[-1] in ".,":
-            return [text[:-1], text[-1]]
-        return self.pattern.findall(text)
-
-    def learn(self, fresh: list[str]) -> None:
-        """Pieces of the pre-tokens that are new, and from them the ids of new chunks."""
-        pretoken, known = self.pretoken, len(self.pretoken)
-        found = [list(map(pretoken.__getitem__, self.parts(c))) for c in fresh]
+    def tokenise(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
         tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
-        for p in islice(pretoken, known, None):
-            self.pieces.append([t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))])
-        pieces = self.pieces
-        ids = [[i for p in x for i in pieces[p]] for x in found]
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.dtype)])
+        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))] for p in fresh]
+        return np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, ids per text)."""
         whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(s in t for s in self.specials)}
-        if len(self.number) > KNOWN:
-            self.forget()
-        known = len(self.number)
-        number = self.number
-        cut = [[] if i in whole else self.chunks(t) for i, t in enumerate(texts)]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
-        if len(number) > known:
-            self.learn(list(islice(number, known, None)))
-        starts = np.cumsum(self.lengths) - self.lengths
-        each = self.lengths[numbers]
-        ends = np.cumsum(each)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[numbers] - (ends - each), each)
-        ids = self.flat[at]
-        lengths = np.bincount(np.repeat(np.arange(len(cut)), counts), weights=each, minlength=len(cut)).astype(np.int64)
+        ids, lengths = super().encode(["" if i in whole else t for i, t in enumerate(texts)])
         if not whole:
             return ids, lengths
         edges = np.concatenate([[0], np.cumsum(lengths)])
-        pieces = [np.array(whole[i], self.dtype) if i in whole else ids[edges[i]:edges[i + 1]] for i in range(len(cut))]
+        pieces = [np.array(whole[i], self.dtype) if i in whole else ids[edges[i]:edges[i + 1]] for i in range(len(texts))]
         return np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
@@ -181,7 +129,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
         shard, store, encoder, lengths, owners = TaskContext.get().partitionId(), None, None, [], []
         for batch in bounded(batches):
             if store is None:
-                encoder = ChunkEncoder(path)
+                encoder = LibraryEncoder(path)
                 fs, root = filesystem(folder)
                 fs.create_dir(root, recursive=True)
                 name = f"{shard:06d}-{uuid.uuid4().hex}"
