@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import byte_bpe
 from .common import table
+from .line_blocks import extract
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .token_store import token_store
@@ -46,3 +47,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_token_store")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return token_store(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_line_blocks")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
