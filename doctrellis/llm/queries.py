@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import byte_bpe
-from .common import table
+from .common import crc_fold, table
 from .line_blocks import extract
+from .quality_model import fit_quality, quality_scores
 from .quality_rules import quality_rules
+from .secret_scan import digests, secret_spans
 from .token_counts import token_counts
 from .token_store import token_store
 
@@ -28,6 +30,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_quality_model")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs, fold = table(spark, folder, "documents"), crc_fold("doc_id", 3)
+    model = fit_quality(docs, table(spark, folder, "labels"), "quality", fold != 1)
+    scores = quality_scores(docs, model)
+    return scores.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = byte_bpe(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -49,6 +59,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return token_store(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op8_secret_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(secret_spans(table(spark, folder, "documents")))
+
+
 @query("op9_line_blocks")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
