@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import byte_bpe
 from .common import crc_fold, table
+from .decontaminate import contaminated
 from .line_blocks import extract
 from .quality_model import fit_quality, quality_scores
 from .quality_rules import quality_rules
@@ -67,3 +68,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_line_blocks")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
+
+
+@query("op10_decontaminate")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
