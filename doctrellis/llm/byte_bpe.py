@@ -125,10 +125,12 @@ class SqlEncoder(ChunkEncoder):
         ids = self.sql.execute("SELECT word, id FROM merged ORDER BY word, pos").fetchnumpy()
         return ids["id"].astype(self.dtype), np.bincount(ids["word"], minlength=len(fresh))
 
-    def learn(self, fresh: list[str]) -> None:
-        super().learn(fresh)
-        get = self.pretoken.__getitem__
-        self.chunk_bytes += [b"".join([self.piece_bytes[get(p)] for p in self.parts(c)]) for c in fresh]
+    def learn(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        numbers, sizes = super().learn(fresh)
+        take = list(map(self.piece_bytes.__getitem__, numbers.tolist()))
+        ends = np.cumsum(sizes).tolist()
+        self.chunk_bytes += [take[b - 1] if n == 1 else b"".join(take[b - n:b]) for b, n in zip(ends, sizes.tolist())]
+        return numbers, sizes
 
     def decode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(ids end to end, ids per text, the bytes that the ids of each text stand for)."""

@@ -7,6 +7,7 @@ than chunks, and those have fewer distinct pre-tokens still: only these are toke
 
 from __future__ import annotations
 
+import gc
 import re
 from itertools import chain, islice
 
@@ -52,27 +53,35 @@ class ChunkEncoder:
         parts[0] = " " + parts[0]  # only a first chunk starts so: it has no space of its own
         return parts
 
-    def parts(self, chunk: str) -> list[str]:
-        """Pre-tokens of a chunk."""
-        text = chunk[1:] if chunk[:1] == " " else " " + chunk
-        if chunk.isalpha():
-            return [text]
-        if chunk[:-1].isalpha() and chunk[-1] in ".,":
-            return [text[:-1], text[-1]]
-        return self.pattern.findall(text)
-
-    def learn(self, fresh: list[str]) -> None:
+    def parts(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pre-tokens of chunks, end to end, and how many each chunk has."""
+        get, found, sizes = self.pretoken.__getitem__, [], []
+        add, size = found.append, sizes.append
+        for chunk in fresh:
+            if chunk.isalpha():
+                add(get(" " + chunk))
+                size(1)
+            elif chunk[:-1].isalpha() and chunk[-1] in ".,":
+                add(get(" " + chunk[:-1]))
+                add(get(chunk[-1]))
+                size(2)
+            else:
+                parts = self.pattern.findall(chunk[1:] if chunk[0] == " " else " " + chunk)
+                found += map(get, parts)
+                size(len(parts))
+        return np.array(found, np.int64), np.array(sizes, np.int64)
+
+    def learn(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = len(self.pretoken)
-        found = [list(map(self.pretoken.__getitem__, self.parts(c))) for c in fresh]
+        numbers, sizes = self.parts(fresh)
         if len(self.pretoken) > known:
             flat, lengths = self.tokenise(list(islice(self.pretoken, known, None)))
             self.piece_flat, self.piece_lengths = np.concatenate([self.piece_flat, flat]), np.concatenate([self.piece_lengths, lengths])
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        numbers = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
         ids, each = ragged(self.piece_flat, self.piece_lengths, numbers)
-        owner = np.repeat(np.arange(len(found)), sizes)
+        owner = np.repeat(np.arange(len(fresh)), sizes)
         self.flat = np.concatenate([self.flat, ids])
-        self.lengths = np.concatenate([self.lengths, np.bincount(owner, weights=each, minlength=len(found)).astype(np.int64)])
+        self.lengths = np.concatenate([self.lengths, np.bincount(owner, weights=each, minlength=len(fresh)).astype(np.int64)])
+        return numbers, sizes
 
     def numbers(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(chunk numbers end to end, chunks per text); new chunks are learnt."""
@@ -82,7 +91,9 @@ class ChunkEncoder:
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         if len(self.number) > known:
+            gc.disable()  # nothing here is cyclic, and scans of so many small objects are dear
             self.learn(list(islice(self.number, known, None)))
+            gc.enable()
         return numbers, counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -68,8 +68,8 @@ class LibraryEncoder(ChunkEncoder):
 
     def tokenise(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
         tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
-        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))] for p in fresh]
-        return np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids))
+        found = [tokenize(("\u0120" + p[1:] if p[0] == " " else p) if p[1:].isalpha() and p.isascii() else p.encode().decode("latin-1").translate(alphabet)) for p in fresh]
+        return np.array([t.id for x in found for t in x], self.dtype), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(s in t for s in self.specials)}
