@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .byte_bpe import byte_bpe
 from .common import crc_fold, table
 from .decontaminate import contaminated
+from .jaccard_join import jaccard_components
 from .line_blocks import extract
 from .quality_model import fit_quality, quality_scores
 from .quality_rules import quality_rules
@@ -31,6 +32,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_jaccard_join")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 @query("op2_quality_model")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs, fold = table(spark, folder, "documents"), crc_fold("doc_id", 3)
