@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded, mapped, numbering, written
 
 BLOCK_BYTES = 32 << 20  # text of one block
+PACKED_ROWS = 400_000  # values that travel back together
 SCHEMA = "block long, number int, key string, weight long, documents binary"
 
 
@@ -33,6 +34,10 @@ def unpack(blob: bytes):
     return pickle.loads(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 class Numbering:
     """Numbers for the keys of a block, and per document (number, frequency) lists."""
 
@@ -49,22 +54,14 @@ class Numbering:
         owner = np.repeat(np.arange(len(keys)), counts)
         pairs, times = np.unique(owner * (len(self.number) + 1) + numbers, return_counts=True)
         owner, numbers = np.divmod(pairs, len(self.number) + 1)
-        self.parts.append((np.bincount(owner, minlength=len(keys)), numbers, times))
+        self.parts.append((np.bincount(owner, minlength=len(keys)), numbers.astype(np.uint32), narrow(times)))
         self.facts.append(facts)
         self.size += size
 
-    def frequencies(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys per document, numbers, frequencies) over all documents of the block."""
-        return tuple(np.concatenate([x[i] for x in self.parts]) if self.parts else np.zeros(0, np.int64) for i in range(3))
-
     def all_facts(self) -> dict[str, np.ndarray]:
         return {k: np.concatenate([x[k] for x in self.facts]) for k in self.facts[0]}
 
 
-def narrow(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
-
-
 def block_rows(block: int, keys: list[str], weights: np.ndarray, documents: dict) -> Iterator[pa.RecordBatch]:
     """Rows of one block: one with its documents, and one for each key."""
     names = ["block", "number", "key", "weight", "documents"]
@@ -103,16 +100,41 @@ def in_blocks(
     return written(mapped(docs, SCHEMA, work), purpose)
 
 
+def packed(values: DataFrame) -> DataFrame:
+    """(block, number, value) rows as few rows of arrays for each block."""
+    def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block, number, value = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(3))
+        by = np.argsort(block, kind="stable")
+        block, number, value = block[by], number[by].astype(np.uint32), value[by]
+        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        ends = np.append(edges[1:], len(block))
+        blobs = [pack((number[a:b], narrow(value[a:b]))) for a, b in zip(edges, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(block[edges]), pa.array(blobs, pa.binary())], names=["block", "values"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED_ROWS:
+                yield rows(held)
+                held, n = [], 0
+        if n:
+            yield rows(held)
+
+    return mapped(values.select("block", "number", "value"), "block long, values binary", work)
+
+
 def back_to_blocks(
     blocks: DataFrame, values: DataFrame, schema: str, finish: Callable[[dict, np.ndarray], pa.Table],
 ) -> DataFrame:
-    """Give each block its ``values`` (block, number, value); ``finish`` makes rows of documents and values by number."""
+    """Give each block its ``values`` (block, number, value >= 0); ``finish`` makes rows of documents and values by number."""
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers, found = right.column("number").to_numpy(), right.column("value").to_numpy()
-        by_number = np.zeros(len(numbers), found.dtype)
-        by_number[numbers] = found
-        tables = [finish(unpack(x), by_number) for x in left.column("documents").to_pylist()]
-        return pa.concat_tables(tables)
+        arrays = [unpack(x) for x in right.column("values").to_pylist()]
+        by_number = np.zeros(sum(len(n) for n, _ in arrays), np.int64)
+        for number, value in arrays:
+            by_number[number] = value
+        return pa.concat_tables([finish(unpack(x), by_number) for x in left.column("documents").to_pylist()])
 
     documents = blocks.where(F.col("number") < 0).select(F.col("block").alias("own_block"), "documents")
-    return documents.groupBy("own_block").cogroup(values.select("block", "number", "value").groupBy("block")).applyInArrow(work, schema)
+    return documents.groupBy("own_block").cogroup(packed(values).groupBy("block")).applyInArrow(work, schema)

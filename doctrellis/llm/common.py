@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder: made once, and no lost executor has to make it again."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import Numbering, back_to_blocks, in_blocks, narrow
-from .common import mapped, utf8
+from .common import mapped, numbering, utf8
 
 LIMIT = 2048
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -47,18 +49,16 @@ def pretokens(tokenizer, specials: tuple[str, ...], chunk: str) -> list[str]:
     return [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(chunk))]
 
 
-def spread_chunks(counts: np.ndarray, numbers: np.ndarray, times: np.ndarray, parts: list[list[int]]) -> tuple[np.ndarray, ...]:
-    """Per-document frequencies of chunks as those of the pre-tokens that chunks fall into."""
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter((p for x in parts for p in x), np.int64, int(sizes.sum()))
+def spread_chunks(counts: np.ndarray, numbers: np.ndarray, times: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per-document frequencies of chunks as those of the pre-tokens (``flat``, ``sizes`` per chunk) they fall into."""
     starts = np.cumsum(sizes) - sizes
     each = sizes[numbers]
     at = np.repeat(starts[numbers], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
     owner = np.repeat(np.repeat(np.arange(len(counts)), counts), each)
     pairs, where = np.unique(owner * (len(flat) + 1) + flat[at], return_inverse=True)
-    summed = np.bincount(where, weights=np.repeat(times, each)).astype(np.int64)
+    summed = np.bincount(where, weights=np.repeat(times, each), minlength=len(pairs)).astype(np.int64)
     owner, found = np.divmod(pairs, len(flat) + 1)
-    return np.bincount(owner, minlength=len(counts)), found, summed
+    return np.bincount(owner, minlength=len(counts)).astype(np.uint32), found.astype(np.uint32), narrow(summed)
 
 
 def pretoken_blocks(docs: DataFrame, path: str) -> DataFrame:
@@ -74,26 +74,37 @@ def pretoken_blocks(docs: DataFrame, path: str) -> DataFrame:
         if not loaded:
             tokenizer = load(path)
             loaded.extend((tokenizer, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())))
-        number: dict[str, int] = {}
-        parts = [[number.setdefault(p, len(number)) for p in pretokens(*loaded, c.decode())] for c in block.number]
-        counts, numbers, times = spread_chunks(*block.frequencies(), parts)
-        facts = block.all_facts()
-        weights = np.bincount(numbers, weights=times, minlength=len(number))
-        return list(number), weights, facts | {"counts": narrow(counts), "numbers": narrow(numbers), "times": narrow(times)}
+        number = numbering()
+        parts = [list(map(number.__getitem__, pretokens(*loaded, c.decode()))) for c in block.number]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
+        spread = [spread_chunks(*x, sizes, flat) for x in block.parts]
+        counts, numbers, times = (np.concatenate([x[i] for x in spread]) for i in range(3))
+        return list(number), np.zeros(len(number), np.int64), block.all_facts() | {"counts": counts, "numbers": numbers, "times": times}
 
     return in_blocks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), add, close, "pretokens")
 
 
-def pieces(distinct: DataFrame, path: str) -> DataFrame:
-    """(key, value): the pieces of each distinct pre-token."""
+def pieces(keys: DataFrame, path: str) -> DataFrame:
+    """(block, number, value): the pieces of each pre-token, counted once per distinct one.
+
+    ``keys`` (block, number, key) are brought together by key, so a task meets each of its
+    pre-tokens as one run of rows.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        tokenizer, last = load(path), (None, 0)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            counts = [len(tokenizer.encode(k[1:], add_special_tokens=False).ids) if k[:1] == " " else len(tokenizer.model.tokenize(k)) for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["key", "value"])
+            runs = pc.run_end_encode(batch.column(2))
+            counts = []
+            for k in runs.values.to_pylist():
+                if k != last[0]:  # a run may go on from the batch before
+                    last = k, len(tokenizer.encode(k[1:], add_special_tokens=False).ids if k[:1] == " " else tokenizer.model.tokenize(k))
+                counts.append(last[1])
+            ends = runs.run_ends.to_numpy()
+            values = np.repeat(np.array(counts, np.int64), np.diff(ends, prepend=0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], names=["block", "number", "value"])
 
-    return mapped(distinct, "key string, value long", work)
+    return mapped(keys.repartition("key").sortWithinPartitions("key"), "block long, number int, value long", work)
 
 
 def sums(documents: dict, value: np.ndarray, limit: int) -> pa.Table:
@@ -109,6 +120,5 @@ def sums(documents: dict, value: np.ndarray, limit: int) -> pa.Table:
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Per row: bytes, tokens under the tokenizer file ``path``, and whether they exceed ``limit``."""
     blocks = pretoken_blocks(docs, path)
-    keys = blocks.where(F.col("number") >= 0).select("block", "number", "key").repartition("key")
-    values = keys.join(pieces(keys.select("key").distinct(), path), "key")
+    values = pieces(blocks.where(F.col("number") >= 0).select("block", "number", "key"), path)
     return back_to_blocks(blocks, values, SCHEMA, lambda documents, value: sums(documents, value, limit))
