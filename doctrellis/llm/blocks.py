@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -22,7 +23,7 @@ from .common import bounded, mapped, numbering, written
 
 BLOCK_BYTES = 32 << 20  # text of one block
 PACKED_ROWS = 400_000  # values that travel back together
-SCHEMA = "block long, number int, key string, weight long, documents binary"
+SCHEMA = "block long, number int, key string, kind int, weight long, extra long, documents binary"
 
 
 def pack(value) -> bytes:
@@ -62,29 +63,41 @@ class Numbering:
         return {k: np.concatenate([x[k] for x in self.facts]) for k in self.facts[0]}
 
 
-def block_rows(block: int, keys: list[str], weights: np.ndarray, documents: dict) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Closed:
+    """What a block becomes: its keys, up to three numbers for each, and arrays about its documents."""
+
+    keys: list[str]
+    documents: dict
+    kind: np.ndarray | None = None
+    weight: np.ndarray | None = None
+    extra: np.ndarray | None = None
+
+
+def block_rows(block: int, closed: Closed) -> Iterator[pa.RecordBatch]:
     """Rows of one block: one with its documents, and one for each key."""
-    names = ["block", "number", "key", "weight", "documents"]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.int64())
     yield pa.RecordBatch.from_arrays([
-        pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.string()),
-        pa.array([None], pa.int64()), pa.array([pack(documents)], pa.binary()),
+        pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), *(pa.nulls(1, k) for k in kinds),
+        pa.array([pack(closed.documents)], pa.binary()),
     ], names=names)
-    for at in range(0, len(keys), 100_000):
-        part = keys[at:at + 100_000]
+    for at in range(0, len(closed.keys), 100_000):
+        part = closed.keys[at:at + 100_000]
         n = len(part)
+        numbers = [pa.nulls(n, k) if v is None else pa.array(v[at:at + n], k) for k, v in zip(kinds, (closed.kind, closed.weight, closed.extra))]
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(part, pa.string()),
-            pa.array(weights[at:at + n].astype(np.int64)), pa.nulls(n, pa.binary()),
+            pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(part, pa.string()), *numbers, pa.nulls(n, pa.binary()),
         ], names=names)
 
 
 def in_blocks(
-    docs: DataFrame, add: Callable[[Numbering, pa.RecordBatch], None], close: Callable[[Numbering], tuple[list[str], np.ndarray, dict]],
+    docs: DataFrame, add: Callable[[Numbering, pa.RecordBatch], None], close: Callable[[Numbering], Closed],
     purpose: str, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The table of blocks over ``docs`` (second column: the text), written to the shared folder.
 
-    ``add`` puts a batch into a block; ``close`` gives keys, weights and the documents' arrays.
+    ``add`` puts a batch into a block; ``close`` ends a block.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, done = TaskContext.get().partitionId() << 32, 0
@@ -92,23 +105,25 @@ def in_blocks(
         for batch in bounded(batches):
             add(block, batch)
             if block.size >= block_bytes:
-                yield from block_rows(first + done, *close(block))
+                yield from block_rows(first + done, close(block))
                 block, done = Numbering(), done + 1
         if block.parts:
-            yield from block_rows(first + done, *close(block))
+            yield from block_rows(first + done, close(block))
 
     return written(mapped(docs, SCHEMA, work), purpose)
 
 
 def packed(values: DataFrame) -> DataFrame:
-    """(block, number, value) rows as few rows of arrays for each block."""
+    """(block, number, values >= 0 ...) rows as few rows of arrays for each block."""
+    width = len(values.columns)
+
     def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        block, number, value = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(3))
+        block, number, *found = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(width))
         by = np.argsort(block, kind="stable")
-        block, number, value = block[by], number[by].astype(np.uint32), value[by]
+        block, number, found = block[by], number[by].astype(np.uint32), [x[by] for x in found]
         edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         ends = np.append(edges[1:], len(block))
-        blobs = [pack((number[a:b], narrow(value[a:b]))) for a, b in zip(edges, ends)]
+        blobs = [pack((number[a:b], *(narrow(x[a:b]) for x in found))) for a, b in zip(edges, ends)]
         return pa.RecordBatch.from_arrays([pa.array(block[edges]), pa.array(blobs, pa.binary())], names=["block", "values"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,19 +137,23 @@ def packed(values: DataFrame) -> DataFrame:
         if n:
             yield rows(held)
 
-    return mapped(values.select("block", "number", "value"), "block long, values binary", work)
+    return mapped(values, "block long, values binary", work)
 
 
-def back_to_blocks(
-    blocks: DataFrame, values: DataFrame, schema: str, finish: Callable[[dict, np.ndarray], pa.Table],
-) -> DataFrame:
-    """Give each block its ``values`` (block, number, value >= 0); ``finish`` makes rows of documents and values by number."""
+def back_to_blocks(blocks: DataFrame, values: DataFrame, schema: str, finish: Callable[..., pa.Table]) -> DataFrame:
+    """Give each block its ``values`` (block, number, integers >= 0 ...).
+
+    ``finish`` makes rows from the documents' arrays and, for each value column, an array by number.
+    """
+    width = len(values.columns) - 2
+
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         arrays = [unpack(x) for x in right.column("values").to_pylist()]
-        by_number = np.zeros(sum(len(n) for n, _ in arrays), np.int64)
-        for number, value in arrays:
-            by_number[number] = value
-        return pa.concat_tables([finish(unpack(x), by_number) for x in left.column("documents").to_pylist()])
+        by_number = [np.zeros(sum(len(x[0]) for x in arrays), np.int64) for _ in range(width)]
+        for number, *found in arrays:
+            for whole, part in zip(by_number, found):
+                whole[number] = part
+        return pa.concat_tables([finish(unpack(x), *by_number) for x in left.column("documents").to_pylist()])
 
     documents = blocks.where(F.col("number") < 0).select(F.col("block").alias("own_block"), "documents")
     return documents.groupBy("own_block").cogroup(packed(values).groupBy("block")).applyInArrow(work, schema)

@@ -12,6 +12,7 @@ from .common import crc_fold, table
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_components
 from .line_blocks import extract
+from .lm_scoring import lm_scores
 from .quality_model import fit_quality, quality_scores
 from .quality_rules import quality_rules
 from .secret_scan import digests, secret_spans
@@ -45,6 +46,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(table(spark, folder, "documents"))
+
+
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = byte_bpe(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

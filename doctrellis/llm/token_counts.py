@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import Numbering, back_to_blocks, in_blocks, narrow
+from .blocks import Closed, Numbering, back_to_blocks, in_blocks, narrow
 from .common import mapped, numbering, utf8
 
 LIMIT = 2048
@@ -80,7 +80,7 @@ def pretoken_blocks(docs: DataFrame, path: str) -> DataFrame:
         flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
         spread = [spread_chunks(*x, sizes, flat) for x in block.parts]
         counts, numbers, times = (np.concatenate([x[i] for x in spread]) for i in range(3))
-        return list(number), np.zeros(len(number), np.int64), block.all_facts() | {"counts": counts, "numbers": numbers, "times": times}
+        return Closed(list(number), block.all_facts() | {"counts": counts, "numbers": numbers, "times": times})
 
     return in_blocks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), add, close, "pretokens")
 
