@@ -157,3 +157,25 @@ def byte_bpe(docs: DataFrame, path: str) -> DataFrame:
             ], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), SCHEMA, work)
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with ``text`` replaced by n_tokens, ids and decoded text; columns of these names give way."""
+    at = docs.columns.index("text")
+    others = [i for i, c in enumerate(docs.columns) if i != at and c not in ("n_tokens", "ids", "decoded")]
+    fields = [docs.schema.fields[i] for i in others]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long, ids binary, decoded string"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for batch in bounded(batches, at):
+            encoder = encoder or SqlEncoder(path)
+            ids, each, decoded = encoder.decode_texts([x.decode() for x in utf8(batch.column(at))])
+            offsets = np.concatenate([[0], np.cumsum(each)]) * 4
+            wide = ids.astype("<u4").tobytes()
+            columns = [batch.column(i) for i in others] + [
+                pa.array(each), pa.array([wide[a:b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
+                pa.array([x.decode() for x in decoded], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), "n_tokens", "ids", "decoded"])
+
+    return mapped(docs, schema, work)
