@@ -6,8 +6,8 @@ similarity of 75 / 100.  Documents of equal sets form a class, and classes are j
 1. *Blocks.*  A fixed-size sketch of shingle counts over all documents orders shingles, rare
    ones first.  Two sets that link share one of the first ``n - ceil(3n/4) + 1`` shingles of
    each, whatever the order, so classes are brought together by those.  Equal blocks are one.
-2. *Count vectors.*  Shingles are hashed into ``GROUPS`` groups; a class is the point of its
-   group counts.  In a block the points are packed into an R-tree; the summed coordinate
+2. *Count vectors.*  Shingles are hashed into groups, about one for four of them; a class is
+   the point of its group counts.  In a block the points are packed into an R-tree; the summed coordinate
    minima of a point and a node (or point) bound the overlap, and what can't reach the
    overlap needed is cut off.  Surviving pairs leave a spanning forest per block.
 3. *Verification.*  Components of these forests hold all links.  In each, the sets themselves
@@ -29,16 +29,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import bounded, mapped, utf8, written
 from .components import components
 from .shingles import distinct_sets, mixed, shingle_hashes
 
 SKETCH_BITS = 20
-GROUPS = 64
+GROUPS, SHARE = 64, 4  # groups of a count vector: at least, and a set's size over it
+PAIRS = 4096  # two-class blocks compared together
 LEAF = 16  # points of an R-tree leaf
-BLOCK_TILE = 20_000  # classes of a block in one task
+BLOCK_TILE = 8_000_000  # shingles of a block's classes in one task (a quarter of that in group counts)
 SET_TILE = 1_000_000  # shingles of a component in one task
 UP, DOWN = 75, 100  # similarity as a fraction
 
@@ -77,9 +78,28 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
-def group_counts(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    group = (hashes & np.uint64(GROUPS - 1)).astype(np.int64)
-    return np.bincount(owner * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
+def groups_for(size: int) -> int:
+    """Groups of a set's count vector: a power of two of about a quarter of its size or more.
+
+    Random sets of one size differ by more than links may as long as groups keep up with size.
+    """
+    return max(GROUPS, 1 << max(0, (size - 1) // SHARE).bit_length())
+
+
+def count_vector(hashes: np.ndarray) -> bytes:
+    """Group counts in bytes; should one not fit, all are at the limit, which bounds any overlap."""
+    groups = groups_for(len(hashes))
+    counts = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return (np.full(groups, 255) if counts.max(initial=0) > 255 else counts).astype(np.uint8).tobytes()
+
+
+def vector(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8).astype(np.uint16)
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Count vectors over fewer groups: groups are low bits of the hashes, so some fall together."""
+    return points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.uint16)
 
 
 def class_of(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -89,14 +109,6 @@ def class_of(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def vector_bytes(counts: np.ndarray) -> bytes:
-    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32).tobytes()
-
-
-def vector(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint16 if len(blob) == 2 * GROUPS else np.uint32).astype(np.int32)
-
-
 FACTS = "doc_id long, class long, n_shingles long, vector binary, prefix array<long>"
 
 
@@ -116,7 +128,6 @@ def facts(docs: DataFrame, order: np.ndarray) -> DataFrame:
             sizes = np.bincount(owner, minlength=n)
             starts = np.cumsum(sizes) - sizes
             classes = class_of(hashes, owner, n)
-            vectors = group_counts(hashes, owner, n)
             fresh = np.zeros(n, bool)
             for i in np.flatnonzero(sizes).tolist():
                 c = int(classes[i])
@@ -130,7 +141,7 @@ def facts(docs: DataFrame, order: np.ndarray) -> DataFrame:
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(signed[at]))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(classes, mask=sizes == 0), pa.array(sizes),
-                pa.array([vector_bytes(vectors[i]) if fresh[i] else None for i in range(n)], pa.binary()), prefix,
+                pa.array([count_vector(hashes[a:a + k]) if new else None for a, k, new in zip(starts, sizes, fresh)], pa.binary()), prefix,
             ], names=["doc_id", "class", "n_shingles", "vector", "prefix"])
             if len(met) > 1_000_000:
                 met.clear()
@@ -204,22 +215,33 @@ class Tree:
         return self.order[at[np.minimum(self.points[at], point).sum(axis=1) >= needed(size, self.sizes[at])]]
 
 
-def forest(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect what ``linked`` (a member, its candidates) connects; equal labels are connected already."""
-    _, parent = np.unique(label, return_inverse=True)
-    comp = parent.copy()
-    tree, edges = Tree(points, sizes), []
-    for i in range(len(sizes)):
-        found = tree.near(points[i], int(sizes[i]))
+def forest(vectors: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that connect what ``linked`` (a member, its candidates) connects; equal labels are connected already.
+
+    There is a tree for each number of groups; sets that link have equal numbers, or one has
+    twice as many as the other.
+    """
+    _, comp = np.unique(label, return_inverse=True)
+    groups = np.fromiter(map(len, vectors), np.int64, len(vectors))
+    trees = {}
+    for g in np.unique(groups).tolist():
+        own = np.flatnonzero(groups == g)
+        trees[g] = own, Tree(np.stack([vectors[i] for i in own]), sizes[own])
+    edges = []
+    for i, (own, size) in enumerate(zip(vectors, sizes.tolist())):
+        members, tree = trees[len(own)]
+        found = members[tree.near(own, size)]
+        found = found[found < i]
+        if len(own) // 2 in trees:
+            members, tree = trees[len(own) // 2]
+            found = np.concatenate([found, members[tree.near(folded(own[None], len(own) // 2)[0], size)]])
         found = found[comp[found] != comp[i]]
         while len(found):
-            some = found[:64]
-            some = some[comp[some] != comp[i]]
-            for j in linked(i, some) if len(some) else ():
+            for j in linked(i, found[:32]):
                 if comp[j] != comp[i]:
                     edges.append((i, int(j)))
                     comp[comp == comp[j]] = comp[i]
-            found = found[64:]
+            found = found[32:]
             found = found[comp[found] != comp[i]]
     return edges
 
@@ -248,23 +270,28 @@ def edges_of_tiles(members: DataFrame) -> DataFrame:
         for table, starts in whole_groups(batches, 2):
             ends = np.append(starts[1:], table.num_rows)
             classes, labels, sizes = (table.column(c).to_numpy() for c in ("class", "label", "n_shingles"))
-            vectors, exact = table.column("vector"), table.column("shingles")
-            points = np.stack([vector(v) for v in vectors.to_pylist()])
+            vectors, exact = [vector(v) for v in table.column("vector").to_pylist()], table.column("shingles")
+            widths = np.fromiter(map(len, vectors), np.int64, len(vectors))
             a, b = [], []
-            pairs = starts[(ends - starts) == 2]
-            if exact.null_count and len(pairs):  # most blocks hold two classes
-                bound = np.minimum(points[pairs], points[pairs + 1]).sum(axis=1)
-                near = pairs[(bound >= needed(sizes[pairs], sizes[pairs + 1])) & (labels[pairs] != labels[pairs + 1])]
-                a += classes[near].tolist()
-                b += classes[near + 1].tolist()
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                if e - s < 2 or e - s == 2 and exact.null_count:
-                    continue
+            several = ends - starts > 1
+            if exact.null_count:  # most blocks hold two classes
+                pairs = starts[ends - starts == 2]
+                alike = pairs[widths[pairs] == widths[pairs + 1]]
+                several[np.searchsorted(starts, alike)] = False
+                for width in np.unique(widths[alike]).tolist():
+                    left = alike[widths[alike] == width]
+                    for at in range(0, len(left), PAIRS):
+                        own = left[at:at + PAIRS]
+                        bound = np.minimum(np.stack([vectors[i] for i in own]), np.stack([vectors[i + 1] for i in own])).sum(axis=1)
+                        near = own[(bound >= needed(sizes[own], sizes[own + 1])) & (labels[own] != labels[own + 1])]
+                        a += classes[near].tolist()
+                        b += classes[near + 1].tolist()
+            for s, e in zip(starts[several].tolist(), ends[several].tolist()):
                 if exact.null_count:
                     test = lambda i, others: others
                 else:
                     test = overlaps([np.frombuffer(x, np.uint64) for x in exact.slice(s, e - s).to_pylist()])
-                for i, j in forest(points[s:e], sizes[s:e], labels[s:e], test):
+                for i, j in forest(vectors[s:e], sizes[s:e], labels[s:e], test):
                     a.append(int(classes[s + i]))
                     b.append(int(classes[s + j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -315,7 +342,7 @@ def candidate_components(found: DataFrame, block_tile: int) -> DataFrame:
     rows = found.where(F.col("vector").isNotNull()).select(F.explode("prefix").alias("key"), "class")
     shared = written(blocks(rows), "blocks")
     members = shared.join(points, "class").select(F.col("block").alias("group"), "class", "n_shingles", "vector", F.lit(None).cast("binary").alias("shingles"))
-    return components(joined(members, "1", block_tile))
+    return components(joined(members, f"greatest({GROUPS * SHARE}, n_shingles)", block_tile))
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -325,10 +352,9 @@ def sets_of(docs: DataFrame) -> DataFrame:
             n = batch.num_rows
             hashes, owner = distinct_sets(*shingle_hashes(utf8(batch.column(2))))
             sizes = np.bincount(owner, minlength=n)
-            vectors = group_counts(hashes, owner, n)
             parts = np.split(hashes, np.cumsum(sizes)[:-1])
             out = pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(sizes), pa.array([vector_bytes(v) for v in vectors], pa.binary()),
+                batch.column(0), batch.column(1), pa.array(sizes), pa.array([count_vector(p) for p in parts], pa.binary()),
                 pa.array([p.tobytes() for p in parts], pa.binary()),
             ], names=["group", "class", "n_shingles", "vector", "shingles"])
             # rows that share an id may have another text than the one that was meant
@@ -354,3 +380,15 @@ def jaccard_components(docs: DataFrame, block_tile: int = BLOCK_TILE, set_tile:
     smallest = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("smallest"))
     final = placed.join(smallest, "root", "left")
     return final.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """Of each component the rows with its smallest id, each text of such an id once, with all columns.
+
+    Documents without words, and components without any id, keep their rows.
+    """
+    placed = jaccard_components(docs)
+    leaders = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("leader")).distinct()
+    kept = docs.join(leaders, F.col("doc_id").eqNullSafe(F.col("leader")), "left_semi")
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return kept.withColumn("copy_number", F.row_number().over(copies)).where("copy_number = 1").drop("copy_number")
