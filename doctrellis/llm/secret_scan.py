@@ -179,7 +179,7 @@ def redact(docs: DataFrame, ordinary: np.ndarray | None = None, total: float = T
     cleaned = mapped(docs, docs.schema, work)
     if "n_chars" not in docs.columns:
         return cleaned
-    return cleaned.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return cleaned.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def listed(spans: Column) -> Column:
