@@ -55,23 +55,6 @@ EXAMPLE_PLACEHOLDERS = (
 REVIEW_FOLDER = "review"
 REVIEW_BRIEF = ".review-brief.md"
 
-# --- fixed values: phase order and the folder each phase writes -------------------------
-PHASE_CHAIN = ("01", "02", "03", "04", "05", "06", "07", "09", "10", "11", "close")
-PHASE_FOLDERS = {
-    "01": "01_requirements",
-    "02": "02_analysis",
-    "03": "03_change-requirements",
-    "04": "04_specout",
-    "05": "05_architecture",
-    "06": "06_design",
-    "07": "07_coding",
-    "09": "09_test-spec",
-    "10": "10_test-results",
-    "11": "latest-specs",
-    "close": "",
-}
-MULTI_PHASES = ("04", "11")
-
 # --- fixed values: requirement notation -------------------------------------------------
 GROUP_NAME = r"^＜.+＞$"
 REQUIREMENT_ID = r"^[A-Za-z][A-Za-z0-9_-]*$"
@@ -98,8 +81,6 @@ SCALE_LIMITS = {"UR": 20, "module": 10, "SP": 50, "test_case": TEST_CASE_MAX_COU
 TEXT_CHANGE_RATIO = 0.2
 BUDGET_MARGIN = 1.5
 ERROR_TEXT_CHARS = 200
-OUTPUT_TEXT_CHARS = 4000
-DEFAULT_PHASE_ESTIMATE_USD = 0.10
 
 # --- fixed values: line-comment markers by file extension (our choice of languages) -----
 LINE_COMMENTS = {

@@ -134,9 +134,9 @@ def structural_properties(text: Column | str) -> Column:
 
 
 def table_cells(line: Column | str) -> Column:
-    """Cells of a pipe row: outer pipes dropped, split on the others, each trimmed."""
-    inner = F.regexp_replace(F.regexp_replace(trim_u(line), r"^\|", ""), r"\|$", "")
-    return F.transform(F.split(inner, r"\|", -1), trim_u)
+    """Cells of a pipe row: outer pipes dropped, split on the others, each trimmed; ``\\|`` is text."""
+    inner = F.regexp_replace(F.regexp_replace(trim_u(line), r"^\|", ""), r"(?<!\\)\|$", "")
+    return F.transform(F.split(inner, r"(?<!\\)\|", -1), lambda c: F.replace(trim_u(c), F.lit("\\|"), F.lit("|")))
 
 
 def logical_lines(text: Column | str) -> Column:

@@ -1,14 +1,18 @@
 """Wave-by-wave discovery over a reference graph, and plain graph reachability.
 
-Every wave is written below the shared work folder as ``<table>/wave=<n>`` before the next
-one starts: that is the checkpoint, it cuts the lineage, it survives lost executors, and a
-half-written wave is simply overwritten when it is run again.
+Every wave is written below a shared folder as ``<table>/wave=<n>`` before the next one
+starts: that is the checkpoint, it cuts the lineage and it survives lost executors.  A wave
+counts once its row in the ``state`` table is there, which is written last; a walk that is
+started again on its folder goes on after its last whole wave and overwrites what a broken
+one left.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +20,11 @@ from ..functions.text import _col, all_matches, dirname
 from ..session import durable_dir
 from .facts import is_comment_line, md_lines
 
-# A frontier of at most this many rows is small whatever the graph; beyond it the join is
-# shuffled and adaptive execution may split hot symbols.
-BROADCAST_ROWS = 200_000
-
 
 def work_folder(spark: SparkSession, name: str) -> str:
     return f"{durable_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 class WaveStore:
     """Tables of a walk, one folder per wave."""
 
@@ -41,6 +37,24 @@ class WaveStore:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def wave(self, table: str, wave: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{table}/wave={wave}")
+
+    def commit(self, wave: int, frontier: int) -> None:
+        """Wave ``wave`` is whole: its frontier, of that many symbols, is to be searched next."""
+        row = self.spark.range(1).select(F.lit(wave).alias("waves"), F.lit(frontier).cast("bigint").alias("frontier"))
+        self.write("state", wave, row)
+
+    def last(self) -> tuple[int, int] | None:
+        """(wave, size of its frontier) of the last whole wave, if the folder holds a walk."""
+        try:
+            row = self.spark.read.parquet(f"{self.root}/state/wave=*").agg(F.max(F.struct("waves", "frontier")).alias("s")).first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return row.s.waves, row.s.frontier
+
     def read(self, table: str, schema) -> DataFrame:
         """All waves so far, with the wave number as a column."""
         return (
@@ -66,7 +80,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
         depth += 1
         known = store.read("nodes", schema).select("node")
         stepped = (
-            graph.join(_small(newest.withColumnRenamed("node", "src"), size), "src")
+            graph.join(newest.withColumnRenamed("node", "src"), "src")
             .select(F.col("dst").alias("node")).distinct()
             .join(known, "node", "left_anti")
         )
@@ -75,21 +89,51 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     return store.read("nodes", schema).select("node", F.col("wave").alias("depth"))
 
 
-def code_index(files: DataFrame) -> DataFrame:
-    """Token index of source files ``(path, text)``.
+@dataclass
+class CodeIndex:
+    """``tokens(file, line, symbol, is_comment, derived, passed)`` and
+    ``formals(callee, position, formal, callee_file)``."""
+
+    tokens: DataFrame
+    formals: DataFrame
+
+
+_STRING = r"""\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'""".replace("\\\\", "\\")
+
 
-    ``(file, line, symbol, is_comment, derived)``: one row per distinct identifier on a
-    line, and one more per identifier that is passed to a known definition; a walk merges
-    them when it groups hits by location, so the tokens themselves are never shuffled
-    here.  ``derived`` lists what a hit propagates to as ``struct<symbol, scope_file,
-    confidence>``: the enclosing definition and an assignment target (HIGH, everywhere),
-    and the formal parameter an argument lands in (MEDIUM, inside the file that defines
-    the callee).
+def calls_of(text: Column) -> Column:
+    """``array<string>`` of the calls ``name(arguments)`` in a line, inner ones first.
+
+    String literals are emptied.  From the inside out, each call is noted and its brackets and
+    commas become blanks, so that the outer call keeps its own arguments apart.
+    """
+    bare = F.regexp_replace(text, _STRING, "''")
+    levels = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(bare, F.lit(r"\("))))
+    start = F.struct(bare.alias("rest"), F.array().cast("array<string>").alias("found"))
+
+    def peel(state: Column, _: Column) -> Column:
+        parts = F.regexp_extract_all(state["rest"], F.lit(r"(\([^()]*\)|[^()]+|[()])"), 1)
+        opened = F.transform(parts, lambda x: F.when(F.rlike(x, F.lit(r"^\([^()]*\)$")), F.translate(x, "(),", "   ")).otherwise(x))
+        inner = F.regexp_extract_all(state["rest"], F.lit(r"(?<!def )(?<!class )\b([A-Za-z_]\w*\([^()]*\))"), 1)
+        return F.struct(F.array_join(opened, "").alias("rest"), F.concat(state["found"], inner).alias("found"))
+
+    return F.aggregate(levels, start, peel, lambda s: s["found"])
+
+
+def code_index(files: DataFrame) -> CodeIndex:
+    """Index of source files ``(path, text)``, as large as the files themselves.
+
+    There is one token row per distinct identifier on a line.  ``derived`` lists the symbols
+    a hit propagates to everywhere (HIGH): the enclosing definition and an assignment target.
+    ``passed`` lists the calls it is an argument of, as ``struct<callee, position>``; which
+    parameters those are is looked up for hits alone, so a name that many files define and
+    many call costs nothing until it is reached.
     """
     define = r"^\s*(?:def|class|function|func|fn)\s+([A-Za-z_]\w*)"
     lines = md_lines(files).withColumnRenamed("path", "file")
     so_far = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     name = F.regexp_extract("text", define, 1)
+    word = r"([A-Za-z_]\w*)"
     enclosed = (
         lines.filter(F.rlike("text", F.lit(r"\w")))
         .withColumn("_def", F.when(name != "", name))
@@ -102,43 +146,32 @@ def code_index(files: DataFrame) -> DataFrame:
             F.col("_def").alias("callee"), F.col("file").alias("callee_file"),
             F.posexplode(F.split(F.regexp_extract("text", r"\(([^)]*)\)", 1), ",")).alias("position", "formal"),
         )
-        .select("callee", "callee_file", "position", F.regexp_extract("formal", r"^\s*([A-Za-z_]\w*)", 1).alias("formal"))
-        .filter("formal <> ''")
-    )
-    calls = all_matches("text", r"(?<!def )(?<!class )\b([A-Za-z_]\w*)\(([^()]*)\)", 0)
-    arguments = (
-        enclosed.filter(F.rlike("text", F.lit(r"\w\("))  & F.col("_def").isNull())
-        .select("file", "line", F.explode(calls).alias("call"))
-        .select(
-            "file", "line", F.regexp_extract("call", r"^(\w+)\(", 1).alias("callee"),
-            F.posexplode(F.split(F.regexp_extract("call", r"\((.*)\)$", 1), ",")).alias("position", "actual"),
-        )
-        .select("file", "line", "callee", "position", F.explode(F.array_distinct(all_matches("actual", r"([A-Za-z_]\w*)"))).alias("symbol"))
+        .select("callee", "position", F.regexp_extract("formal", r"^\s*([A-Za-z_]\w*)", 1).alias("formal"), "callee_file")
+        .filter("formal <> ''").distinct()
     )
-    passed = (
-        arguments.join(formals, ["callee", "position"]).filter("symbol <> formal").select(
-            "file", "line", "symbol", F.lit(False).alias("is_comment"),
-            F.array(F.struct(
-                F.col("formal").alias("symbol"), F.col("callee_file").alias("scope_file"), F.lit("MEDIUM").alias("confidence")
-            )).alias("derived"),
-        )
-    )
-
-    def high(c: str) -> Column:
-        return F.struct(F.col(c).alias("symbol"), F.lit(None).cast("string").alias("scope_file"), F.lit("HIGH").alias("confidence"))
-
+    # One struct per argument of a call: the callee, the place, and the identifiers in it.
+    arguments = F.flatten(F.transform(
+        F.when(F.col("_def").isNull() & F.contains("text", F.lit("(")), calls_of(F.col("text"))),
+        lambda call: F.transform(
+            F.split(F.regexp_extract(call, r"\((.*)\)$", 1), ","),
+            lambda a, i: F.struct(
+                F.regexp_extract(call, r"^(\w+)\(", 1).alias("callee"), i.alias("position"), F.regexp_extract_all(a, F.lit(word), 1).alias("words"),
+            ),
+        ),
+    )).cast("array<struct<callee: string, position: int, words: array<string>>>")
     tokens = enclosed.select(
         "file", "line", is_comment_line("file", "text").alias("is_comment"),
-        F.array_compact(F.array(
-            F.when(F.col("enclosing").isNotNull(), high("enclosing")),
-            F.when(F.col("lhs") != "", high("lhs")),
-        )).alias("_high"),
-        F.explode(F.array_distinct(all_matches("text", r"([A-Za-z_]\w*)"))).alias("symbol"),
+        F.array_compact(F.array(F.col("enclosing"), F.nullif(F.col("lhs"), F.lit("")))).alias("_high"),
+        arguments.alias("_arguments"), F.explode(F.array_distinct(all_matches("text", word))).alias("symbol"),
     ).select(
         "file", "line", "symbol", "is_comment",
-        F.filter("_high", lambda d: d["symbol"] != F.col("symbol")).alias("derived"),
+        F.array_distinct(F.filter("_high", lambda d: d != F.col("symbol"))).alias("derived"),
+        F.transform(
+            F.filter("_arguments", lambda a: F.array_contains(a["words"], F.col("symbol"))),
+            lambda a: F.struct(a["callee"].alias("callee"), a["position"].alias("position")),
+        ).cast("array<struct<callee: string, position: int>>").alias("passed"),
     )
-    return tokens.unionByName(passed)
+    return CodeIndex(tokens, formals)
 
 
 def noisy_symbols(hits: DataFrame, max_files: int) -> DataFrame:
@@ -167,84 +200,109 @@ def reconcile_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("balanced", F.expr("raw = recorded + dedup + filtered + collapsed"))
 
 
+def _next_symbols(spread: DataFrame, formals: DataFrame) -> DataFrame:
+    """``(symbol, scope_file, confidence, origin...)`` that propagating hits lead to, one row each.
+
+    The origin is the first hit, by symbol, file and line.
+    """
+    origin = F.struct(F.col("symbol").alias("origin"), F.col("file").alias("origin_file"), F.col("line").alias("origin_line")).alias("o")
+    named = spread.select(origin, F.explode("derived").alias("symbol")).select(
+        "o", "symbol", F.lit(None).cast("string").alias("scope_file"), F.lit("HIGH").alias("confidence"),
+    )
+    passed = (
+        spread.select(origin, F.col("symbol").alias("actual"), F.inline("passed"))
+        .join(formals, ["callee", "position"]).filter("actual <> formal")
+        .select("o", F.col("formal").alias("symbol"), F.col("callee_file").alias("scope_file"), F.lit("MEDIUM").alias("confidence"))
+    )
+    return named.unionByName(passed).groupBy("symbol", "scope_file", "confidence").agg(F.min("o").alias("o")).select(
+        "symbol", "scope_file", "confidence", "o.*"
+    )
+
+
 def discover(
-    index: DataFrame, seeds: DataFrame, max_files: int, max_waves: int, collapse: bool = True,
-    comment_filter: bool = True, classify=None,
+    index: CodeIndex, seeds: DataFrame, max_files: int, max_waves: int, collapse: bool = True,
+    comment_filter: bool = True, classify=None, root: str | None = None, dropped: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Walk from ``seeds(symbol)``; returns ``hits``, ``frontier``, ``confirmed``, ``counts``
-    and ``pending``.
+    """Walk from ``seeds(symbol)``; returns ``hits``, ``frontier``, ``confirmed``, ``counts``,
+    ``metrics`` and ``pending``.
 
     Reaching ``max_waves`` pauses the walk and loses nothing: ``pending`` holds the symbols
-    that were found but not searched (see ``close_pending``).
+    that were found but not searched (see ``close_pending``).  Given a ``root`` folder that
+    holds a walk, it goes on after its last whole wave; ``dropped(symbol)`` then leaves
+    symbols out of the waiting frontier (prune, record or out of scope).
 
     Per wave: match the frontier against the index, set comment lines and locations that
-    an earlier wave recorded aside (kept, with the reason), test what remains for noise,
-    keep representatives of noisy symbols, derive the next frontier from the symbols that
-    are not noisy.  All files of noisy symbols are confirmed all the same, so results do
-    not depend on ``collapse``.
+    an earlier wave met aside (kept, with the reason), test what remains for noise, keep
+    representatives of noisy symbols, derive the next frontier from the symbols that are not
+    noisy.  A location that was met before is counted once, but another symbol on it still
+    propagates.  All files of noisy symbols are confirmed all the same, and locations are
+    the same with and without ``collapse``, so results do not depend on it.
 
     ``classify(hits) -> DataFrame`` may add a boolean ``relevant`` per (symbol, file,
     line); a hit it leaves without a class stops the wave before anything is committed.
     """
-    spark = index.sparkSession
-    store = WaveStore(spark, work_folder(spark, "discover"))
-    table = store.write("index", 0, index)
-    frontier = store.write(
-        "frontier", 0,
-        seeds.select("symbol").distinct().select(
-            "symbol", F.lit(None).cast("string").alias("scope_file"), F.lit("HIGH").alias("confidence"),
-            F.lit(None).cast("string").alias("origin"),
-        ),
-    )
-    frontier_schema, hit_schema, wave, size = frontier.schema, None, 0, frontier.count()
+    spark = index.tokens.sparkSession
+    store = WaveStore(spark, root or work_folder(spark, "discover"))
+    known_state = store.last()
+    if known_state is None:
+        store.write("index", 0, index.tokens)
+        store.write("formals", 0, index.formals)
+        frontier = store.write(
+            "frontier", 0,
+            seeds.select("symbol").distinct().select(
+                "symbol", F.lit(None).cast("string").alias("scope_file"), F.lit("HIGH").alias("confidence"),
+                F.lit(None).cast("string").alias("origin"), F.lit(None).cast("string").alias("origin_file"), F.lit(None).cast("int").alias("origin_line"),
+            ),
+        )
+        store.commit(0, frontier.count())
+        known_state = store.last()
+    wave, size = known_state
+    table, formals, frontier = store.wave("index", 0), store.wave("formals", 0), store.wave("frontier", wave)
+    frontier_schema = frontier.schema
+    hit_schema = store.wave("hits", 0).schema if wave else None
+    if dropped is not None and size:
+        frontier = frontier.join(dropped.select("symbol").distinct(), "symbol", "left_anti")
+        size = frontier.count()
     while size and wave < max_waves:
-        found = table.join(
-            _small(frontier.select("symbol", "scope_file", "confidence"), size), "symbol"
-        ).filter("scope_file is null or scope_file = file")
+        wanted = frontier.select("symbol", "scope_file", "confidence")
+        found = table.join(wanted, "symbol").filter("scope_file is null or scope_file = file")
         # A location counts once per symbol, at its best confidence.
         found = found.groupBy("symbol", "file", "line").agg(
             F.min("confidence").alias("confidence"), F.bool_or("is_comment").alias("is_comment"),
-            F.array_distinct(F.flatten(F.collect_list("derived"))).alias("derived"),
+            F.first("derived").alias("derived"), F.first("passed").alias("passed"),
         )
         if hit_schema is None:
             tagged = found.withColumn("_seen", F.lit(None).cast("boolean"))
         else:
-            seen = store.read("hits", hit_schema).filter("reason = 'recorded'").select(
+            seen = store.read("hits", hit_schema).filter("reason in ('recorded', 'noise-collapse')").select(
                 "file", "line", F.lit(True).alias("_seen")
             ).distinct()
             tagged = found.join(seen, ["file", "line"], "left")
-        dropped = (
+        aside = (
             F.when(F.col("is_comment") & F.lit(comment_filter), "comment").when(F.col("_seen").isNotNull(), "dedup")
         )
         # Written down before it is used three times: the index is read once per wave.
-        judged = store.write("matched", wave, tagged.withColumn("reason", dropped).drop("_seen", "is_comment"))
-        live = judged.filter("reason is null")
-        noisy = noisy_symbols(live, max_files).select("symbol", F.lit(True).alias("noisy"))
-        marked = judged.join(noisy, "symbol", "left").withColumn(
-            "noisy", F.col("noisy").isNotNull() & F.col("reason").isNull()
-        )
+        judged = store.write("matched", wave, tagged.withColumn("reason", aside).drop("_seen", "is_comment"))
+        noisy = noisy_symbols(judged.filter("reason is null"), max_files).select("symbol", F.lit(True).alias("noisy"))
+        marked = judged.join(noisy, "symbol", "left").withColumn("noisy", F.col("noisy").isNotNull())
         if collapse:
-            kept = representatives(marked.filter("noisy"), max_files).withColumn("_kept", F.lit(True))
+            kept = representatives(marked.filter("noisy and reason is null"), max_files).withColumn("_kept", F.lit(True))
             marked = marked.join(kept, ["symbol", "file", "line"], "left").withColumn(
-                "reason", F.when(F.col("noisy") & F.col("_kept").isNull(), "noise-collapse").otherwise(F.col("reason"))
+                "reason", F.when(F.col("noisy") & F.col("_kept").isNull() & F.col("reason").isNull(), "noise-collapse").otherwise(F.col("reason"))
             ).drop("_kept")
         hits = marked.withColumn("reason", F.coalesce("reason", F.lit("recorded"))).withColumn("relevant", F.lit(True))
+        judged_by = "reason in ('recorded', 'dedup')"
         if classify is not None:
-            classes = classify(hits.filter("reason = 'recorded'").drop("relevant")).select("symbol", "file", "line", "relevant")
+            classes = classify(hits.filter(judged_by).drop("relevant")).select("symbol", "file", "line", "relevant")
             hits = hits.drop("relevant").join(classes, ["symbol", "file", "line"], "left")
-            if not hits.filter("reason = 'recorded' and relevant is null").isEmpty():
+            if not hits.filter(f"{judged_by} and relevant is null").isEmpty():
                 raise ValueError(f"wave {wave}: hits without a class; nothing was committed")
             hits = hits.withColumn("relevant", F.coalesce("relevant", F.lit(True)))
         hits = store.write("hits", wave, hits)
         hit_schema = hits.schema
 
-        known = store.read("frontier", frontier_schema).select("symbol", "scope_file").distinct()
-        derived = (
-            hits.filter("reason = 'recorded' and relevant and not noisy")
-            .select(F.col("symbol").alias("origin"), F.explode("derived").alias("d"))
-            .select("d.symbol", "d.scope_file", "d.confidence", "origin")
-            .groupBy("symbol", "scope_file", "confidence").agg(F.min("origin").alias("origin"))
-        )
+        known = store.read("frontier", frontier_schema).filter(F.col("wave") <= wave).select("symbol", "scope_file").distinct()
+        derived = _next_symbols(hits.filter(f"{judged_by} and relevant and not noisy"), formals)
         everywhere = known.filter("scope_file is null").select("symbol")
         derived = derived.join(everywhere, "symbol", "left_anti").join(
             known.select(F.col("symbol").alias("_ks"), F.col("scope_file").alias("_kf")),
@@ -253,19 +311,21 @@ def discover(
         wave += 1
         frontier = store.write("frontier", wave, derived.select(*frontier_schema.names))
         size = frontier.count()
+        store.commit(wave, size)
 
     if hit_schema is None:
-        empty = table.filter("false").select("symbol", "file", "line").withColumns({
+        empty = table.filter("false").select("symbol", "file", "line", "derived", "passed").withColumns({
             "confidence": F.lit("HIGH"), "reason": F.lit("recorded"), "noisy": F.lit(False), "relevant": F.lit(True),
         })
         hit_schema = store.write("hits", 0, empty).schema
-    all_hits = store.read("hits", hit_schema)
+    all_hits = store.read("hits", hit_schema).filter(F.col("wave") < max(wave, 1))
     live_hits = all_hits.filter("reason in ('recorded', 'noise-collapse') and (relevant or noisy)")
     return {
         "hits": all_hits,
-        "frontier": store.read("frontier", frontier_schema),
+        "frontier": store.read("frontier", frontier_schema).filter(F.col("wave") <= wave),
         "confirmed": live_hits.groupBy("file").agg(F.min("confidence").alias("confidence")),
-        "counts": reconcile_counts(all_hits, ["wave"]),
+        "counts": reconcile_counts(all_hits, ["wave", "symbol"]),
+        "metrics": reconcile_counts(all_hits, ["wave"]),
         "pending": frontier,
     }
 

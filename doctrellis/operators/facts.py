@@ -302,14 +302,19 @@ def mermaid_blocks(docs: DataFrame) -> DataFrame:
 
 
 def mermaid_edges(docs: DataFrame) -> DataFrame:
-    """``(path, line, src, dst)`` of arrows; node labels are dropped."""
-    node = r"([A-Za-z0-9_]+)(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\})?"
+    """``(path, line, src, dst)`` of arrows, also of several on a line; node labels are dropped."""
+    label = r"(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\})"
     arrow = r"\s*(?:-->|---|-\.->|==>)(?:\|[^|]*\|)?\s*"
-    pattern = r"^\s*" + node + arrow + node
-    return mermaid_blocks(docs).filter(F.rlike("text", F.lit(pattern))).select(
-        "path", "line",
-        F.regexp_extract("text", pattern, 1).alias("src"),
-        F.regexp_extract("text", pattern, 2).alias("dst"),
+    chain = rf"^\s*[A-Za-z0-9_]+{label}?(?:{arrow}[A-Za-z0-9_]+{label}?)+"
+    nodes = F.transform(
+        F.split(F.regexp_extract("text", chain, 0), arrow, -1), lambda n: F.regexp_extract(n, r"^\s*([A-Za-z0-9_]+)", 1)
+    )
+    steps = F.transform(
+        F.sequence(F.lit(0), F.size("_nodes") - 2),
+        lambda i: F.struct(F.get("_nodes", i).alias("src"), F.get("_nodes", i + 1).alias("dst")),
+    )
+    return mermaid_blocks(docs).filter(F.rlike("text", F.lit(chain))).withColumn("_nodes", nodes).select(
+        "path", "line", F.inline(steps)
     )
 
 

@@ -26,10 +26,15 @@ def parse_responses(raw: DataFrame, json_col: str = "response") -> DataFrame:
         F.coalesce("_r.usage.input_tokens", F.lit(0)).alias("input_tokens"),
         F.coalesce("_r.usage.output_tokens", F.lit(0)).alias("output_tokens"),
         call_failed("_r.is_error", "_r._returncode").alias("failed"),
-        clip(F.coalesce(F.nullif(F.col("_r.result"), F.lit("")), F.col("_r._stderr"), F.lit("")), K.ERROR_TEXT_CHARS).alias("error"),
+        F.coalesce(F.nullif(F.col("_r.result"), F.lit("")), F.col("_r._stderr"), F.lit("")).alias("error"),
     )
 
 
+def error_excerpt(error: Column | str = "error", length: int = K.ERROR_TEXT_CHARS) -> Column:
+    """The start of an error text, for a report line; tables keep the whole text."""
+    return clip(error, length)
+
+
 def budget_totals(costs: DataFrame, keys: list[str]) -> DataFrame:
     """Cost and token sums and the number of steps, per key."""
     return costs.groupBy(*keys).agg(
@@ -129,8 +134,10 @@ def resolve_model(override: Column, by_phase: Column, default: Column, fallback:
 
 def lookup_with_default(rows: DataFrame, table: DataFrame, key: str, value: str, wildcard: str = "*") -> DataFrame:
     """Exact match first, else the wildcard's value, else drop the row."""
-    exact = table.select(F.col("key").alias(key), F.col(value).alias("_exact"))
-    default = table.filter(F.col("key") == wildcard).select(F.max(value)).scalar()
+    # An empty entry counts as none, and a key given twice has one value.
+    given = table.withColumn(value, F.nullif(F.col(value), F.lit(""))).groupBy("key").agg(F.max(value).alias(value))
+    exact = given.select(F.col("key").alias(key), F.col(value).alias("_exact"))
+    default = given.filter(F.col("key") == wildcard).select(F.max(value)).scalar()
     return (
         rows.join(exact, key, "left")
         .withColumn(value, F.coalesce(F.col("_exact"), default))

@@ -1,18 +1,17 @@
 """Ordered scans that hold up when one key owns a large share of the rows.
 
-A window partitioned by a key puts all rows of that key into one task.  ``ordered_scan``
-first looks at the largest group (one map-side-combined count).  Ordinary groups use the
-plain window.  When a group is larger than ``GROUP_ROWS``, rows are range-partitioned on
-(key, order) instead, so that a hot key is cut into consecutive segments; each segment is
-scanned on its own and the values carried in from earlier segments of the same key come
-from a table with at most two rows per segment boundary.
+A window partitioned by a key puts all rows of that key into one task.  That is what
+``ordered_scan`` does unless the caller asks for ``segments``: then rows are
+range-partitioned on (key, order) into that many, so that a hot key is cut into consecutive
+segments; each segment is scanned on its own and the values carried in from earlier
+segments of the same key come from a table with at most two rows per segment boundary.
+The caller decides because it knows its keys; nothing is measured while a plan is built.
 
 The order columns must identify a row within its key.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,13 +19,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Rows of one key that a single task may scan comfortably, and rows aimed at per segment.
-GROUP_ROWS = 4_000_000
-SEGMENT_ROWS = 1_000_000
-# Most segments a scan is cut into; with two carried rows each this bounds the broadcast.
-MAX_SEGMENTS = 20_000
-
-
 @dataclass(frozen=True)
 class RunningSum:
     """Sum of ``value`` (NULL counts as 0) up to the row, or up to the row before it."""
@@ -69,26 +61,15 @@ def Following(value: Column) -> NextValue:
     return NextValue(F.struct(value.alias("v")), inclusive=False)
 
 
-def has_large_group(df: DataFrame, keys: list[str], group_rows: int | None = None) -> bool:
-    """Whether any key holds more than ``group_rows`` rows."""
-    limit = GROUP_ROWS if group_rows is None else group_rows
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > limit
-
-
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     scans: dict[str, Scan],
-    group_rows: int | None = None,
-    segment_rows: int | None = None,
-    bounded: bool = False,
+    segments: int | None = None,
 ) -> DataFrame:
-    """Add one column per scan.  ``bounded=True`` says the groups are small by nature."""
-    if bounded or not has_large_group(df, keys, group_rows):
-        return _plain(df, keys, order, scans)
-    return _segmented(df, keys, order, scans, segment_rows or SEGMENT_ROWS)
+    """Add one column per scan; ``segments`` cuts rows so that one key may own most of them."""
+    return _plain(df, keys, order, scans) if segments is None else _segmented(df, keys, order, scans, segments)
 
 
 def _unwrap(df: DataFrame, scans: dict[str, Scan]) -> DataFrame:
@@ -126,8 +107,7 @@ def _plain(df, keys, order, scans):
     )
 
 
-def _segmented(df, keys, order, scans, segment_rows):
-    segments = min(MAX_SEGMENTS, max(2, math.ceil(df.count() / segment_rows)))
+def _segmented(df, keys, order, scans, segments):
     values = {f"_v_{name}": s.value for name, s in scans.items() if not isinstance(s, RowNumber)}
     # Segment numbers come from sampled range bounds, so they are written down once:
     # both passes below must see the same cut.
@@ -187,8 +167,7 @@ def _segmented(df, keys, order, scans, segment_rows):
     match = local["_segment"] == carry["_s"]
     for key in keys:
         match = match & local[key].eqNullSafe(carry[f"_k_{key}"])
-    # At most 2 x MAX_SEGMENTS rows: safe to broadcast.
-    joined = local.join(F.broadcast(carry), match, "left")
+    joined = local.join(carry, match, "left")
     result = {}
     for name, scan in scans.items():
         if isinstance(scan, (LastValue, NextValue)):

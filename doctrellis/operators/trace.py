@@ -151,11 +151,14 @@ def posting_lists(rows: DataFrame, tag: str, member: str, numbered: DataFrame, s
 
 
 def with_empty_tags(index: DataFrame, tags: DataFrame, tag: str) -> DataFrame:
-    """Every known tag appears; one without members shows a dash."""
-    return tags.select(tag).distinct().join(index, tag, "left").select(
-        tag, F.coalesce("block", F.lit(0)).alias("block"),
-        F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("ids", F.lit("—")).alias("ids"),
+    """Every known tag appears; one without members shows a dash.
+
+    Only the distinct tags are compared; posting lists stay where they are.
+    """
+    empty = tags.select(tag).distinct().join(index.select(tag).distinct(), tag, "left_anti").select(
+        tag, F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("members"), F.lit("—").alias("ids"),
     )
+    return index.select(tag, "block", "members", "ids").unionByName(empty)
 
 
 def crosstab(rows: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:

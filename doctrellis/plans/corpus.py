@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import spread, table
+from .registry import table
 
 HOME, REPO = "~/.books/", "books/"
 
@@ -52,7 +52,7 @@ def render(rows: DataFrame, path: Column, text: Column, *more: str) -> DataFrame
 
 def order_docs(spark: SparkSession, folder: str) -> DataFrame:
     """One working document per order: references, a call with payload, a table, a diagram."""
-    orders = spread(table(spark, folder, "orders"))
+    orders = table(spark, folder, "orders")
     mapping = F.create_map(*[F.lit(x) for pair in SEGMENT_OF_PRIORITY.items() for x in pair])
     orders = orders.withColumn("seg", F.try_element_at(mapping, F.col("o_orderpriority"))).withColumn(
         "day", F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -111,19 +111,19 @@ def customer_docs(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     home = F.when(F.col("c_mktsegment") == "MACHINERY", "archive").otherwise("books")
-    customers = spread(table(spark, folder, "customer"))
+    customers = table(spark, folder, "customer")
     return render(customers, F.concat(home, say("/customer/c{}.md", "c_custkey")), text)
 
 
 def template_docs(spark: SparkSession, folder: str) -> DataFrame:
     """A template per part with its placeholder, and a note per line item naming parts sent back."""
     templates = render(
-        spread(table(spark, folder, "part")),
+        table(spark, folder, "part"),
         say("skills/part/templates/{}.md", "p_partkey"),
         say("size {} slot {P_{}} in {DB}", "p_size", "p_partkey"),
     )
     notes = render(
-        spread(table(spark, folder, "lineitem")),
+        table(spark, folder, "lineitem"),
         say("skills/return/{}-{}.md", "l_orderkey", "l_linenumber"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45), say("sent back {P_{}}", "l_partkey")).otherwise(F.lit("kept")),
     )
@@ -136,7 +136,7 @@ def run_docs(spark: SparkSession, folder: str) -> DataFrame:
         say("Run `{}.py u{} \\", "event_type", "user_id"),
         F.concat(F.lit("  --k"), F.get_json_object("props", "$.k"), F.lit(" --amount 1` now")),
     )
-    return render(spread(table(spark, folder, "events")), say("skills/run/{}.md", "event_id"), text, "ts")
+    return render(table(spark, folder, "events"), say("skills/run/{}.md", "event_id"), text, "ts")
 
 
 def requirement_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,13 +163,13 @@ def requirement_docs(spark: SparkSession, folder: str) -> DataFrame:
         "|---|---|---|---|",
         say("| UR-{} | SR-{}-001 | SP-{}-001, SP-{}-002 | |", "o_custkey", "o_orderkey", "o_orderkey", "o_orderkey"),
     )
-    return render(spread(table(spark, folder, "orders")), say("req/{}.md", "o_orderkey"), text)
+    return render(table(spark, folder, "orders"), say("req/{}.md", "o_orderkey"), text)
 
 
 def source_files(spark: SparkSession, folder: str) -> DataFrame:
     """One source file per customer and per order; orders call customers, customers use nations."""
     customers = render(
-        spread(table(spark, folder, "customer")),
+        table(spark, folder, "customer"),
         say("src/customer/{}.py", "c_custkey"),
         lines(
             say("# uses nation_{}", "c_nationkey"),
@@ -179,7 +179,7 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     orders = render(
-        spread(table(spark, folder, "orders")),
+        table(spark, folder, "orders"),
         say("src/order/{}.py", "o_orderkey"),
         lines(say("def order_{}():", "o_orderkey"), say("    return customer_{}(1)", "o_custkey")),
     )

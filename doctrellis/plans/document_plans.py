@@ -210,16 +210,16 @@ def _golden(spark, folder):
     return ids.unionByName(fixed)
 
 
-_GOLDEN_CTE = f"""WITH actual AS ({_ORDER_FACTS}),
-golden AS (SELECT s AS doc_set, 'id' AS kind, 'UR-' || c_custkey AS value FROM customer, unnest(['O', 'P']) AS u(s)
+_GOLDEN_CTE = f"""WITH actual AS MATERIALIZED ({_ORDER_FACTS}),
+golden AS MATERIALIZED (SELECT s AS doc_set, 'id' AS kind, 'UR-' || c_custkey AS value FROM customer, unnest(['O', 'P']) AS u(s)
  UNION ALL SELECT DISTINCT o_orderstatus, unnest(['required_heading', 'required_heading', 'frontmatter_key']),
   unnest(['Seen on {{DATE}}', 'Sign-off', 'owner']) FROM orders WHERE o_orderstatus <> 'F')"""
 
 
 @query("golden_violations", f"""{_GOLDEN_CTE}
-SELECT doc_set, 'missing_' || kind AS kind, value FROM golden g WHERE NOT EXISTS (
- SELECT 1 FROM actual a WHERE a.doc_set = g.doc_set AND a.value = g.value
-  AND a.kind = CASE g.kind WHEN 'required_heading' THEN 'heading' ELSE g.kind END)
+, expected AS (SELECT *, replace(kind, 'required_', '') AS actual_kind FROM golden)
+SELECT g.doc_set, 'missing_' || g.kind AS kind, g.value FROM expected g
+ LEFT JOIN actual a ON a.doc_set = g.doc_set AND a.value = g.value AND a.kind = g.actual_kind WHERE a.value IS NULL
 UNION ALL SELECT doc_set, kind, value FROM actual WHERE kind = 'unreplaced_token' AND doc_set IN (SELECT doc_set FROM golden)""")
 def golden_violations(spark, folder):
     return structure.compare_with_golden(structure.set_facts(_order_sets(spark, folder)), _golden(spark, folder))
@@ -432,11 +432,17 @@ def golden_json_round_trip(spark, folder):
 
 
 @query("artifact_folders", """
-SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'books/CR-*/02_analysis' WHEN 'O' THEN 'books/latest-specs' ELSE 'own/' || o_custkey END AS folder FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'own/' || o_custkey WHEN o_orderpriority <> '5-LOW' THEN 'books/CR-*/' || o_orderpriority END AS folder FROM orders""")
 def artifact_folders(spark, folder):
     """Folder by phase from the default table unless the row configures its own."""
-    from ..sources.files import artifact_glob
-
-    phase = F.when(F.col("o_orderstatus") == "F", "02").otherwise("11")
-    own = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("own/"), F.col("o_custkey").cast("string")))
-    return table(spark, folder, "orders").select("o_orderkey", artifact_glob(phase, own, root="books").alias("folder"))
+    from ..sources.files import artifact_globs
+
+    orders = table(spark, folder, "orders")
+    folders = orders.select("o_orderpriority").distinct().select(
+        F.col("o_orderpriority").alias("phase"), F.concat(F.lit("books/CR-*/"), F.col("o_orderpriority")).alias("pattern")
+    ).filter("phase <> '5-LOW'")
+    rows = orders.select(
+        "o_orderkey", F.col("o_orderpriority").alias("phase"),
+        F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("own/"), F.col("o_custkey").cast("string"))).alias("own"),
+    )
+    return artifact_globs(rows, folders, "phase", "own").select("o_orderkey", "folder")

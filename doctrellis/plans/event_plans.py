@@ -79,7 +79,7 @@ def budget_totals(spark, folder):
 @query("response_fields", """
 SELECT event_id, event_type AS phase, CASE WHEN event_type = 'signup' THEN 0 ELSE value END AS cost_usd,
  CASE WHEN event_type = 'view' THEN 0 ELSE user_id END AS input_tokens, CASE WHEN event_type = 'view' THEN 0 ELSE event_id END AS output_tokens,
- event_type IN ('error', 'click') AS failed, CASE WHEN event_type = 'error' THEN 'broken' ELSE 'stderr ' || event_id END AS error FROM events""")
+ event_type IN ('error', 'click') AS failed, CASE WHEN event_type = 'error' THEN 'broken' ELSE repeat('stderr ' || event_id || ' ', 40) END AS error FROM events""")
 def response_fields(spark, folder):
     """Run responses with optional members, rendered as JSON and read back typed."""
     kind = F.col("event_type")
@@ -90,7 +90,7 @@ def response_fields(spark, folder):
         F.when(kind == "error", F.lit("broken")).when(kind == "click", F.lit("")).alias("result"),
         kind.alias("_phase"),
         F.when(kind == "click", F.lit(2)).when(kind == "purchase", F.lit(0)).alias("_returncode"),
-        F.concat(F.lit("stderr "), F.col("event_id").cast("string")).alias("_stderr"),
+        F.repeat(F.concat(F.lit("stderr "), F.col("event_id").cast("string"), F.lit(" ")), 40).alias("_stderr"),
     ))
     return ledger.parse_responses(table(spark, folder, "events").select("event_id", response.alias("response")))
 
@@ -193,6 +193,6 @@ def running_error_share(spark, folder):
     return ordered_scan(
         rows, ["ledger"], _ORDER,
         {"errors": RunningSum(one), "seen": RowNumber(), "next_id": Following(F.col("event_id"))},
-        # One key by design, so it is always cut into segments.
-        group_rows=1, segment_rows=500_000,
+        # One key by design, so it is cut into segments.
+        segments=int(spark.conf.get("spark.sql.shuffle.partitions")),
     ).select("event_id", "errors", "seen", "next_id")

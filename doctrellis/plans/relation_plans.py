@@ -494,12 +494,13 @@ def seed_names(spark, folder):
 @query("model_lookup", """
 SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'm-' || (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') ELSE 'm-' || (SELECT count(*) FROM orders) END AS model FROM customer""")
 def model_lookup(spark, folder):
-    """Exact key first, else the wildcard entry."""
+    """Exact key first, else (also for an empty entry) the wildcard entry."""
     counted = table(spark, folder, "orders").agg(
         F.count(F.lit(1)).alias("all"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent")
     )
     models = counted.select(F.inline(F.array(
         F.struct(F.lit("BUILDING").alias("key"), F.concat(F.lit("m-"), F.col("urgent").cast("string")).alias("model")),
+        F.struct(F.lit("MACHINERY").alias("key"), F.lit("").alias("model")),
         F.struct(F.lit("*").alias("key"), F.concat(F.lit("m-"), F.col("all").cast("string")).alias("model")),
     )))
     return ledger.lookup_with_default(table(spark, folder, "customer").select("c_custkey", "c_mktsegment"), models, "c_mktsegment", "model").select("c_custkey", "model")

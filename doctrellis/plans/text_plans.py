@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions import markdown as M
 from ..functions.text import all_matches, lines_of, mask_dates, normalize_heading
-from ..functions.values import clip
 from ..operators import facts, lint, merge, references, report, structure, trace
 from ..operators.ordered import Previous, ordered_scan
 from .corpus import lines, say
-from .registry import query, spread, table
+from .registry import query, table
 
 # Lines of a text column in DuckDB; the texts break lines with line feeds only.
 _LINES = """SELECT {key}, i AS line, a[i] AS text FROM (SELECT {key}, CASE WHEN a[len(a)] = '' THEN a[1:len(a)-1] ELSE a END AS a
@@ -20,7 +18,7 @@ _DOC_LINES = _LINES.format(key="doc_id", col="text", tab="documents")
 
 
 def _document_lines(spark, folder):
-    return spread(table(spark, folder, "documents")).select(
+    return table(spark, folder, "documents").select(
         "doc_id", F.posexplode(lines_of("text")).alias("line", "text")
     ).withColumn("line", F.col("line") + 1)
 
@@ -35,18 +33,18 @@ SELECT doc_id, count(*) AS n_lines, count(DISTINCT text) AS n_distinct, max(leng
 def line_profile(spark, folder):
     """Line statistics inside the row: no explode, no shuffle."""
     lines = lines_of("text")
-    return spread(table(spark, folder, "documents")).select("doc_id", lines.alias("l")).select(
+    return table(spark, folder, "documents").select("doc_id", lines.alias("l")).select(
         "doc_id", F.size("l").alias("n_lines"), F.size(F.array_distinct("l")).alias("n_distinct"),
         F.array_max(F.transform("l", lambda x: F.length(x))).alias("longest"),
     )
 
 
 @query("last_line", f"""
-SELECT doc_id, max_by(text, line)[1:200] AS last_line FROM ({_DOC_LINES}) GROUP BY 1""")
+SELECT doc_id, max_by(text, line) AS last_line FROM ({_DOC_LINES}) GROUP BY 1""")
 def last_line(spark, folder):
-    """Summary line of a run's output: its last line, clipped."""
-    return spread(table(spark, folder, "documents")).select(
-        "doc_id", clip(F.element_at(lines_of("text"), -1), K.ERROR_TEXT_CHARS).alias("last_line")
+    """Summary line of a run's output: its last line."""
+    return table(spark, folder, "documents").select(
+        "doc_id", F.element_at(lines_of("text"), -1).alias("last_line")
     )
 
 
@@ -67,7 +65,7 @@ def heading_extract(spark, folder):
 SELECT doc_id, i - 1 AS seq, m[i] AS token FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS m FROM documents),
  unnest(range(1, len(m) + 1)) AS u(i)""")
 def id_extract_all(spark, folder):
-    return spread(table(spark, folder, "documents")).select(
+    return table(spark, folder, "documents").select(
         "doc_id", F.posexplode(all_matches("text", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", 0)).alias("seq", "token")
     )
 
@@ -100,7 +98,7 @@ _WORDS = ("licensed", "License", "version", "token =", "###")
 SELECT doc_id, w AS word, count(*) AS lines FROM ({_DOC_LINES}), unnest(['licensed', 'License', 'version', 'token =', '###']) AS u(w)
 WHERE contains(text, w) GROUP BY 1, 2""")
 def lint_ambiguity(spark, folder):
-    return lint.word_hits(spread(table(spark, folder, "documents")), "doc_id", _WORDS)
+    return lint.word_hits(table(spark, folder, "documents"), "doc_id", _WORDS)
 
 
 _PIPES = f"SELECT doc_id, line, len(string_split(text, '|')) AS cells FROM ({_DOC_LINES}) WHERE contains(text, '|')"
@@ -127,7 +125,7 @@ SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)
 def golden_subset(spark, folder):
     """Which benchmark passages occur in any document, word for word."""
     return structure.passages_found(
-        table(spark, folder, "benchmark"), spread(table(spark, folder, "documents")).select("doc_id", "text")
+        table(spark, folder, "benchmark"), table(spark, folder, "documents").select("doc_id", "text")
     )
 
 
@@ -142,7 +140,7 @@ def dup_text(spark, folder):
     Grouped by digest: what is shuffled is one partial count per distinct text and task.
     """
     norm = F.lower(F.trim(F.regexp_replace("text", r"[ \n\t]+", " ")))
-    return trace.duplicates(spread(table(spark, folder, "documents")), F.sha2(norm, 256), "doc_id", "digest")
+    return trace.duplicates(table(spark, folder, "documents"), F.sha2(norm, 256), "doc_id", "digest")
 
 
 @query("dup_lines", f"""
@@ -175,7 +173,7 @@ SELECT doc_id, line, upper(lang) || '_KEY' AS key, 'v' || n_chars AS value
 FROM documents, unnest([2, 3]) AS u(line)""")
 def config_values(spark, folder):
     """``KEY: value`` lines in either decoration, from a block derived per document."""
-    docs = spread(table(spark, folder, "documents")).withColumn("k", F.upper("lang"))
+    docs = table(spark, folder, "documents").withColumn("k", F.upper("lang"))
     block = docs.select(
         F.col("doc_id").cast("string").alias("path"),
         lines("```", say("{}_KEY: v{}   # note", "k", "n_chars"), say("- `{}_KEY` = `v{}`", "k", "n_chars"), "not a pair", "```").alias("text"),
@@ -187,7 +185,7 @@ def config_values(spark, folder):
 SELECT doc_id, n_chars / 4.0 AS LIMIT_USD, n_chars::INTEGER AS MAX_STEPS FROM documents""")
 def config_typed(spark, folder):
     """Typed settings: a later bad number does not undo an earlier good one."""
-    docs = spread(table(spark, folder, "documents")).withColumn("q", F.col("n_chars") / 4)
+    docs = table(spark, folder, "documents").withColumn("q", F.col("n_chars") / 4)
     block = docs.select(
         F.col("doc_id").cast("string").alias("path"),
         lines(say("LIMIT_USD: {}", "q"), "LIMIT_USD: many", say("MAX_STEPS: {}", "n_chars"), "MAX_STEPS: 1.5").alias("text"),
@@ -202,7 +200,7 @@ WITH s AS (SELECT DISTINCT lang || '.py' AS script, source AS sub FROM documents
 SELECT script, sub AS subcommand, '--from-' || sub AS flag FROM s""")
 def help_catalogue(spark, folder):
     """Subcommands and flags read back out of help text, one help page per script and source."""
-    pairs = spread(table(spark, folder, "documents")).select(F.concat("lang", F.lit(".py")).alias("script"), "source").distinct()
+    pairs = table(spark, folder, "documents").select(F.concat("lang", F.lit(".py")).alias("script"), "source").distinct()
     top = pairs.select("script", F.lit("").alias("subcommand"), say("usage: {} [-h] {{},x-only}", "script", "source").alias("text"))
     sub = pairs.select("script", F.col("source").alias("subcommand"), say("usage: {} [--from-{}]", "script", "source").alias("text"))
     _, subs, flags = references.parse_help(top.unionByName(sub))
@@ -224,7 +222,7 @@ SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN '
  WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def snapshot_diff(spark, folder):
     """Difference of two stages of a document tree; digests travel, texts stay put."""
-    docs = spread(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
     before = docs.filter("n_chars > 300").select("doc_id", F.sha2("text", 256).alias("digest"))
     edited = F.when(F.contains("text", F.lit("License")), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     after = docs.filter("lang <> 'de'").select("doc_id", F.sha2(edited, 256).alias("digest"))
@@ -235,6 +233,6 @@ def snapshot_diff(spark, folder):
 SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'copied' WHEN d.n_chars > 1000 + 1000 * l.quality THEN 'updated' ELSE 'skipped' END AS action
 FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def snapshot_sync(spark, folder):
-    source = spread(table(spark, folder, "documents")).select("doc_id", F.col("n_chars").alias("mtime"))
+    source = table(spark, folder, "documents").select("doc_id", F.col("n_chars").alias("mtime"))
     target = table(spark, folder, "labels").select("doc_id", (1000 + 1000 * F.col("quality")).alias("mtime"))
     return merge.sync_actions(source, target, on="doc_id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators like to run under.  Results never depend on them: every
@@ -33,8 +31,8 @@ def build_session(app: str = "doctrellis", master: str | None = None, **conf: st
 def durable_dir(spark: SparkSession) -> str:
     """The shared folder for state that must outlive an executor.
 
-    Read from the context or from ``spark.checkpoint.dir``.  Only a local-mode session
-    without the setting gets a scratch folder of its own, as in unit tests.
+    Read from the context or from ``spark.checkpoint.dir``; there is no default, as a folder
+    of one machine would not do.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -42,9 +40,7 @@ def durable_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="doctrellis-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 

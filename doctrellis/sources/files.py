@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions.text import _col
 
 GOLDEN_SCHEMA = (
@@ -58,14 +57,15 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("ignoreMissingFiles", "true").json(path)
 
 
-def artifact_glob(phase: Column | str, override: Column | None = None, root: str = "work") -> Column:
-    """Folder pattern a phase writes to; a configured one wins, an unknown phase has none."""
-    table = F.create_map(*[
-        F.lit(x) for name, folder in K.PHASE_FOLDERS.items()
-        for x in (name, f"{root}/{folder}" if folder.startswith("latest") else f"{root}/CR-*/{folder}".rstrip("/"))
-    ])
-    default = F.try_element_at(table, _col(phase))
-    return F.coalesce(override, default) if override is not None else default
+def artifact_globs(rows: DataFrame, folders: DataFrame, phase: str, override: str | None = None) -> DataFrame:
+    """Adds ``folder``, the folder pattern a row's phase writes to.
+
+    ``folders(phase, pattern)`` is the caller's table, one row per phase; a pattern that the
+    row configures itself (column ``override``) wins, an unknown phase has none.
+    """
+    known = folders.select(F.col("phase").alias(phase), F.col("pattern").alias("_pattern"))
+    own = F.col(override) if override else F.lit(None).cast("string")
+    return rows.join(known, phase, "left").withColumn("folder", F.coalesce(own, F.col("_pattern"))).drop("_pattern")
 
 
 def first_folder(folders: DataFrame, wanted: DataFrame, root: str = "") -> DataFrame:

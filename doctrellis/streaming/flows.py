@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import money
 from ..operators.ledger import budget_gate
-from ..operators.merge import upsert_rows
+from ..operators.trace import latest_per
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int = 1000) -> DataFrame:
@@ -88,13 +88,15 @@ def upsert_stream(changes: DataFrame, on: list[str], table_path: str, checkpoint
     """Keep a keyed table up to date: each batch is merged and written as a new version.
 
     Versions are named by batch number, so a batch that is run again after a failure
-    rewrites its own folder and reads the version before it.
+    rewrites its own folder and reads the version before it.  The row with the highest
+    ``seq`` wins whatever order batches arrive in.
     """
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy(*on).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in on]), "seq").alias("_r")).select(*on, "_r.*")
+        rows = batch
         if number > 0:
-            newest = upsert_rows(spark.read.parquet(f"{table_path}/version={number - 1}"), newest, on)
+            rows = spark.read.parquet(f"{table_path}/version={number - 1}").unionByName(batch)
+        newest = latest_per(rows, on, ["seq"])
         newest.write.mode("overwrite").parquet(f"{table_path}/version={number}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -2,6 +2,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from doctrellis.operators import discovery
 
@@ -14,12 +15,11 @@ def test_reach_long_chain_and_cycle(spark):
 
 
 def test_reverse_module_graph(spark):
-    uses = [("sensor_reader", "device_registry"), ("alert_dispatcher", "device_registry"), ("firmware_updater", "device_registry"),
-            ("calibration", "sensor_reader"), ("power_monitor", "sensor_reader")]
+    uses = [("m1", "m0"), ("m2", "m0"), ("m3", "m0"), ("m4", "m1"), ("m5", "m1")]
     edges = spark.createDataFrame([(b, a) for a, b in uses], "src string, dst string")
-    got = {r.node: r.depth for r in discovery.reach(edges, spark.createDataFrame([("device_registry",)], "node string")).collect()}
-    assert {n for n, d in got.items() if d == 1} == {"sensor_reader", "alert_dispatcher", "firmware_updater"}
-    assert {n for n, d in got.items() if d == 2} == {"calibration", "power_monitor"}
+    got = {r.node: r.depth for r in discovery.reach(edges, spark.createDataFrame([("m0",)], "node string")).collect()}
+    assert {n for n, d in got.items() if d == 1} == {"m1", "m2", "m3"}
+    assert {n for n, d in got.items() if d == 2} == {"m4", "m5"}
 
 
 def sources(spark):
@@ -45,6 +45,8 @@ def test_collapse_is_equivalent(spark, seed):
     assert confirmed[0] == confirmed[1] and frontier[0] == frontier[1] and confirmed[0]
     for run in runs:
         assert all(r.balanced for r in run["counts"].collect())
+    hits = [{(r.symbol, r.file, r.line) for r in run["hits"].filter("reason <> 'dedup'").collect()} for run in runs]
+    assert hits[0] == hits[1]
     if seed == "noisy":
         assert runs[0]["counts"].filter("collapsed > 0").count() == 1 and runs[1]["counts"].filter("collapsed > 0").count() == 0
         assert runs[0]["frontier"].filter("wave > 0").count() == 0  # a noisy symbol does not propagate
@@ -100,3 +102,55 @@ def test_depth_cap_pauses(spark):
     assert {r.symbol for r in run["pending"].collect()} == {"f"}
     assert {r.status for r in discovery.close_pending(run["pending"], None, 1).collect()} == {"paused"}
     assert {r.status for r in discovery.close_pending(run["pending"], "prune", 2).collect()} == {"record"}
+
+
+def test_two_symbols_on_a_line_of_a_noisy_one(spark):
+    """A location that a noisy symbol met first still propagates the other symbol on it."""
+    files = [("a.py", "def late():\n    return 1"), ("b.py", "def start():\n    keep = noisy(late())"), ("z.py", "def zed():\n    return late() + start()")]
+    files += [(f"n{i}.py", f"def n{i}():\n    return noisy({i})") for i in range(9)]
+    index = discovery.code_index(spark.createDataFrame(files, "path string, text string"))
+    seeds = spark.createDataFrame([("noisy",), ("a",)], "symbol string").union(spark.createDataFrame([("return",)], "symbol string").filter("false"))
+    runs = [discovery.discover(index, seeds.union(spark.createDataFrame([("late",)], "symbol string")), 3, 6, collapse=c) for c in (True, False)]
+    frontier = [{(r.wave, r.symbol) for r in run["frontier"].collect()} for run in runs]
+    assert frontier[0] == frontier[1] and {"keep", "zed", "start"} <= {s for _, s in frontier[0]}
+
+
+def test_calls_inside_calls_and_strings(spark):
+    text = """    got = f(g(x, h(w)), y, 'a,b', z) + k("q(1)", v)"""
+    got = spark.createDataFrame([(text,)], "text string").select(discovery.calls_of(F.col("text")).alias("c")).first().c
+    assert [c.replace(" ", "") for c in got] == ["h(w)", "k('',v)", "g(x,hw)", "f(gxhw,y,'',z)"]
+    files = spark.createDataFrame([("m.py", "def f(p, q, r, s):\n    return q"), ("n.py", f"def run():\n{text}")], "path string, text string")
+    run = discovery.discover(discovery.code_index(files), spark.createDataFrame([("w",), ("y",), ("z",)], "symbol string"), 10, 2)
+    found = {(r.symbol, r.scope_file, r.confidence) for r in run["frontier"].filter("wave = 1").collect()}
+    assert found == {("run", None, "HIGH"), ("got", None, "HIGH"), ("p", "m.py", "MEDIUM"), ("q", "m.py", "MEDIUM"), ("s", "m.py", "MEDIUM")}
+
+
+def test_common_callee_names_stay_linear(spark):
+    files = spark.createDataFrame([(f"d{i}.py", "def run(a):\n    return a") for i in range(60)] + [(f"c{i}.py", f"def c{i}():\n    run(v{i})") for i in range(60)], "path string, text string")
+    index = discovery.code_index(files)
+    assert index.tokens.filter("symbol like 'v%'").count() == 60 and index.formals.count() == 60
+
+
+def test_resumed_walk_is_the_whole_walk(spark, tmp_path):
+    files, _ = sources(spark)
+    index, seeds = discovery.code_index(files), spark.createDataFrame([("f3",)], "symbol string")
+    whole = discovery.discover(index, seeds, 5, 6)
+    root = f"file://{tmp_path}/walk"
+    for waves in (1, 2, 2, 6):
+        part = discovery.discover(index, seeds, 5, waves, root=root)
+    for name in ("hits", "frontier", "confirmed", "counts", "pending"):
+        columns = [c for c in whole[name].columns if c not in ("derived", "passed")]
+        assert sorted(map(str, part[name].select(columns).collect())) == sorted(map(str, whole[name].select(columns).collect()))
+    # a wave that broke off before its state row counts for nothing and is done again
+    half = f"file://{tmp_path}/half"
+    discovery.discover(index, seeds, 5, 2, root=half)
+    discovery.WaveStore(spark, half).write("hits", 2, whole["hits"].drop("wave").limit(3))
+    discovery.WaveStore(spark, half).write("frontier", 3, whole["frontier"].drop("wave").limit(2))
+    again = discovery.discover(index, seeds, 5, 6, root=half)
+    assert sorted(map(str, again["confirmed"].collect())) == sorted(map(str, whole["confirmed"].collect()))
+    assert sorted(map(str, again["frontier"].collect())) == sorted(map(str, whole["frontier"].collect()))
+    # pruned symbols are not searched
+    stop = f"file://{tmp_path}/stop"
+    first = discovery.discover(index, seeds, 5, 1, root=stop)
+    ended = discovery.discover(index, seeds, 5, 6, root=stop, dropped=first["pending"])
+    assert ended["hits"].filter("wave > 0").count() == 0

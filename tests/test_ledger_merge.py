@@ -25,7 +25,7 @@ def test_response_defaults(spark):
     assert (got[1].cost_usd, got[1].failed, got[1].error) == (0.0, False, "")
     assert got[2].failed and got[2].error == "limit hit"
     assert got[3].failed and got[3].error == "boom"
-    assert not got[4].failed and got[4].input_tokens == 0 and len(got[5].error) == 200
+    assert not got[4].failed and got[4].input_tokens == 0 and len(got[5].error) == 500
 
 
 def reference_gate(rows, budget, estimate, max_steps):
@@ -46,15 +46,15 @@ def reference_gate(rows, budget, estimate, max_steps):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 5])
-def test_budget_gate(spark, group_rows):
+@pytest.mark.parametrize("segments", [None, 6])
+def test_budget_gate(spark, segments):
     rng = random.Random(3)
     data = {k: [(i, round(rng.random(), 2), rng.random() < 0.02, rng.random() < 0.02) for i in range(60)] for k in "abcd"}
     data["edge"] = [(0, 0.5, False, False), (1, 0.5, False, False), (2, 0.0, False, False), (3, 9.0, False, False), (4, 0.0, False, False)]
     df = spark.createDataFrame([(k, *r) for k, rs in data.items() for r in rs], "k string, seq int, cost_usd double, failed boolean, blocked boolean")
     got = ledger.budget_gate(
         df, ["k"], ["seq"], F.lit(10.0), F.lit(0.1), F.lit(25), failed=F.col("failed"), blocked=F.col("blocked"),
-        group_rows=group_rows, segment_rows=20,
+        segments=segments,
     ).collect()
     want = {(k, s): v for k, rs in data.items() for s, v in reference_gate(rs, 10.0, 0.1, 25).items()}
     assert {(r.k, r.seq): r.status for r in got} == want

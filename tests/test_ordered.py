@@ -37,8 +37,8 @@ def expected(rows):
     return result
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 50])
-def test_scans(spark, rows, group_rows):
+@pytest.mark.parametrize("segments", [None, 9])
+def test_scans(spark, rows, segments):
     df = spark.createDataFrame(rows, "k string, i int, v int, w string")
     got = O.ordered_scan(
         df, ["k"], ["i"],
@@ -52,17 +52,17 @@ def test_scans(spark, rows, group_rows):
             "lag": O.Previous(F.col("v")),
             "lead": O.Following(F.col("v")),
         },
-        group_rows=group_rows, segment_rows=70,
+        segments=segments,
     ).collect()
     assert {(r.k, r.i): (r.total, r.before, r["last"], r.last_before, r.ahead, r.n, r["lag"], r["lead"])
             for r in got} == expected(rows)
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 50])
-def test_runs(spark, rows, group_rows):
+@pytest.mark.parametrize("segments", [None, 9])
+def test_runs(spark, rows, segments):
     df = spark.createDataFrame(rows, "k string, i int, v int, w string")
     got = {(r.k, r.i): r.run_no for r in O.runs_of_equal(
-        df, ["k"], ["i"], "w", group_rows=group_rows, segment_rows=70).collect()}
+        df, ["k"], ["i"], "w", segments=segments).collect()}
     state, want = {}, {}
     for key, i, _, w in rows:
         run, prev = state.get(key, (0, None))
@@ -72,12 +72,12 @@ def test_runs(spark, rows, group_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 50])
-def test_until_first(spark, rows, group_rows):
+@pytest.mark.parametrize("segments", [None, 9])
+def test_until_first(spark, rows, segments):
     df = spark.createDataFrame(rows, "k string, i int, v int, w string")
     got = {(r.k, r.i): r.reached for r in O.until_first(
         df, ["k"], ["i"], (F.col("i") > 100) & (F.col("v") == 3),
-        group_rows=group_rows, segment_rows=70).collect()}
+        segments=segments).collect()}
     stopped, want = set(), {}
     for key, i, v, _ in rows:
         want[(key, i)] = key not in stopped
