@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .chunks import ChunkEncoder, ragged
 from .common import bounded, mapped, utf8
 
-WORDS = 50_000  # pre-tokens of one recursive query
+WORDS = 30_000  # pre-tokens of one recursive query
 LONG = 256
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
@@ -76,6 +76,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class SqlEncoder(ChunkEncoder):
     """Chunks encoded and decoded by DuckDB."""
 
+    most = 350_000  # their decoded bytes are kept too
+
     def __init__(self, path: str):
         import duckdb
 

@@ -15,9 +15,6 @@ import numpy as np
 
 from .common import numbering
 
-KNOWN = 700_000  # chunks remembered before starting anew; bounds memory, not results
-
-
 def ragged(flat: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lists number ``numbers`` of (flat, lengths), end to end, and their lengths."""
     each = lengths[numbers]
@@ -30,6 +27,7 @@ class ChunkEncoder:
     """Subclasses give ``tokenise``: the ids of pre-tokens, end to end, and how many each has."""
 
     dtype = np.uint16
+    most = 700_000  # chunks remembered before starting anew; bounds memory, not results
 
     def __init__(self):
         import regex
@@ -85,7 +83,7 @@ class ChunkEncoder:
 
     def numbers(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(chunk numbers end to end, chunks per text); new chunks are learnt."""
-        if len(self.number) > KNOWN:
+        if len(self.number) > self.most:
             self.forget()
         known = len(self.number)
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
