@@ -119,13 +119,18 @@ def refresh_golden(old: DataFrame, actual: DataFrame) -> DataFrame:
     return kept.select("doc_set", "kind", "value").unionByName(actual.select("doc_set", "kind", "value"))
 
 
+SHORT_BLOCK = 2000  # passages of one or two words searched for together
+
+
 def passages_found(items: DataFrame, docs: DataFrame, inner_words: int = 4) -> DataFrame:
     """``(item_id, contained)``: whether each passage occurs word for word in any document.
 
     ``items(item_id, text)`` meet ``docs(doc_id, text)`` on a key every document holding
     the passage must have, then the pair is checked on the full texts.  The key is a run of
     inner words (the first and last word may touch other text in the document); a passage
-    of three to five words uses one inner word, a shorter one its first two characters.
+    of three to five words uses its longest inner word.  Shorter passages have no such key:
+    they are a query set that every document is searched for in its row, ``SHORT_BLOCK``
+    different ones at a time.  An empty passage is in every document.
     """
     white = r"(?U)\s+"
     words = F.split("text", white)
@@ -136,17 +141,13 @@ def passages_found(items: DataFrame, docs: DataFrame, inner_words: int = 4) -> D
         starts = F.sequence(F.lit(1), F.size("_w") - (n - 1))
         return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(F.col("_w"), i, n), " ")))
 
-    def pieces(n: int):
-        starts = F.sequence(F.lit(1), F.length("text") - (n - 1))
-        return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("text"), i, F.lit(n))))
-
     enough = inner_words + 2
+    inner = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     tiers = [
         (sized.filter(F.col("_n") >= enough), F.array_join(F.slice("_w", 2, inner_words), " "),
          word_docs.filter(F.size("_w") >= inner_words), runs(inner_words)),
-        (sized.filter((F.col("_n") >= 3) & (F.col("_n") < enough)), F.get("_w", F.lit(1)), word_docs, F.array_distinct("_w")),
-        (sized.filter((F.col("_n") < 3) & (F.length("text") >= 2)), F.substring("text", 1, 2), docs.filter("length(text) >= 2"), pieces(2)),
-        (sized.filter((F.col("_n") < 3) & (F.length("text") < 2)), F.col("text"), docs.filter("length(text) >= 1"), pieces(1)),
+        (sized.filter((F.col("_n") >= 3) & (F.col("_n") < enough)), longest, word_docs, F.array_distinct("_w")),
     ]
     pairs = None
     for tier_items, key, tier_docs, keys in tiers:
@@ -160,8 +161,20 @@ def passages_found(items: DataFrame, docs: DataFrame, inner_words: int = 4) -> D
         .join(docs.select("doc_id", F.col("text").alias("_doc")), "doc_id")
         .join(items.select("item_id", F.col("text").alias("_passage")), "item_id")
         .filter(F.contains("_doc", F.col("_passage")))
-        .select("item_id").distinct().withColumn("_hit", F.lit(True))
+        .select("item_id").distinct()
     )
+    short = sized.filter((F.col("_n") < 3) & (F.length("text") > 0)).select("text").distinct()
+    blocks = -(-short.count() // SHORT_BLOCK)
+    for block in range(blocks):
+        own = short.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).agg(F.array_agg("text").alias("_short"))
+        # one row of about SHORT_BLOCK passages of at most two words
+        held = docs.select(F.col("text").alias("_doc")).join(F.broadcast(own)).select(
+            F.explode(F.filter("_short", lambda p: F.contains("_doc", p))).alias("text")
+        ).distinct()
+        hits = hits.unionByName(items.join(held, "text", "left_semi").select("item_id").distinct())
+    some = docs.select(F.lit(True).alias("_hit")).limit(1)
+    empty = items.filter(F.length("text") == 0).select("item_id").distinct().join(some)  # one row on the right
+    hits = hits.withColumn("_hit", F.lit(True)).unionByName(empty)
     return items.select("item_id").join(hits, "item_id", "left").select(
         "item_id", F.coalesce("_hit", F.lit(False)).alias("contained")
     )

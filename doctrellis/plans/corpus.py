@@ -167,20 +167,37 @@ def requirement_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One source file per customer and per order; orders call customers, customers use nations."""
+    """One source file per customer, order and invoice (of finished orders).
+
+    Orders use their priority and call customers, invoices call their order and customers.
+    """
     customers = render(
         table(spark, folder, "customer"),
         say("src/customer/{}.py", "c_custkey"),
         lines(
-            say("# uses nation_{}", "c_nationkey"),
-            say("def customer_{}(base_{}):", "c_custkey", "c_custkey"),
-            say("    rate_{} = nation_{}", "c_custkey", "c_nationkey"),
+            say("# about customer_{}", "c_custkey"),
+            say("def customer_{}(base_{}, more):", "c_custkey", "c_custkey"),
+            say("    rate_{} = market * base_{}", "c_custkey", "c_custkey"),
             say("    return rate_{}", "c_custkey"),
         ),
     )
+    priced = table(spark, folder, "orders").withColumn("prio", F.substring("o_orderpriority", 1, 1))
     orders = render(
-        table(spark, folder, "orders"),
+        priced,
         say("src/order/{}.py", "o_orderkey"),
-        lines(say("def order_{}():", "o_orderkey"), say("    return customer_{}(1)", "o_custkey")),
+        lines(
+            say("def order_{}():", "o_orderkey"),
+            say("    total_{} = priority_{}", "o_orderkey", "prio"),
+            say("    return customer_{}(fee(total_{}), 'a,b')", "o_custkey", "o_orderkey"),
+        ),
+    )
+    invoices = render(
+        priced.filter("o_orderstatus = 'F'"),
+        say("src/invoice/{}.py", "o_orderkey"),
+        lines(
+            say("def invoice_{}():", "o_orderkey"),
+            say("    net_{} = order_{}()", "o_orderkey", "o_orderkey"),
+            say("    return customer_{}(fee(net_{}), 'a,b')", "o_custkey", "o_orderkey"),
+        ),
     )
-    return customers.unionByName(orders)
+    return customers.unionByName(orders).unionByName(invoices)

@@ -409,7 +409,8 @@ def flat_requirements(spark, folder):
 
 @query("hit_filter_audit", """
 SELECT 'customer' AS kind, 'comment' AS reason, count(*) AS n FROM customer
-UNION ALL SELECT 'customer', 'recorded', 3 * count(*) FROM customer UNION ALL SELECT 'order', 'recorded', 2 * count(*) FROM orders""")
+UNION ALL SELECT 'customer', 'recorded', 3 * count(*) FROM customer UNION ALL SELECT 'order', 'recorded', 3 * count(*) FROM orders
+UNION ALL SELECT 'invoice', 'recorded', 3 * count(*) FROM orders WHERE o_orderstatus = 'F'""")
 def hit_filter_audit(spark, folder):
     """Comment lines are set aside with a reason, never silently dropped."""
     rows = facts.md_lines(corpus.source_files(spark, folder))

@@ -50,36 +50,92 @@ def reachability(spark, folder):
     return discovery.reach(edges, seeds)
 
 
+# A priority is in a fifth of all order files, hundreds at the smallest scale: noisy.  A
+# customer is in the files of its own orders, dozens at any scale: quiet.
 _MAX_FILES = 100
-
-# The walk on the source corpus, wave by wave, stated over the tables.
-_WALK = f"""WITH nation_hits AS (SELECT 'nation_' || c_nationkey AS symbol, c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 0),
-loud AS (SELECT symbol FROM nation_hits GROUP BY 1 HAVING count(*) > {_MAX_FILES}),
-reached AS (SELECT DISTINCT c_custkey FROM nation_hits WHERE symbol NOT IN (SELECT symbol FROM loud)),
-calls AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM reached)),
-loud_customers AS (SELECT o_custkey FROM calls GROUP BY 1 HAVING count(*) + 1 > {_MAX_FILES})"""
-
-
-def _walk(spark, folder, collapse=True):
+_RICH = 9000
+
+# The walk from one priority and the rich customers, location by location.
+_HITS = f"""WITH s AS (SELECT c_custkey AS c FROM customer WHERE c_acctbal > {_RICH}),
+o AS (SELECT o_orderkey AS o, o_custkey AS c, o_orderstatus = 'F' AS f FROM orders WHERE o_custkey IN (SELECT c FROM s)),
+m AS (SELECT DISTINCT c FROM o WHERE f),
+p AS (SELECT 'src/order/' || o_orderkey || '.py' AS file, row_number() OVER (ORDER BY 'src/order/' || o_orderkey || '.py') AS n FROM orders WHERE o_orderpriority[1] = '1'),
+h AS (
+ SELECT 0 AS wave, 'customer_' || c AS symbol, 'src/customer/' || c || '.py' AS file, unnest([1, 2]) AS line, unnest(['comment', 'recorded']) AS reason, 'HIGH' AS confidence FROM s
+ UNION ALL SELECT 0, 'customer_' || c, 'src/order/' || o || '.py', 3, 'recorded', 'HIGH' FROM o
+ UNION ALL SELECT 0, 'customer_' || c, 'src/invoice/' || o || '.py', 3, 'recorded', 'HIGH' FROM o WHERE f
+ UNION ALL SELECT 0, 'priority_1', file, 2, CASE WHEN n <= {{limit}} THEN 'recorded' ELSE 'noise-collapse' END, 'HIGH' FROM p
+ UNION ALL SELECT 1, 'order_' || o, 'src/order/' || o || '.py', 1, 'recorded', 'HIGH' FROM o
+ UNION ALL SELECT 1, 'order_' || o, 'src/invoice/' || o || '.py', 2, 'recorded', 'HIGH' FROM o WHERE f
+ UNION ALL SELECT 1, 'invoice_' || o, 'src/invoice/' || o || '.py', 1, 'recorded', 'HIGH' FROM o WHERE f
+ UNION ALL SELECT 2, 'net_' || o, 'src/invoice/' || o || '.py', unnest([2, 3]), 'dedup', 'HIGH' FROM o WHERE f
+ UNION ALL SELECT 3, 'base_' || c, 'src/customer/' || c || '.py', unnest([2, 3]), unnest(['dedup', 'recorded']), 'MEDIUM' FROM m
+ UNION ALL SELECT 4, 'rate_' || c, 'src/customer/' || c || '.py', unnest([3, 4]), unnest(['dedup', 'recorded']), 'HIGH' FROM m)"""
+_COLLAPSED = _HITS.format(limit=_MAX_FILES)
+_WHOLE = _HITS.format(limit=10**12)
+_COUNTS = """count(*) AS raw, count(*) FILTER (reason = 'recorded') AS recorded, count(*) FILTER (reason = 'dedup') AS dedup,
+ count(*) FILTER (reason = 'comment') AS filtered, count(*) FILTER (reason = 'noise-collapse') AS collapsed, true AS balanced FROM h"""
+_CONFIRMED = "SELECT file, min(confidence) AS confidence FROM h WHERE reason IN ('recorded', 'noise-collapse') GROUP BY 1"
+
+
+def _walk(spark, folder, collapse=True, max_waves=8, root=None):
     index = discovery.code_index(corpus.source_files(spark, folder))
-    seeds = table(spark, folder, "nation").filter("n_regionkey = 0").select(F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("symbol"))
-    return discovery.discover(index, seeds, max_files=_MAX_FILES, max_waves=6, collapse=collapse)
+    rich = table(spark, folder, "customer").filter(F.col("c_acctbal") > _RICH).select(F.concat(F.lit("customer_"), F.col("c_custkey").cast("string")).alias("symbol"))
+    urgent = table(spark, folder, "orders").filter("o_orderpriority like '1%'").select(F.lit("priority_1").alias("symbol")).distinct()
+    return discovery.discover(index, rich.unionByName(urgent), max_files=_MAX_FILES, max_waves=max_waves, collapse=collapse, root=root)
 
 
-@query("discovery_confirmed", f"""{_WALK}
-SELECT 'src/customer/' || c_custkey || '.py' AS file, 'HIGH' AS confidence FROM (SELECT DISTINCT c_custkey FROM nation_hits)
-UNION ALL SELECT 'src/order/' || o_orderkey || '.py', 'HIGH' FROM calls""")
+@query("discovery_confirmed", f"{_COLLAPSED} {_CONFIRMED}")
 def discovery_confirmed(spark, folder):
-    """Files a walk from the nations of one region confirms as affected."""
+    """Files a walk from one priority and some customers confirms as affected."""
     return _walk(spark, folder)["confirmed"]
 
 
-@query("discovery_counts", f"""{_WALK}
-SELECT 0 AS wave, count(*) * 2 AS raw, count(*) FILTER (k <= {_MAX_FILES}) AS recorded, 0::BIGINT AS dedup, count(*) AS filtered,
- count(*) FILTER (k > {_MAX_FILES}) AS collapsed, true AS balanced
-FROM (SELECT row_number() OVER (PARTITION BY symbol ORDER BY 'src/customer/' || c_custkey || '.py') AS k FROM nation_hits)""")
+@query("discovery_hits", f"{_COLLAPSED} SELECT wave, symbol, file, line, reason, confidence FROM h")
+def discovery_hits(spark, folder):
+    """Every location with the wave, the symbol and what became of it."""
+    return _walk(spark, folder)["hits"].select("wave", "symbol", "file", "line", "reason", "confidence")
+
+
+@query("discovery_hits_uncollapsed", f"{_WHOLE} SELECT wave, symbol, file, line, reason, confidence FROM h")
+def discovery_hits_uncollapsed(spark, folder):
+    """The same walk with all lines of noisy symbols recorded."""
+    return _walk(spark, folder, collapse=False)["hits"].select("wave", "symbol", "file", "line", "reason", "confidence")
+
+
+@query("discovery_frontier", f"""{_COLLAPSED}
+SELECT DISTINCT wave, symbol, CASE WHEN confidence = 'MEDIUM' THEN file END AS scope_file, confidence FROM h""")
+def discovery_frontier(spark, folder):
+    """Symbols of all waves, certain ones and those of one file."""
+    return _walk(spark, folder)["frontier"].select("wave", "symbol", "scope_file", "confidence")
+
+
+@query("discovery_counts", f"{_COLLAPSED} SELECT wave, symbol, {_COUNTS} GROUP BY 1, 2")
 def discovery_counts(spark, folder):
-    return _walk(spark, folder)["counts"].filter("wave = 0")
+    """Counts of each search of each wave."""
+    return _walk(spark, folder)["counts"]
+
+
+@query("discovery_metrics", f"{_COLLAPSED} SELECT wave, {_COUNTS} GROUP BY 1")
+def discovery_metrics(spark, folder):
+    """Counts of each wave."""
+    return _walk(spark, folder)["metrics"]
+
+
+@query("discovery_resumed", f"{_COLLAPSED} {_CONFIRMED}")
+def discovery_resumed(spark, folder):
+    """The walk in three sittings on one folder."""
+    root = discovery.work_folder(spark, "resumed")
+    for waves in (1, 3, 8):
+        walk = _walk(spark, folder, max_waves=waves, root=root)
+    return walk["confirmed"]
+
+
+@query("discovery_pending", f"""{_COLLAPSED}
+SELECT symbol, 'paused' AS status FROM h WHERE wave = 2 GROUP BY 1""")
+def discovery_pending(spark, folder):
+    """What a walk of two waves leaves to be searched."""
+    return discovery.close_pending(_walk(spark, folder, max_waves=2)["pending"], None, 1).select("symbol", "status")
 
 
 @query("neighbor_priority", r"""

@@ -120,13 +120,20 @@ def table_columns(spark, folder):
     return pipes.join(usual, "doc_id").filter("cells <> usual")
 
 
-@query("golden_subset", """
-SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS contained FROM benchmark b""")
+# Benchmark passages, whole and by their first words; no words make the empty passage.
+_PASSAGES = """SELECT item_id * 1000 + k AS item_id, array_to_string(string_split(text, ' ')[1:k], ' ') AS text
+ FROM benchmark, unnest([0, 1, 2, 3, 5, 40, 900]) AS u(k)"""
+
+
+@query("golden_subset", f"""
+SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS contained FROM ({_PASSAGES}) b""")
 def golden_subset(spark, folder):
     """Which benchmark passages occur in any document, word for word."""
-    return structure.passages_found(
-        table(spark, folder, "benchmark"), table(spark, folder, "documents").select("doc_id", "text")
+    sizes = F.explode(F.array(*[F.lit(k) for k in (0, 1, 2, 3, 5, 40, 900)])).alias("k")
+    passages = table(spark, folder, "benchmark").select("item_id", "text", sizes).select(
+        (F.col("item_id") * 1000 + F.col("k")).alias("item_id"), F.array_join(F.slice(F.split("text", " "), F.lit(1), F.col("k")), " ").alias("text")
     )
+    return structure.passages_found(passages, table(spark, folder, "documents").select("doc_id", "text"))
 
 
 _NORM = r"lower(trim(regexp_replace(text, '[ \n\t]+', ' ', 'g')))"
