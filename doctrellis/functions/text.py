@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,3 +108,9 @@ def contains_any(c: Column | str, words) -> Column:
     text = _col(c)
     hits = F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words])
     return F.array_sort(F.array_compact(hits))
+
+
+def changed_under(path: Column | str, prefixes) -> Column:
+    """Whether a changed path lies under one of the prefixes that a check watches."""
+    tests = [F.startswith(_col(path), F.lit(p)) for p in prefixes]
+    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))

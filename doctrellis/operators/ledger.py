@@ -159,3 +159,11 @@ def budget_sizing(costs: DataFrame, keys: list[str]) -> DataFrame:
         total.cast("double").alias("total_cost_usd"),
         F.ceil(total * F.lit(K.BUDGET_MARGIN).cast("decimal(4,2)")).cast("bigint").alias("suggested_budget"),
     )
+
+
+def phase_command(rows: DataFrame, commands: DataFrame, phase: str, pattern: str, command: str = "command") -> DataFrame:
+    """Command of a phase from the table ``commands``, else from a pattern with the phase at ``{}``."""
+    known = commands.groupBy(F.col("phase").alias(phase)).agg(F.max("command").alias("_known"))
+    return rows.join(known, phase, "left").withColumn(
+        command, F.coalesce("_known", F.replace(F.lit(pattern), F.lit("{}"), F.col(phase)))
+    ).drop("_known")

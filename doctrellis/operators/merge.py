@@ -73,3 +73,21 @@ def repo_outcome(results: DataFrame, overall: str = "ALL") -> DataFrame:
 def next_revision(existing: DataFrame, keys: list[str], revision: str = "revision") -> DataFrame:
     """The number the next revision of each key gets."""
     return existing.groupBy(*keys).agg((F.max(revision) + 1).alias("next_revision"))
+
+
+def tenth_revision(existing: DataFrame, keys: list[str], revision: str = "revision") -> DataFrame:
+    """Next revision of documents that count in tenths; decimals, so that nine tenths go on to one."""
+    tenths = F.max(F.col(revision).cast("decimal(18,1)")) + F.lit("0.1").cast("decimal(2,1)")
+    return existing.groupBy(*keys).agg(tenths.cast("decimal(18,1)").alias("next_revision"))
+
+
+def next_run(existing: DataFrame, keys: list[str], run: str = "run") -> DataFrame:
+    """Next run label of each key: two digits, more when they are needed."""
+    number = (F.max(run) + 1).cast("string")
+    return existing.groupBy(*keys).agg(F.concat(F.lit("run "), F.lpad(number, F.greatest(F.lit(2), F.length(number)), F.lit("0"))).alias("next_run"))
+
+
+def emptied_folders(existing: DataFrame, removed: DataFrame, folders: DataFrame, on: str = "path", folder: str = "folder") -> DataFrame:
+    """Listed folders that hold no file once ``removed`` is gone; others stay."""
+    left = existing.join(distinct_keys(removed, on), on, "left_anti").select(folder)
+    return folders.select(folder).distinct().join(left.distinct(), folder, "left_anti")

@@ -240,3 +240,46 @@ def top_per(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> Da
     """The first ``n`` rows per key; Spark limits each map-side group before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
+
+
+def graph_changed(old_nodes: Column, new_nodes: Column, old_edges: Column, new_edges: Column) -> Column:
+    """A diagram changed in size: another number of nodes or edges."""
+    return ~(old_nodes.eqNullSafe(new_nodes) & old_edges.eqNullSafe(new_edges))
+
+
+def route_by_rules(items: DataFrame, rules: DataFrame, step: str, conditions: list[str], destination: str, unknown: str) -> DataFrame:
+    """Destination by step and conditions; a rule that leaves a condition open (NULL) takes any value.
+
+    Of several fitting rules the one with the most conditions counts (then the smallest
+    destination); items without one go to the ``unknown`` list.  Items are matched once per
+    combination that occurs, so rules and combinations meet, not rules and items.
+    """
+    by = [step, *conditions]
+    kinds = items.select(*[F.col(c).alias(f"_item_{c}") for c in by]).distinct()
+    given = rules.select(*[F.col(c).alias(f"_rule_{c}") for c in by], F.col(destination).alias("_to"))
+    fits = F.col(f"_item_{step}") == F.col(f"_rule_{step}")
+    for c in conditions:
+        fits = fits & (F.col(f"_rule_{c}").isNull() | (F.col(f"_rule_{c}") == F.col(f"_item_{c}")))
+    strength = F.size(F.array_compact(F.array(*[F.col(f"_rule_{c}").cast("string") for c in conditions])))
+    best = kinds.join(given, fits).groupBy(*kinds.columns).agg(F.min_by("_to", F.struct(-strength, F.col("_to"))).alias("_best"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_item_{c}"))
+    return items.join(best, same, "left").select(*items.columns, F.coalesce("_best", F.lit(unknown)).alias(destination))
+
+
+def chain_gaps(done: DataFrame, chain: DataFrame, keys: list[str], phase: str = "phase", position: str = "position") -> DataFrame:
+    """Phases of a strict chain that a key skipped: before its furthest phase, and not done."""
+    placed = done.join(chain.select(phase, position), phase)
+    furthest = placed.groupBy(*keys).agg(F.max(position).alias("_furthest"), F.collect_set(position).alias("_done"))
+    return furthest.select(*keys, "_done", F.explode(F.sequence(F.lit(1), F.col("_furthest"))).alias(position)).filter(
+        ~F.array_contains("_done", F.col(position))
+    ).drop("_done").join(chain.select(phase, position), position).select(*keys, phase)
+
+
+def review_brief(rows: DataFrame, keys: list[str], order: list[Column], n: int, size: str, per_minute: int) -> DataFrame:
+    """The first ``n`` rows per key with their place in the reading order, minutes, and minutes so far."""
+    window = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return top_per(rows, keys, order, n).withColumn("minutes", F.ceil(F.col(size) / per_minute).cast("bigint")).withColumn(
+        "minutes_so_far", F.sum("minutes").over(window)
+    )

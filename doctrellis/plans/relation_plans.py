@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import values as V
-from ..functions.text import contains_any
+from ..functions.text import changed_under, contains_any, dirname
 from ..operators import ledger, merge, report, trace
+from ..operators.discovery import work_folder
 from ..operators.ordered import RowNumber, ordered_scan
+from ..sources import sinks
 from .registry import query, table
 
 
@@ -525,3 +527,112 @@ def group_name_form(spark, folder):
 SELECT p_partkey, concat_ws(',', CASE WHEN contains(p_name, 'bolt') THEN 'bolt' END, CASE WHEN contains(p_name, 'ring') THEN 'ring' END) AS words FROM part""")
 def word_list_hits(spark, folder):
     return table(spark, folder, "part").select("p_partkey", F.array_join(contains_any("p_name", ["bolt", "ring"]), ",").alias("words"))
+
+
+@query("changed_paths", r"""
+SELECT page_id, regexp_replace(url, '^https?://[^/]*', '') AS path FROM pages
+WHERE regexp_matches(regexp_replace(url, '^https?://[^/]*', ''), '^(/en/|/de/1)')""")
+def changed_paths(spark, folder):
+    """Changed paths that call for a check."""
+    paths = table(spark, folder, "pages").select("page_id", F.regexp_replace("url", r"^https?://[^/]*", "").alias("path"))
+    return paths.filter(changed_under("path", ["/en/", "/de/1"]))
+
+
+@query("tenth_revision", "SELECT l_orderkey, CAST(max(l_linenumber) * 0.9 + 0.1 AS DECIMAL(18,1)) AS next_revision FROM lineitem GROUP BY 1")
+def tenth_revision(spark, folder):
+    rows = table(spark, folder, "lineitem").select("l_orderkey", (F.col("l_linenumber") * F.lit("0.9").cast("decimal(2,1)")).alias("rev"))
+    return merge.tenth_revision(rows, ["l_orderkey"], "rev")
+
+
+@query("next_run", """
+SELECT o_custkey, 'run ' || CASE WHEN count(*) + 95 < 100 THEN lpad((count(*) + 95)::VARCHAR, 2, '0') ELSE (count(*) + 95)::VARCHAR END AS next_run
+FROM orders GROUP BY 1""")
+def next_run(spark, folder):
+    """Run labels around the step from two digits to three."""
+    runs = table(spark, folder, "orders").groupBy("o_custkey").agg((F.count(F.lit(1)) + 94).alias("run"))
+    return merge.next_run(runs, ["o_custkey"])
+
+
+@query("emptied_folders", r"""
+WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '') AS folder FROM pages)
+SELECT folder FROM p GROUP BY 1 HAVING bool_and(page_id IN (SELECT item_id * 3 FROM benchmark))""")
+def emptied_folders(spark, folder):
+    """Folders that a removal manifest leaves without any page."""
+    pages = table(spark, folder, "pages").select("page_id", dirname(F.regexp_replace("url", r"[?#].*$", "")).alias("folder"))
+    manifest = table(spark, folder, "benchmark").select((F.col("item_id") * 3).alias("page_id"))
+    return merge.emptied_folders(pages, manifest, pages, "page_id")
+
+
+@query("graph_changed", """
+WITH y AS (SELECT l_suppkey, year(l_shipdate) AS y, count(DISTINCT l_partkey) AS n, count(*) AS e FROM lineitem WHERE year(l_shipdate) IN (1996, 1997) GROUP BY 1, 2)
+SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, NOT (a.n IS NOT DISTINCT FROM b.n AND a.e IS NOT DISTINCT FROM b.e) AS changed
+FROM (FROM y WHERE y = 1996) a FULL JOIN (FROM y WHERE y = 1997) b USING (l_suppkey)""")
+def graph_changed(spark, folder):
+    """Suppliers whose part graph has another size than the year before."""
+    lines = table(spark, folder, "lineitem").withColumn("y", F.year("l_shipdate")).filter("y in (1996, 1997)")
+    # pairs first, then their number: no supplier's parts meet in one set
+    pairs = lines.groupBy("l_suppkey", "y", "l_partkey").agg(F.count(F.lit(1)).alias("k"))
+    sizes = pairs.groupBy("l_suppkey").pivot("y", [1996, 1997]).agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("e"))
+    return sizes.select("l_suppkey", trace.graph_changed(F.col("1996_n"), F.col("1997_n"), F.col("1996_e"), F.col("1997_e")).alias("changed"))
+
+
+@query("rule_routing", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'urgent-closed' WHEN o_orderstatus = 'F' THEN 'closed'
+ WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' THEN 'high-open' ELSE 'to confirm' END AS destination FROM orders""")
+def rule_routing(spark, folder):
+    """Promotion by step and condition; a rule without a condition takes what the others leave."""
+    orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderstatus").alias("step"), F.col("o_orderpriority").alias("urgency"))
+    status, urgency = F.col("step"), F.col("urgency")
+    rules = orders.select("step", "urgency").distinct().select("step", F.explode(F.array(
+        F.when((status == "F") & (urgency == "1-URGENT"), F.struct(urgency.alias("urgency"), F.lit("urgent-closed").alias("destination"))),
+        F.when(status == "F", F.struct(F.lit(None).cast("string").alias("urgency"), F.lit("closed").alias("destination"))),
+        F.when((status == "O") & (urgency == "2-HIGH"), F.struct(urgency.alias("urgency"), F.lit("high-open").alias("destination"))),
+    )).alias("r")).filter("r is not null").select("step", "r.*").distinct()
+    return trace.route_by_rules(orders, rules, "step", ["urgency"], "destination", "to confirm").select("o_orderkey", "destination")
+
+
+@query("chain_gaps", """
+WITH d AS (SELECT DISTINCT o_custkey, o_orderpriority AS phase, o_orderpriority[1]::INTEGER AS p FROM orders),
+c AS (SELECT DISTINCT phase, p FROM d), f AS (SELECT o_custkey, max(p) AS m FROM d GROUP BY 1)
+SELECT f.o_custkey, c.phase FROM f JOIN c ON c.p < f.m WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.o_custkey = f.o_custkey AND d.p = c.p)""")
+def chain_gaps(spark, folder):
+    """Phases that a customer skipped on the way to its furthest one."""
+    orders = table(spark, folder, "orders").select("o_custkey", F.col("o_orderpriority").alias("phase"))
+    chain = orders.select("phase").distinct().withColumn("position", F.substring("phase", 1, 1).cast("int"))
+    return trace.chain_gaps(orders, chain, ["o_custkey"])
+
+
+@query("phase_commands", """
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'run-now' ELSE 'phase ' || o_orderpriority || ' --go' END AS command FROM orders""")
+def phase_commands(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("phase"))
+    commands = orders.filter("phase = '1-URGENT'").select("phase", F.lit("run-now").alias("command"))
+    return ledger.phase_command(orders, commands, "phase", "phase {} --go").select("o_orderkey", "command")
+
+
+@query("review_brief", """
+WITH d AS (SELECT lang, doc_id, n_chars, coalesce(quality, 0) AS q FROM documents LEFT JOIN labels USING (doc_id)),
+r AS (SELECT lang, doc_id, ceil(n_chars / 900)::BIGINT AS minutes, row_number() OVER (PARTITION BY lang ORDER BY q, n_chars DESC, doc_id) AS rank FROM d)
+SELECT *, (sum(minutes) OVER (PARTITION BY lang ORDER BY rank))::BIGINT AS minutes_so_far FROM r WHERE rank <= 7""")
+def review_brief(spark, folder):
+    """Reading order of the least certain documents, with the time it takes."""
+    docs = table(spark, folder, "documents").select("lang", "doc_id", "n_chars").join(
+        table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left"
+    )
+    order = [F.coalesce("quality", F.lit(0)), F.col("n_chars").desc(), F.col("doc_id")]
+    return trace.review_brief(docs, ["lang"], order, 7, "n_chars", 900).select("lang", "doc_id", "minutes", "rank", "minutes_so_far")
+
+
+@query("golden_files", """
+SELECT c_nationkey::VARCHAR AS doc_set, count(*) AS members, min(c_custkey) AS first, true AS newline FROM customer GROUP BY 1""")
+def golden_files(spark, folder):
+    """Golden objects written as one file per set and read back."""
+    root = work_folder(spark, "goldens")
+    customers = table(spark, folder, "customer").groupBy(F.col("c_nationkey").cast("string").alias("doc_set")).agg(
+        F.count(F.lit(1)).alias("members"), F.min("c_custkey").alias("first")
+    )
+    sinks.write_goldens(sinks.golden_json(customers, "doc_set"), root)
+    read = sinks.read_golden_files(spark, root)
+    return read.select("doc_set", F.endswith("json", F.lit("\n")).alias("newline"), F.from_json("json", "members bigint, first bigint").alias("g")).select(
+        "doc_set", "g.*", "newline"
+    )

@@ -52,3 +52,16 @@ def flat_requirements(elements: DataFrame) -> DataFrame:
         when("SR").alias("sr"), when("spec_group").alias("spec_group"), when("SP").alias("sp"),
         F.coalesce("name", F.lit("")).alias("title"), F.coalesce("reason", F.lit("")).alias("reason"),
     )
+
+
+def write_goldens(goldens: DataFrame, root: str, name: str = "doc_set", json: str = "json") -> None:
+    """One file per document set, ``doc_set=<name>/part-*.json``, each object closed by a newline.
+
+    Rows of a set go to one task by its name; sets are written side by side.
+    """
+    goldens.select(name, F.col(json).alias("value")).repartition(name).write.mode("overwrite").partitionBy(name).text(root)
+
+
+def read_golden_files(spark, root: str, name: str = "doc_set") -> DataFrame:
+    """``(doc_set, json)`` of what ``write_goldens`` wrote."""
+    return spark.read.text(root, wholetext=True).select(F.col(name).cast("string").alias(name), F.col("value").alias("json"))

@@ -8,13 +8,6 @@ from doctrellis.plans import catalog
 from tools.compare import TABLES, canonical
 
 FOLDER = "/root/testdata/sf0.001"
-# A cross-section for a quick run; DOCTRELLIS_ALL=1 runs every query.
-QUICK = (
-    "check_apply_headings", "check_script_wiring", "golden_violations", "script_calls", "frontmatter_upsert", "golden_subset",
-    "budget_gate", "fence_window", "continuation_merge", "running_error_share", "count_reconcile", "inverted_index",
-    "upsert_by_key", "map_merge", "bfs_waves", "discovery_counts", "table_columns", "tally_rollup", "forced_two_layers",
-)
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not there")
 
 
@@ -26,7 +19,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES) if os.environ.get("DOCTRELLIS_ALL") else QUICK)
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
