@@ -23,15 +23,31 @@ _ID = r"^([A-Za-z][A-Za-z0-9_.-]*)"
 _LEVEL_KINDS = {3: "category", 4: "UR", 5: "group", 6: "SR"}
 
 
-def elements(docs: DataFrame) -> DataFrame:
+def _marked_lines(docs: DataFrame) -> DataFrame:
+    """``(path, line, text)``, with a line 0 without text for each document that has no category.
+
+    Only documents with some mark of an element are split; the others just get their line 0.
+    """
+    plain = lines_of("text")
+    held = F.when(F.contains("text", F.lit("###")) | F.contains("text", F.lit("**")), plain).otherwise(F.array().cast("array<string>"))
+    numbered = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    none = F.array(F.struct(F.lit(0).alias("line"), F.lit(None).cast("string").alias("text")))
+    has_category = F.exists("_lines", lambda x: F.rlike(x, F.lit(r"^###\s")))
+    rows = F.when(has_category, numbered).otherwise(F.concat(none, numbered))
+    return docs.select("path", held.alias("_lines")).select("path", F.inline(rows))
+
+
+def elements(docs: DataFrame, missing_category: bool = False) -> DataFrame:
     """``(path, line, kind, id, name, reason, explanation, axis, category_line, ur_line,
     group_line, sr_line, spec_group_line)``.
 
-    A parent line is NULL when a shallower element closed that parent before.
+    A parent line is NULL when a shallower element closed that parent before.  On request a
+    document without a category has an element of kind ``no_category`` on line 0.
     """
     # The first visible character decides which patterns a line is tried against.
     head = F.substring(F.ltrim("text"), 1, 1)
-    lines = md_lines(holding(docs, "###", "**")).withColumn("_head", head).filter(F.col("_head").isin("#", "*", "-"))
+    source = _marked_lines(docs) if missing_category else md_lines(holding(docs, "###", "**"))
+    lines = source.withColumn("_head", head).filter(F.col("_head").isin("#", "*", "-") | (F.col("line") == 0))
     is_title = F.startswith("text", F.lit("###"))
     level = F.length(F.regexp_extract("text", r"^(#+)\s", 1))
     staged = lines.select(
@@ -39,7 +55,7 @@ def elements(docs: DataFrame) -> DataFrame:
         F.when(is_title, level).alias("_level"),
         F.when(F.col("_head") == "-", F.rlike("text", F.lit(_SPEC))).alias("_is_spec"),
     )
-    kind = F.when(F.col("_level") > 6, "too_deep")
+    kind = F.when(F.col("line") == 0, "no_category").when(F.col("_level") > 6, "too_deep")
     for depth, name in _LEVEL_KINDS.items():
         kind = kind.when(F.col("_level") == depth, name)
     kind = (
@@ -114,7 +130,7 @@ def requirement_paths(element_rows: DataFrame) -> DataFrame:
 
 def lint_requirements(docs: DataFrame) -> DataFrame:
     """``(rule, severity, path, line, subject)`` for the rules on requirement documents."""
-    rows = elements(docs)
+    rows = elements(docs, missing_category=True)
 
     def per(*columns: str):
         return Window.partitionBy("path", *columns)
@@ -143,6 +159,7 @@ def lint_requirements(docs: DataFrame) -> DataFrame:
         ("spec_under_sub_requirement", "error", (kind == "SP") & F.col("sr_line").isNull()),
         ("group_name_form", "error", kind.isin("category", "group", "spec_group") & ~F.rlike("name", F.lit(K.GROUP_NAME))),
         ("heading_depth", "error", kind == "too_deep"),
+        ("document_has_category", "error", kind == "no_category"),
         ("three_levels", "warning", (kind == "SR") & (numbers > 4)),
         ("forced_two_layers", "warning", lone & ~(blank("reason") & blank("explanation"))),
         ("ambiguous_word", "warning", (kind == "SP") & (F.size(contains_any("name", K.AMBIGUOUS_WORDS)) > 0)),
@@ -153,16 +170,9 @@ def lint_requirements(docs: DataFrame) -> DataFrame:
     hits = F.array_compact(
         F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, s, test in rules])
     )
-    element_hits = counted.select(
+    return counted.select(
         "path", "line", F.coalesce("id", "name").alias("subject"), F.explode(hits).alias("h")
     ).select("h.rule", "h.severity", "path", "line", "subject")
-    no_category = docs.filter(
-        ~F.exists(lines_of("text"), lambda x: F.rlike(x, F.lit(r"^###\s")))
-    ).select(
-        F.lit("document_has_category").alias("rule"), F.lit("error").alias("severity"),
-        "path", F.lit(0).alias("line"), F.lit(None).cast("string").alias("subject"),
-    )
-    return element_hits.unionByName(no_category)
 
 
 def missing_frontmatter(docs: DataFrame, required: list[str]) -> DataFrame:

@@ -419,16 +419,18 @@ def hit_filter_audit(spark, folder):
 
 
 @query("golden_json_round_trip", f"""
-SELECT 'skills/order/' || o_orderkey || '.md' AS path, 3 AS headings, 2 AS keys, 3 AS ids, 3 + {_EXTRA} AS table_row_count FROM orders""")
+SELECT 'skills/order/' || o_orderkey || '.md' AS path,
+ 'Order ' || o_orderkey || ';Priority ' || o_orderpriority || ' (' || {_DAY} || ');Seen on ' || {_DAY} AS headings,
+ 'name;status' AS keys, 'CR-' || o_orderkey || ';SP-' || o_orderkey || '-001;UR-' || o_custkey AS ids, 3 + {_EXTRA} AS table_row_count FROM orders""")
 def golden_json_round_trip(spark, folder):
-    """Profiles written as JSON objects and read back with every member optional."""
+    """Profiles written as JSON objects and read back, value by value."""
     from ..sources.files import GOLDEN_SCHEMA
     from ..sources.sinks import golden_json
 
     written = golden_json(structure.document_profiles(corpus.order_docs(spark, folder)))
     return written.select("path", F.from_json("json", GOLDEN_SCHEMA).alias("g")).select(
-        "path", F.size("g.headings").alias("headings"), F.size("g.frontmatter_keys").alias("keys"),
-        F.size("g.ids").alias("ids"), "g.table_row_count",
+        "path", F.array_join("g.headings", ";").alias("headings"), F.array_join("g.frontmatter_keys", ";").alias("keys"),
+        F.array_join("g.ids", ";").alias("ids"), "g.table_row_count",
     )
 
 
