@@ -305,17 +305,17 @@ def joined(members: DataFrame, weight: str, limit: int) -> DataFrame:
 
     ``weight`` is the SQL of a member's share of ``limit``, the most that a tile should hold.
     """
-    totals = members.groupBy("group").agg(F.expr(f"cast(ceil(sum({weight}) / {limit}) as int)").alias("tiles"))
-    sized = members.join(totals, "group").withColumn("own", F.pmod(F.xxhash64("class"), F.greatest("tiles", F.lit(1))).cast("int"))
-    every = F.sequence(F.lit(0), F.greatest("tiles", F.lit(1)) - 1)
     columns = ["group", "tile", "class", "label", "n_shingles", "vector", "shingles"]
+    totals = members.groupBy("group").agg(F.expr(f"cast(ceil(sum({weight}) / {limit}) as int)").alias("tiles"))
+    wide = written(totals.where("tiles > 1"), "wide-groups")
+    if wide.isEmpty():
+        return written(edges_of_tiles(members.withColumn("tile", F.lit(0)).withColumn("label", F.col("class")).select(columns)), "links")
+    tiles = F.coalesce("tiles", F.lit(1))
+    sized = members.join(wide, "group", "left").withColumn("own", F.pmod(F.xxhash64("class"), tiles).cast("int"))
+    every = F.sequence(F.lit(0), tiles - 1)
     first = sized.withColumn("label", F.col("class")).withColumn(
         "tile", F.explode(F.when(F.col("own") == 0, every).otherwise(F.array("own")))).select(columns)
     edges = written(edges_of_tiles(first), "links")
-    # whether there are such groups is one row to the driver
-    wide = totals.where("tiles > 1").select("group", "tiles")
-    if wide.isEmpty():
-        return edges
 
     # groups of several tiles: members outside the main component of their group meet every tile
     roots = components(edges)
