@@ -12,8 +12,8 @@ empty table gives an empty table; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,11 +74,15 @@ def pretoken_blocks(docs: DataFrame, path: str) -> DataFrame:
         if not loaded:
             tokenizer = load(path)
             loaded.extend((tokenizer, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())))
-        number = numbering()
-        parts = [list(map(number.__getitem__, pretokens(*loaded, c.decode()))) for c in block.number]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
+        number, flat, sizes = numbering(), array("i"), array("i")
+        for chunk in block.number:
+            found = pretokens(*loaded, chunk.decode())
+            flat.extend(map(number.__getitem__, found))
+            sizes.append(len(found))
+        block.number.clear()
+        sizes, flat = np.array(sizes, np.int64), np.array(flat, np.int64)
         spread = [spread_chunks(*x, sizes, flat) for x in block.parts]
+        block.parts.clear()
         counts, numbers, times = (np.concatenate([x[i] for x in spread]) for i in range(3))
         return Closed(list(number), block.all_facts() | {"counts": counts, "numbers": numbers, "times": times})
 
