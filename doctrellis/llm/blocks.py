@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, mapped, numbering, written
+from .common import bounded, mapped, numbering, release_memory, written
 
 BLOCK_BYTES = 32 << 20  # text of one block
 PACKED_ROWS = 400_000  # values that travel back together
@@ -107,7 +107,8 @@ def in_blocks(
             if block.size >= block_bytes:
                 yield from block_rows(first + done, close(block))
                 block, done = Numbering(), done + 1
-        if block.parts:
+                release_memory()
+        if block.facts:
             yield from block_rows(first + done, close(block))
 
     return written(mapped(docs, SCHEMA, work), purpose)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -48,7 +50,18 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = BAT
 
 def mapped(df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` over ``df``; ``work`` gets and gives record batches."""
-    return df.mapInArrow(work, schema)
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release_memory()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on and serve other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
