@@ -99,10 +99,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str, learn: Column, m
             found = statistics(utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.float64()))], names=["label", "statistics"])
 
-    # bounded by ``most`` rows of two dozen numbers; sorted, so that a fit doesn't hang on the order of tasks
-    rows = mapped(joined, "label int, statistics array<double>", work).orderBy("statistics", "label").toArrow()
+    rows = mapped(joined, "label int, statistics array<double>", work).toArrow()  # ``most`` rows of two dozen numbers
     matrix = np.array(rows.column("statistics").to_pylist(), float).reshape(-1, len(STATISTICS))
-    return fit(matrix, np.array(rows.column("label").to_pylist(), float))
+    marks = np.array(rows.column("label").to_pylist(), float)
+    order = np.lexsort((marks, *matrix.T))  # a fit doesn't hang on the order of tasks
+    return fit(matrix[order], marks[order])
 
 
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
