@@ -76,8 +76,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class SqlEncoder(ChunkEncoder):
     """Chunks encoded and decoded by DuckDB."""
 
-    most = 350_000  # their decoded bytes are kept too
-
     def __init__(self, path: str):
         import duckdb
 
