@@ -168,6 +168,15 @@ def test_scores_of_awkward_rows(rows, nothing, spark):
     assert all(r.score < 0 for r in lm_scores(lone).collect()) and KINDS < 256
 
 
+def test_the_tuning_fold_reaches_the_scores(spark):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    rng = random.Random(3)
+    rows = [(i, " ".join(["zyxwvq"] * 40 if fold(i) == 3 else ["".join(rng.choice("abcde") for _ in range(4)) for _ in range(40)])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    per_word = [r.score / r.n_tokens for r in lm_scores(docs).collect() if fold(r.doc_id) == 3]
+    assert per_word and min(per_word) > -2  # never seen, it costs 7 bytes
+
+
 def stages_by_hand(spark, docs, folder):
     """The pipeline from operators' reports and plain Python; rows as {id: text}."""
     kept = {r.doc_id for r in quality_rules(docs).collect() if r.kept}
