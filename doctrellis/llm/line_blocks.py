@@ -5,8 +5,8 @@ Markup is stripped so that each block element is a line; elements that can't be
 line in their place.  The block length of a line is the summed text length of ``WINDOW``
 lines from there, text of links left out unless it lies in running text.  The main text
 starts where block lengths surge above ``SURGE`` and ends where they dive to nothing.  Lines
-of an ``article`` or ``main`` element, if a page has any with text, count alone, and there any
-length is a surge.
+of an ``article`` or ``main`` element, if a page has any with text, count alone, from the
+first surge to the last dive; without a surge in them they are the main text as they are.
 
 Null or empty html, and pages without such a region, give the empty text; repeated pages and
 null ids are handled row by row; an empty table gives an empty table; other columns are not
@@ -175,8 +175,9 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         return ""
     lines = lines_of(page)
     if any(text and inside for text, _, inside in lines):
-        ranges = regions([len(text) if inside else 0 for text, _, inside in lines], 1, window)
-        return "\n".join(text for a, b in ranges for text, _, inside in lines[a:b] if text and inside)
+        ranges = regions([len(text) if inside and 3 * links <= len(text) else 0 for text, links, inside in lines], surge, window)
+        first, last = (ranges[0][0], ranges[-1][1]) if ranges else (0, len(lines))
+        return "\n".join(text for text, _, inside in lines[first:last] if text and inside)
     lengths = [len(text) if 3 * links <= len(text) else 0 for text, links, _ in lines]
     ranges = regions(lengths, surge, window)
     sizes = [sum(lengths[a:b]) for a, b in ranges]

@@ -103,6 +103,13 @@ def test_random_strings_and_identifiers(spark, small):
     assert not scanner.spans("the_ing_tion_and_er_there_ation and theIngTionAndErThereAtion THE_ING_TION_AND_ER 4845168114407329484516811440")
 
 
+def test_articles_surge_and_dive():
+    long = "A sentence of an article that is long enough to surge on its own, with words that go on and on. "
+    lead = "".join(f"<p><a>Link {i}</a></p>" for i in range(5))
+    assert main_text(f"<article>{lead}<h2>Title</h2><p>{long}</p><p>Short.</p><p>{long}</p>{lead}</article>").split("\n") == ["Title", long.strip(), "Short.", long.strip()]
+    assert main_text(f"<article>{''.join(f'<p>Item {i}</p>' for i in range(9))}<p>{long}</article>").split("\n") == ["Item 7", "Item 8", long.strip()]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div id="cookie-notice">We use cookies, and this notice goes on for quite a while so that it is long.</div>
 <div class="content"><h2>Title&nbsp;here</h2><p>A paragraph with <a href=x>a link</a>, enough text to be a paragraph of an article &amp; more.<p>Unclosed one
