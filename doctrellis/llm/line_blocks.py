@@ -1,12 +1,13 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that each block element is a line; elements that can't be article text
-(menus, forms, scripts, adverts, comments and so on, by tag, role, class or id) leave an empty
-line in their place.  The block length of a line is the summed text length of ``WINDOW``
+(menus, forms, scripts, adverts, comments and so on, by tag, role, class or id; inside an article,
+and for sections and headings, only whole class names count) leave an empty line in their place.  The block length of a line is the summed text length of ``WINDOW``
 lines from there, text of links left out unless it lies in running text.  The main text
-starts where block lengths surge above ``SURGE`` and ends where they dive to nothing.  Lines
-of an ``article`` or ``main`` element, if a page has any with text, count alone, from the
-first surge to the last dive; without a surge in them they are the main text as they are.
+starts where block lengths first surge above ``SURGE`` and ends where they last dive to
+nothing; lines of links in between are left out where they lie in a dive outside an article.
+Lines of an ``article`` or ``main`` element, if a page has any with text, count alone; without
+a surge in them they are the main text as they are.
 
 Null or empty html, and pages without such a region, give the empty text; repeated pages and
 null ids are handled row by row; an empty table gives an empty table; other columns are not
@@ -41,6 +42,7 @@ DROPPED = frozenset(
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp"))
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+TEXT_TAGS = HEADINGS | {"article", "main", "section"}  # like all inside an article, known by whole class tokens only
 COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
 BOILER_WORDS = frozenset(
     "ad ads adbox advert advertisement advertising adverts banner breadcrumb breadcrumbs consent cookie cookies copyright "
@@ -64,7 +66,10 @@ def verdict(tag: str, attributes: str, in_article: bool) -> str:
     for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
-            words = {w.lower() for w in WORDS.findall(value)}
+            whole = in_article or tag in TEXT_TAGS
+            if whole and name == "id":
+                continue
+            words = {w.lower() for w in (value.split() if whole else WORDS.findall(value))}
             if words & COMMENT_WORDS:
                 return "never"
             if tag not in ("article", "main") and words & BOILER_WORDS:
@@ -170,19 +175,18 @@ def regions(lengths: list[int], surge: int, window: int) -> list[tuple[int, int]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The lines between surge and dive; of several regions outside an article, those of at least half the longest's text."""
+    """The lines from the first surge to the last dive."""
     if not page:
         return ""
     lines = lines_of(page)
-    if any(text and inside for text, _, inside in lines):
-        ranges = regions([len(text) if inside and 3 * links <= len(text) else 0 for text, links, inside in lines], surge, window)
-        first, last = (ranges[0][0], ranges[-1][1]) if ranges else (0, len(lines))
-        return "\n".join(text for text, _, inside in lines[first:last] if text and inside)
-    lengths = [len(text) if 3 * links <= len(text) else 0 for text, links, _ in lines]
+    article = any(text and inside for text, _, inside in lines)
+    own = [bool(text) and (inside or not article) for text, _, inside in lines]
+    lengths = [len(text) if o and 3 * links <= len(text) else 0 for (text, links, _), o in zip(lines, own)]
     ranges = regions(lengths, surge, window)
-    sizes = [sum(lengths[a:b]) for a, b in ranges]
-    kept = [r for r, s in zip(ranges, sizes) if 2 * s >= max(sizes)]
-    return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if lengths[i])
+    if not ranges:
+        return "\n".join(text for text, _, inside in lines if text and inside)
+    within = {i for a, b in ranges for i in range(a, b)}
+    return "\n".join(lines[i][0] for i in range(ranges[0][0], ranges[-1][1]) if own[i] and (article or lengths[i] or i in within))
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

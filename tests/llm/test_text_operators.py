@@ -103,6 +103,18 @@ def test_random_strings_and_identifiers(spark, small):
     assert not scanner.spans("the_ing_tion_and_er_there_ation and theIngTionAndErThereAtion THE_ING_TION_AND_ER 4845168114407329484516811440")
 
 
+def test_articles_keep_their_text():
+    long = "A sentence of an article that is long enough to surge on its own, with words that go on and on. "
+    for mark in ('id="discussion"', 'id="related-work"', 'class="legal-history"', 'class="social-effects"'):
+        for tag in ("section", "div", "h2"):
+            assert main_text(f"<article><p>{long}<{tag} {mark}>Kept here</{tag}><p>{long}</article>").split("\n")[1] == "Kept here"
+        assert main_text(f"<p>{long}<section {mark}>Kept here</section><p>{long}").split("\n")[1] == "Kept here"
+    assert main_text(f'<article><p>{long}<div class="share">Tweet</div><p>{long}</article>').split("\n") == [long.strip()] * 2
+    gap = "<nav>a</nav>" * 4
+    assert main_text(f"<div><p>{long * 4}{gap}<p>{long}</div>").split("\n") == [(long * 4).strip(), long.strip()]
+    assert main_text(f'<p>{long}<p>See <a>a link that is most of its line</a><p>{long}').count("\n") == 2
+
+
 def test_articles_surge_and_dive():
     long = "A sentence of an article that is long enough to surge on its own, with words that go on and on. "
     lead = "".join(f"<p><a>Link {i}</a></p>" for i in range(5))
