@@ -3,9 +3,9 @@
 Patterns find assignments, access keys and long hexadecimal runs.  The models add what has no
 such form: first-order Markov models of random strings (one per alphabet, trained from seeded
 samples of that label) against one of ordinary text (trained from the character pairs of all
-documents).  A candidate is a run of key characters; it is a secret if the log-likelihood
-ratio of the best random model against ordinary text reaches ``TOTAL`` in all and ``PER_CHAR``
-per character, and it touches no pattern's span.
+documents).  A candidate is what the patterns' spans leave of a run of key characters; it is a
+secret if the log-likelihood ratio of the best random model against ordinary text reaches
+``TOTAL`` in all and ``PER_CHAR`` per character.
 
 Positions are code points, ends exclusive.  Null and empty texts have no spans; repeated rows
 and null ids are scanned row by row; an empty table gives an empty table (and ordinary text is
@@ -15,6 +15,7 @@ then uniform).  Redaction keeps every row and column.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-
 ASSIGN_VALUE = 8
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE_LENGTH = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LENGTH},}}"
 
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 OUTSIDE = len(SYMBOLS)  # any other character
@@ -120,6 +122,30 @@ def ratio(candidate: str, random: np.ndarray, ordinary: np.ndarray) -> float:
     return float((random[:, codes[:-1], codes[1:]].sum(axis=1)).max() - ordinary[codes[:-1], codes[1:]].sum())
 
 
+def merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Ranges that spans cover, apart and in order."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(spans, key=lambda x: x[1]):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def uncovered(start: int, end: int, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What ``covered`` ranges leave of a range."""
+    for k in range(max(0, bisect_left(covered, (start,)) - 1), len(covered)):
+        a, b = covered[k]
+        if a >= end:
+            break
+        if a > start:
+            yield start, a
+        start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 class Scanner:
     def __init__(self, ordinary: np.ndarray, total: float, per_char: float):
         self.random, self.ordinary, self.total, self.per_char = random_models(), ordinary, total, per_char
@@ -130,14 +156,14 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         found = [("assign", *m.span()) for m in self.assign.finditer(text) if len(m[2]) >= ASSIGN_VALUE]
         found += [(kind, *m.span()) for kind, pattern in self.others for m in pattern.finditer(text)]
-        base = list(found)
+        base = merged(found)
         for m in self.candidate.finditer(text):
-            a, b = m.span()
-            if any(s < b and a < e for _, s, e in base):
-                continue
-            score = ratio(m[0], self.random, self.ordinary)
-            if score >= self.total and score >= self.per_char * (b - a):
-                found.append(("random", a, b))
+            for a, b in uncovered(*m.span(), base):
+                if b - a < CANDIDATE_LENGTH:
+                    continue
+                score = ratio(text[a:b], self.random, self.ordinary)
+                if score >= self.total and score >= self.per_char * (b - a):
+                    found.append(("random", a, b))
         return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
