@@ -122,6 +122,13 @@ def test_mixer_learns_a_language():
     assert one > model.log10([b"zzqx"], np.zeros(1, np.int64))[0] + 2
 
 
+def test_counts_beyond_32_bits():
+    tables = Counts()
+    for _ in range(2):
+        tables.add([b"a"], np.zeros(1, np.int64), np.array([3 << 30]))
+    assert int(tables.all.max()) >= 6 << 30
+
+
 def test_probabilities_of_words_sum_below_one():
     model = Mixer.start(np.zeros(log_odds(np.zeros(1), np.zeros(1)).size, np.int8).repeat(int(__import__("doctrellis.llm.context_mixing", fromlist=["CELLS"]).CELLS)))
     first = [bytes([b]) for b in range(256) if b not in (10, 32)] + [b""]
