@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .byte_bpe import byte_bpe
 from .common import crc_fold, table
 from .decontaminate import contaminated
+from .divergence import source_divergence
 from .jaccard_join import jaccard_components
 from .line_blocks import extract
 from .lm_scoring import lm_scores
@@ -95,3 +96,27 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_decontaminate")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_divergence_audit", r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT id, lang, source, unnest(words) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+c AS MATERIALIZED (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY 1, 2, 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+g AS MATERIALIZED (SELECT x.lang, x.source, coalesce(l.v, 0) AS v, coalesce(l.n, 0) AS lang_n,
+  coalesce((SELECT sum(c.n) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN l ON l.lang = x.lang),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + g.v)::HUGEINT AS p, coalesce(c.n, 0) AS n,
+  1 + 1000000000::HUGEINT * (k.n + 1) // (g.lang_n + g.v)::HUGEINT AS q
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(pair.value, 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(table(spark, folder, "documents"))
