@@ -19,6 +19,8 @@ from .quality_rules import quality_rules
 from .secret_scan import digests, secret_spans
 from .token_counts import token_counts
 from .token_store import token_store
+from .vector_search import nearest
+from .whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,6 +100,16 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened(table(spark, folder, "embeddings")).drop("deviation_exact")
+
+
+@query("op12_nearest_vectors")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
 @query("op13_divergence_audit", r"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
