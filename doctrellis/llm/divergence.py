@@ -121,8 +121,8 @@ def group_facts(kept: DataFrame) -> DataFrame:
 
 
 def share(count: str, total: str) -> Column:
-    """Smoothed share of a term in a group, in whole parts of SCALE."""
-    return F.expr(f"1 + cast({SCALE} as decimal(12,0)) * cast({count} + 1 as decimal(20,0)) div cast({total} + terms as decimal(20,0))")
+    """Smoothed share of a term in a group, in whole parts of SCALE; of no use, but a number, where no terms are kept."""
+    return F.expr(f"1 + cast({SCALE} as decimal(12,0)) * cast({count} + 1 as decimal(20,0)) div cast(greatest({total} + terms, 1) as decimal(20,0))")
 
 
 def term_ranks(kept: DataFrame, facts: DataFrame, ranks: int = RANKS) -> DataFrame:

@@ -67,7 +67,8 @@ class Vectors:
 
     def of(self, blob: bytes) -> np.ndarray:
         x = np.frombuffer(blob, self.kind).reshape(-1, self.d).astype(float)
-        length = (x * x).sum(axis=1)
+        with np.errstate(over="ignore"):
+            length = (x * x).sum(axis=1)
         odd = ~((length > 1e-200) & (length < 1e200))  # squares that ran over or under
         x[odd] /= np.abs(x[odd]).max(axis=1, keepdims=True)
         return x
