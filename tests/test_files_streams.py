@@ -1,9 +1,14 @@
 """File sources, sinks and streaming flows on small trees."""
 import json
+import random
+from collections import Counter
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from doctrellis.operators import structure
+from doctrellis.operators.ledger import budget_gate
 from doctrellis.sources import files, sinks
 from doctrellis.streaming import flows
 
@@ -73,40 +78,96 @@ def test_folders_and_staging(spark):
     assert [(r.suite, r.modules) for r in files.test_suites(tests).collect()] == [("a/tests", 2)]
 
 
+def put(spark, folder, rows, schema):
+    """One more file."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def state_bytes(folder):
+    """Bytes of the state's logs by version."""
+    sizes = Counter()
+    for file in folder.glob("state/*/*/**/*.changelog"):
+        sizes[int(file.name.split(".")[0].split("_")[0])] += file.stat().st_size
+    return sizes
+
+
 def test_upserts_in_disorder(spark, tmp_path):
-    """A later batch with an older row doesn't win."""
-    for n, rows in enumerate([[("a", "new", 5), ("b", "x", 1)], [("a", "old", 2), ("b", "y", 3)], [("c", "z", 0), ("a", "newest", 9)], [("a", "late", 7)]]):
-        spark.createDataFrame(rows, "k string, v string, seq int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        run = flows.upsert_stream(
-            spark.readStream.schema("k string, v string, seq int").parquet(str(tmp_path / "in")), ["k"], str(tmp_path / "table"), str(tmp_path / "log"),
-        ).trigger(availableNow=True).start()
-        run.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "table" / "version=3"))
-    assert {(r.k, r.v, r.seq) for r in got.collect()} == {("a", "newest", 9), ("b", "y", 3), ("c", "z", 0)}
-
-
-def test_gate_over_batches_equals_one_pass(spark, tmp_path):
-    rows = [(k, i, ((i * 7 + ord(k)) % 10) / 10) for i in range(40) for k in "ab"]
-    for n in range(4):
-        spark.createDataFrame([r for r in rows if r[1] // 10 == n], "k string, seq int, cost_usd double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        run = flows.gate_stream(
-            spark.readStream.schema("k string, seq int, cost_usd double").parquet(str(tmp_path / "in")),
-            ["k"], ["seq"], 9.0, 0.3, 25, str(tmp_path / "out"), str(tmp_path / "log"),
-        ).trigger(availableNow=True).start()
-        run.awaitTermination()
-    got = {(r.k, r.seq): r.status for r in spark.read.parquet(str(tmp_path / "out/rows")).collect()}
-    want = {(k, s): v for k in "ab" for s, v in reference_gate([(r[1], r[2], False, False) for r in rows if r[0] == k], 9.0, 0.3, 25).items()}
-    assert got == want
-
-
-def test_upsert_stream_keeps_latest(spark, tmp_path):
-    for n in range(3):
-        spark.createDataFrame([(1, n, f"v{n}"), (n + 10, n, "x")], "id int, seq int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        flows.upsert_stream(
-            spark.readStream.schema("id int, seq int, v string").parquet(str(tmp_path / "in")), ["id"], str(tmp_path / "t"), str(tmp_path / "log")
-        ).trigger(availableNow=True).start().awaitTermination()
-    got = {r.id: r.v for r in spark.read.parquet(str(tmp_path / "t/version=2")).collect()}
-    assert got == {1: "v2", 10: "x", 11: "x", 12: "x"}
+    """A later batch with an older row doesn't win, and a batch that comes again changes nothing."""
+    schema = "k string, v string, seq int"
+    batches = [[("a", "new", 5), ("b", "x", 1)], [("a", "old", 2), ("b", "y", 3)], [("c", "z", 0), ("a", "newest", 9)], [("a", "late", 7), ("c", "zz", 0), (None, "n", 1)]]
+    for rows in [*batches, batches[1]]:
+        put(spark, tmp_path / "in", rows, schema)
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        flows.upsert_stream(stream, ["k"], str(tmp_path / "log"), str(tmp_path / "changes")).awaitTermination()
+    got = {(r.k, r.v, r.seq) for r in flows.upserted(spark, str(tmp_path / "log")).collect()}
+    assert got == {("a", "newest", 9), ("b", "y", 3), ("c", "zz", 0), (None, "n", 1)}
+    third = {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "changes/batch=3")).collect()}
+    assert third == {("a", "newest"), ("c", "zz"), (None, "n")}
+
+
+def test_what_an_upsert_writes_follows_the_batch(spark, tmp_path):
+    schema, sizes = "k long, v string, seq int", [20_000, 40, 40, 40]
+    for n, size in enumerate(sizes):
+        put(spark, tmp_path / "in", [(i * (1 + n), f"row {i} of batch {n}", n) for i in range(size)], schema)
+        flows.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["k"], str(tmp_path / "log"), retained=1).awaitTermination()
+    table = flows.upserted(spark, str(tmp_path / "log"))
+    want = {i * (1 + n): (n, f"row {i} of batch {n}") for n, size in enumerate(sizes) for i in range(size)}
+    assert {r.k: (r.seq, r.v) for r in table.collect()} == want
+    sizes = state_bytes(tmp_path / "log")
+    assert sizes[4] and sizes[1] > 50 * sizes[4]
+
+
+def test_state_settings_are_put_back(spark):
+    name = "spark.sql.streaming.minBatchesToRetain"
+    before = spark.conf.get(name)
+    with flows.state_store(spark, 3):
+        assert spark.conf.get(name) == "3"
+    assert spark.conf.get(name) == before
+
+
+GATE_ROWS = "k string, seq int, cost_usd double, bad boolean"
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_gate_over_files_in_any_order_equals_one_pass(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(k, i, ((i * 7 + ord(k)) % 10) / 10, (i, k) in ((3, "c"), (30, "b"))) for i in range(40) for k in "abc"]
+    rng.shuffle(rows)
+    parts = [rows[:7], rows[7:60], rows[60:61], rows[61:], rows[5:9]]  # the last one comes again
+    for n, part in enumerate(parts):
+        put(spark, tmp_path / "in", part, GATE_ROWS)
+        stream = spark.readStream.schema(GATE_ROWS).parquet(str(tmp_path / "in"))
+        flows.gate_stream(
+            stream, ["k"], ["seq"], 9.0, 0.3, 25, str(tmp_path / "rows"), str(tmp_path / "log"), failed=F.col("bad"),
+        ).awaitTermination()
+        so_far = {r[:2]: r for p in parts[:n + 1] for r in p}.values()
+        batch = budget_gate(
+            spark.createDataFrame(list(so_far), GATE_ROWS), ["k"], ["seq"], F.lit(9.0), F.lit(0.3), F.lit(25), failed=F.col("bad"))
+        got = {(r.k, r.seq): r.status for r in flows.gated(spark, str(tmp_path / "rows"), ["k"], ["seq"]).collect()}
+        assert got == {(r.k, r.seq): r.status for r in batch.collect()}
+    want = {(k, s): v for k in "a" for s, v in reference_gate([(r[1], r[2], False, False) for r in sorted(rows) if r[0] == k], 9.0, 0.3, 25).items()}
+    assert {x: y for x, y in got.items() if x[0] == "a"} == want
+
+
+def test_gate_of_a_busy_key_in_small_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flows.GateKey, "CHUNK", 7)
+    rows = [("hot", i, 0.25 if i % 3 else None, False) for i in range(300)] + [("cold", 1, 5.0, False), ("cold", 2, 6.0, False)]
+    random.Random(4).shuffle(rows)
+    put(spark, tmp_path / "in", rows, GATE_ROWS)
+    stream = spark.readStream.schema(GATE_ROWS).parquet(str(tmp_path / "in"))
+    flows.gate_stream(stream, ["k"], ["seq"], 9.0, 0.3, None, str(tmp_path / "rows"), str(tmp_path / "log")).awaitTermination()
+    batch = budget_gate(spark.createDataFrame(rows, GATE_ROWS), ["k"], ["seq"], F.lit(9.0), F.lit(0.3))
+    got = {(r.k, r.seq): r.status for r in flows.gated(spark, str(tmp_path / "rows"), ["k"], ["seq"]).collect()}
+    assert got == {(r.k, r.seq): r.status for r in batch.collect()}
+    held = spark.read.format("statestore").option("stateVarName", "reached").load(str(tmp_path / "log")).count()
+    assert held < 60  # of 302 rows
+
+
+def test_gate_refuses_negative_costs(spark, tmp_path):
+    put(spark, tmp_path / "in", [("a", 1, -1.0, False)], GATE_ROWS)
+    stream = spark.readStream.schema(GATE_ROWS).parquet(str(tmp_path / "in"))
+    with pytest.raises(StreamingQueryException, match="negative cost"):
+        flows.gate_stream(stream, ["k"], ["seq"], 9.0, 0.3, 25, str(tmp_path / "rows"), str(tmp_path / "log")).awaitTermination()
 
 
 def test_windowed_totals_drop_late_rows(spark, tmp_path):
