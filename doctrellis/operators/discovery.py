@@ -1,10 +1,8 @@
 """Wave-by-wave discovery over a reference graph, and plain graph reachability.
 
 Every wave is written below a shared folder as ``<table>/wave=<n>`` before the next one
-starts: that is the checkpoint, it cuts the lineage and it survives lost executors.  A wave
-counts once its row in the ``state`` table is there, which is written last; a walk that is
-started again on its folder goes on after its last whole wave and overwrites what a broken
-one left.
+starts: that is the checkpoint, it cuts the lineage and it survives lost executors.  The walk
+itself is in ``walk``.
 """
 
 from __future__ import annotations
@@ -12,7 +10,6 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +22,17 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{durable_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bucket_of(key: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 class WaveStore:
-    """Tables of a walk, one folder per wave."""
+    """Tables of a walk, one folder per wave; some are laid out by a hash of their key as well."""
+
+    SPREAD = 8  # parts of a bucket that are written apart, as one key may have most rows
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 32):
+        self.spark, self.root, self.buckets = spark, root, buckets
 
     def write(self, table: str, wave: int, df: DataFrame) -> DataFrame:
         """Write one wave and return it read back; rewriting a wave replaces it."""
@@ -40,20 +43,17 @@ class WaveStore:
     def wave(self, table: str, wave: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}/wave={wave}")
 
-    def commit(self, wave: int, frontier: int) -> None:
-        """Wave ``wave`` is whole: its frontier, of that many symbols, is to be searched next."""
-        row = self.spark.range(1).select(F.lit(wave).alias("waves"), F.lit(frontier).cast("bigint").alias("frontier"))
-        self.write("state", wave, row)
-
-    def last(self) -> tuple[int, int] | None:
-        """(wave, size of its frontier) of the last whole wave, if the folder holds a walk."""
-        try:
-            row = self.spark.read.parquet(f"{self.root}/state/wave=*").agg(F.max(F.struct("waves", "frontier")).alias("s")).first()
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        return row.s.waves, row.s.frontier
+    def write_buckets(self, table: str, wave: int, df: DataFrame, key: str, spread: str) -> None:
+        """Write one wave in folders by a hash of ``key``; ``spread`` cuts what one key has."""
+        part = F.pmod(F.xxhash64(spread), F.lit(self.SPREAD))
+        laid = df.withColumn("bucket", bucket_of(key, self.buckets)).repartition("bucket", part).sortWithinPartitions("bucket", key)
+        laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{table}/wave={wave}")
+
+    def in_buckets(self, table: str, wave: int | str, buckets: list[int], schema) -> DataFrame:
+        """What one wave, or all (``*``), has in some buckets: the folders of others aren't opened."""
+        read = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}")
+        rows = read.parquet(f"{self.root}/{table}/wave={wave}")
+        return rows if len(buckets) == self.buckets else rows.filter(F.col("bucket").isin(buckets))
 
     def read(self, table: str, schema) -> DataFrame:
         """All waves so far, with the wave number as a column."""
@@ -200,136 +200,6 @@ def reconcile_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("balanced", F.expr("raw = recorded + dedup + filtered + collapsed"))
 
 
-def _next_symbols(spread: DataFrame, formals: DataFrame) -> DataFrame:
-    """``(symbol, scope_file, confidence, origin...)`` that propagating hits lead to, one row each.
-
-    The origin is the first hit, by symbol, file and line.
-    """
-    origin = F.struct(F.col("symbol").alias("origin"), F.col("file").alias("origin_file"), F.col("line").alias("origin_line")).alias("o")
-    named = spread.select(origin, F.explode("derived").alias("symbol")).select(
-        "o", "symbol", F.lit(None).cast("string").alias("scope_file"), F.lit("HIGH").alias("confidence"),
-    )
-    passed = (
-        spread.select(origin, F.col("symbol").alias("actual"), F.inline("passed"))
-        .join(formals, ["callee", "position"]).filter("actual <> formal")
-        .select("o", F.col("formal").alias("symbol"), F.col("callee_file").alias("scope_file"), F.lit("MEDIUM").alias("confidence"))
-    )
-    return named.unionByName(passed).groupBy("symbol", "scope_file", "confidence").agg(F.min("o").alias("o")).select(
-        "symbol", "scope_file", "confidence", "o.*"
-    )
-
-
-def discover(
-    index: CodeIndex, seeds: DataFrame, max_files: int, max_waves: int, collapse: bool = True,
-    comment_filter: bool = True, classify=None, root: str | None = None, dropped: DataFrame | None = None,
-) -> dict[str, DataFrame]:
-    """Walk from ``seeds(symbol)``; returns ``hits``, ``frontier``, ``confirmed``, ``counts``,
-    ``metrics`` and ``pending``.
-
-    Reaching ``max_waves`` pauses the walk and loses nothing: ``pending`` holds the symbols
-    that were found but not searched (see ``close_pending``).  Given a ``root`` folder that
-    holds a walk, it goes on after its last whole wave; ``dropped(symbol)`` then leaves
-    symbols out of the waiting frontier (prune, record or out of scope).
-
-    Per wave: match the frontier against the index, set comment lines and locations that
-    an earlier wave met aside (kept, with the reason), test what remains for noise, keep
-    representatives of noisy symbols, derive the next frontier from the symbols that are not
-    noisy.  A location that was met before is counted once, but another symbol on it still
-    propagates.  All files of noisy symbols are confirmed all the same, and locations are
-    the same with and without ``collapse``, so results do not depend on it.
-
-    ``classify(hits) -> DataFrame`` may add a boolean ``relevant`` per (symbol, file,
-    line); a hit it leaves without a class stops the wave before anything is committed.
-    """
-    spark = index.tokens.sparkSession
-    store = WaveStore(spark, root or work_folder(spark, "discover"))
-    known_state = store.last()
-    if known_state is None:
-        store.write("index", 0, index.tokens)
-        store.write("formals", 0, index.formals)
-        frontier = store.write(
-            "frontier", 0,
-            seeds.select("symbol").distinct().select(
-                "symbol", F.lit(None).cast("string").alias("scope_file"), F.lit("HIGH").alias("confidence"),
-                F.lit(None).cast("string").alias("origin"), F.lit(None).cast("string").alias("origin_file"), F.lit(None).cast("int").alias("origin_line"),
-            ),
-        )
-        store.commit(0, frontier.count())
-        known_state = store.last()
-    wave, size = known_state
-    table, formals, frontier = store.wave("index", 0), store.wave("formals", 0), store.wave("frontier", wave)
-    frontier_schema = frontier.schema
-    hit_schema = store.wave("hits", 0).schema if wave else None
-    if dropped is not None and size:
-        frontier = frontier.join(dropped.select("symbol").distinct(), "symbol", "left_anti")
-        size = frontier.count()
-    while size and wave < max_waves:
-        wanted = frontier.select("symbol", "scope_file", "confidence")
-        found = table.join(wanted, "symbol").filter("scope_file is null or scope_file = file")
-        # A location counts once per symbol, at its best confidence.
-        found = found.groupBy("symbol", "file", "line").agg(
-            F.min("confidence").alias("confidence"), F.bool_or("is_comment").alias("is_comment"),
-            F.first("derived").alias("derived"), F.first("passed").alias("passed"),
-        )
-        if hit_schema is None:
-            tagged = found.withColumn("_seen", F.lit(None).cast("boolean"))
-        else:
-            seen = store.read("hits", hit_schema).filter("reason in ('recorded', 'noise-collapse')").select(
-                "file", "line", F.lit(True).alias("_seen")
-            ).distinct()
-            tagged = found.join(seen, ["file", "line"], "left")
-        aside = (
-            F.when(F.col("is_comment") & F.lit(comment_filter), "comment").when(F.col("_seen").isNotNull(), "dedup")
-        )
-        # Written down before it is used three times: the index is read once per wave.
-        judged = store.write("matched", wave, tagged.withColumn("reason", aside).drop("_seen", "is_comment"))
-        noisy = noisy_symbols(judged.filter("reason is null"), max_files).select("symbol", F.lit(True).alias("noisy"))
-        marked = judged.join(noisy, "symbol", "left").withColumn("noisy", F.col("noisy").isNotNull())
-        if collapse:
-            kept = representatives(marked.filter("noisy and reason is null"), max_files).withColumn("_kept", F.lit(True))
-            marked = marked.join(kept, ["symbol", "file", "line"], "left").withColumn(
-                "reason", F.when(F.col("noisy") & F.col("_kept").isNull() & F.col("reason").isNull(), "noise-collapse").otherwise(F.col("reason"))
-            ).drop("_kept")
-        hits = marked.withColumn("reason", F.coalesce("reason", F.lit("recorded"))).withColumn("relevant", F.lit(True))
-        judged_by = "reason in ('recorded', 'dedup')"
-        if classify is not None:
-            classes = classify(hits.filter(judged_by).drop("relevant")).select("symbol", "file", "line", "relevant")
-            hits = hits.drop("relevant").join(classes, ["symbol", "file", "line"], "left")
-            if not hits.filter(f"{judged_by} and relevant is null").isEmpty():
-                raise ValueError(f"wave {wave}: hits without a class; nothing was committed")
-            hits = hits.withColumn("relevant", F.coalesce("relevant", F.lit(True)))
-        hits = store.write("hits", wave, hits)
-        hit_schema = hits.schema
-
-        known = store.read("frontier", frontier_schema).filter(F.col("wave") <= wave).select("symbol", "scope_file").distinct()
-        derived = _next_symbols(hits.filter(f"{judged_by} and relevant and not noisy"), formals)
-        everywhere = known.filter("scope_file is null").select("symbol")
-        derived = derived.join(everywhere, "symbol", "left_anti").join(
-            known.select(F.col("symbol").alias("_ks"), F.col("scope_file").alias("_kf")),
-            (F.col("symbol") == F.col("_ks")) & F.col("scope_file").eqNullSafe(F.col("_kf")), "left_anti",
-        )
-        wave += 1
-        frontier = store.write("frontier", wave, derived.select(*frontier_schema.names))
-        size = frontier.count()
-        store.commit(wave, size)
-
-    if hit_schema is None:
-        empty = table.filter("false").select("symbol", "file", "line", "derived", "passed").withColumns({
-            "confidence": F.lit("HIGH"), "reason": F.lit("recorded"), "noisy": F.lit(False), "relevant": F.lit(True),
-        })
-        hit_schema = store.write("hits", 0, empty).schema
-    all_hits = store.read("hits", hit_schema).filter(F.col("wave") < max(wave, 1))
-    live_hits = all_hits.filter("reason in ('recorded', 'noise-collapse') and (relevant or noisy)")
-    return {
-        "hits": all_hits,
-        "frontier": store.read("frontier", frontier_schema).filter(F.col("wave") <= wave),
-        "confirmed": live_hits.groupBy("file").agg(F.min("confidence").alias("confidence")),
-        "counts": reconcile_counts(all_hits, ["wave", "symbol"]),
-        "metrics": reconcile_counts(all_hits, ["wave"]),
-        "pending": frontier,
-    }
-
-
 def close_pending(pending: DataFrame, choice: str | None, pauses: int) -> DataFrame:
     """Status of the symbols a paused walk left: what was chosen, else ``paused``.
 
@@ -341,9 +211,9 @@ def close_pending(pending: DataFrame, choice: str | None, pauses: int) -> DataFr
     return pending.withColumn("status", F.lit("record" if pauses > 1 else choice or "paused"))
 
 
-def number_rows(rows: DataFrame, wave: str, label: str, numbered: str) -> DataFrame:
+def number_rows(rows: DataFrame, wave: str, label: str, numbered: str, name: str = "row_id") -> DataFrame:
     """``W{wave}-{label}{n}`` identifiers from a per-wave position column."""
-    return rows.withColumn("row_id", F.format_string(f"W%s-{label}%d", F.col(wave).cast("string"), F.col(numbered)))
+    return rows.withColumn(name, F.format_string(f"W%s-{label}%d", F.col(wave).cast("string"), F.col(numbered)))
 
 
 def neighbour(of: Column | str, other: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import dirname
-from ..operators import discovery
+from ..operators import discovery, walk
 from . import corpus
 from .registry import query, table
 
@@ -82,7 +82,7 @@ def _walk(spark, folder, collapse=True, max_waves=8, root=None):
     index = discovery.code_index(corpus.source_files(spark, folder))
     rich = table(spark, folder, "customer").filter(F.col("c_acctbal") > _RICH).select(F.concat(F.lit("customer_"), F.col("c_custkey").cast("string")).alias("symbol"))
     urgent = table(spark, folder, "orders").filter("o_orderpriority like '1%'").select(F.lit("priority_1").alias("symbol")).distinct()
-    return discovery.discover(index, rich.unionByName(urgent), max_files=_MAX_FILES, max_waves=max_waves, collapse=collapse, root=root)
+    return walk.discover(index, rich.unionByName(urgent), max_files=_MAX_FILES, max_waves=max_waves, collapse=collapse, root=root)
 
 
 @query("discovery_confirmed", f"{_COLLAPSED} {_CONFIRMED}")
@@ -127,8 +127,8 @@ def discovery_resumed(spark, folder):
     """The walk in three sittings on one folder."""
     root = discovery.work_folder(spark, "resumed")
     for waves in (1, 3, 8):
-        walk = _walk(spark, folder, max_waves=waves, root=root)
-    return walk["confirmed"]
+        found = _walk(spark, folder, max_waves=waves, root=root)
+    return found["confirmed"]
 
 
 @query("discovery_pending", f"""{_COLLAPSED}

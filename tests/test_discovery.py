@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doctrellis.operators import discovery
+from doctrellis.operators.walk import discover
 
 
 def test_reach_long_chain_and_cycle(spark):
@@ -39,7 +40,7 @@ def test_collapse_is_equivalent(spark, seed):
     files, _ = sources(spark)
     index = discovery.code_index(files)
     seeds = spark.createDataFrame([(seed,)], "symbol string")
-    runs = [discovery.discover(index, seeds, max_files=5, max_waves=8, collapse=c) for c in (True, False)]
+    runs = [discover(index, seeds, max_files=5, max_waves=8, collapse=c) for c in (True, False)]
     confirmed = [{(r.file, r.confidence) for r in run["confirmed"].collect()} for run in runs]
     frontier = [{(r.wave, r.symbol, r.scope_file, r.confidence) for r in run["frontier"].collect()} for run in runs]
     assert confirmed[0] == confirmed[1] and frontier[0] == frontier[1] and confirmed[0]
@@ -59,7 +60,7 @@ def test_propagation_rules(spark):
         ("c.py", "def other():\n    second = 1  # same name elsewhere"),
         ("d.py", "# target only in a comment"),
     ], "path string, text string")
-    run = discovery.discover(discovery.code_index(files), spark.createDataFrame([("target",)], "symbol string"), max_files=10, max_waves=5)
+    run = discover(discovery.code_index(files), spark.createDataFrame([("target",)], "symbol string"), max_files=10, max_waves=5)
     frontier = {(r.symbol, r.scope_file, r.confidence) for r in run["frontier"].collect()}
     assert {("target", None, "HIGH"), ("outer", None, "HIGH"), ("got", None, "HIGH"), ("second", "b.py", "MEDIUM")} <= frontier
     assert {r.file for r in run["confirmed"].collect()} == {"a.py", "b.py"}
@@ -69,7 +70,7 @@ def test_propagation_rules(spark):
 def test_missing_class_stops_the_wave(spark):
     files = spark.createDataFrame([("a.py", "def f():\n    return target")], "path string, text string")
     with pytest.raises(ValueError, match="without a class"):
-        discovery.discover(
+        discover(
             discovery.code_index(files), spark.createDataFrame([("target",)], "symbol string"), 10, 3,
             classify=lambda hits: hits.filter("false").selectExpr("symbol", "file", "line", "true as relevant"),
         )
@@ -77,7 +78,7 @@ def test_missing_class_stops_the_wave(spark):
 
 def test_irrelevant_hits_neither_confirm_nor_propagate(spark):
     files = spark.createDataFrame([("a.py", "def f():\n    return target"), ("b.py", "def g():\n    return f()")], "path string, text string")
-    run = discovery.discover(
+    run = discover(
         discovery.code_index(files), spark.createDataFrame([("target",)], "symbol string"), 10, 3,
         classify=lambda hits: hits.selectExpr("symbol", "file", "line", "false as relevant"),
     )
@@ -86,7 +87,7 @@ def test_irrelevant_hits_neither_confirm_nor_propagate(spark):
 
 def test_no_seed_finds_nothing(spark):
     files = spark.createDataFrame([("a.py", "def f():\n    return 1")], "path string, text string")
-    run = discovery.discover(discovery.code_index(files), spark.createDataFrame([], "symbol string"), 10, 3)
+    run = discover(discovery.code_index(files), spark.createDataFrame([], "symbol string"), 10, 3)
     assert run["hits"].count() == 0 and run["confirmed"].count() == 0
 
 
@@ -98,7 +99,7 @@ def test_priority(spark):
 
 def test_depth_cap_pauses(spark):
     files = spark.createDataFrame([("a.py", "def f():\n    return target"), ("b.py", "def g():\n    return f()")], "path string, text string")
-    run = discovery.discover(discovery.code_index(files), spark.createDataFrame([("target",)], "symbol string"), 10, max_waves=1)
+    run = discover(discovery.code_index(files), spark.createDataFrame([("target",)], "symbol string"), 10, max_waves=1)
     assert {r.symbol for r in run["pending"].collect()} == {"f"}
     assert {r.status for r in discovery.close_pending(run["pending"], None, 1).collect()} == {"paused"}
     assert {r.status for r in discovery.close_pending(run["pending"], "prune", 2).collect()} == {"record"}
@@ -110,7 +111,7 @@ def test_two_symbols_on_a_line_of_a_noisy_one(spark):
     files += [(f"n{i}.py", f"def n{i}():\n    return noisy({i})") for i in range(9)]
     index = discovery.code_index(spark.createDataFrame(files, "path string, text string"))
     seeds = spark.createDataFrame([("noisy",), ("a",)], "symbol string").union(spark.createDataFrame([("return",)], "symbol string").filter("false"))
-    runs = [discovery.discover(index, seeds.union(spark.createDataFrame([("late",)], "symbol string")), 3, 6, collapse=c) for c in (True, False)]
+    runs = [discover(index, seeds.union(spark.createDataFrame([("late",)], "symbol string")), 3, 6, collapse=c) for c in (True, False)]
     frontier = [{(r.wave, r.symbol) for r in run["frontier"].collect()} for run in runs]
     assert frontier[0] == frontier[1] and {"keep", "zed", "start"} <= {s for _, s in frontier[0]}
 
@@ -120,7 +121,7 @@ def test_calls_inside_calls_and_strings(spark):
     got = spark.createDataFrame([(text,)], "text string").select(discovery.calls_of(F.col("text")).alias("c")).first().c
     assert [c.replace(" ", "") for c in got] == ["h(w)", "k('',v)", "g(x,hw)", "f(gxhw,y,'',z)"]
     files = spark.createDataFrame([("m.py", "def f(p, q, r, s):\n    return q"), ("n.py", f"def run():\n{text}")], "path string, text string")
-    run = discovery.discover(discovery.code_index(files), spark.createDataFrame([("w",), ("y",), ("z",)], "symbol string"), 10, 2)
+    run = discover(discovery.code_index(files), spark.createDataFrame([("w",), ("y",), ("z",)], "symbol string"), 10, 2)
     found = {(r.symbol, r.scope_file, r.confidence) for r in run["frontier"].filter("wave = 1").collect()}
     assert found == {("run", None, "HIGH"), ("got", None, "HIGH"), ("p", "m.py", "MEDIUM"), ("q", "m.py", "MEDIUM"), ("s", "m.py", "MEDIUM")}
 
@@ -134,23 +135,23 @@ def test_common_callee_names_stay_linear(spark):
 def test_resumed_walk_is_the_whole_walk(spark, tmp_path):
     files, _ = sources(spark)
     index, seeds = discovery.code_index(files), spark.createDataFrame([("f3",)], "symbol string")
-    whole = discovery.discover(index, seeds, 5, 6)
+    whole = discover(index, seeds, 5, 6)
     root = f"file://{tmp_path}/walk"
     for waves in (1, 2, 2, 6):
-        part = discovery.discover(index, seeds, 5, waves, root=root)
+        part = discover(index, seeds, 5, waves, root=root)
     for name in ("hits", "frontier", "confirmed", "counts", "pending"):
         columns = [c for c in whole[name].columns if c not in ("derived", "passed")]
         assert sorted(map(str, part[name].select(columns).collect())) == sorted(map(str, whole[name].select(columns).collect()))
     # a wave that broke off before its state row counts for nothing and is done again
     half = f"file://{tmp_path}/half"
-    discovery.discover(index, seeds, 5, 2, root=half)
+    discover(index, seeds, 5, 2, root=half)
     discovery.WaveStore(spark, half).write("hits", 2, whole["hits"].drop("wave").limit(3))
     discovery.WaveStore(spark, half).write("frontier", 3, whole["frontier"].drop("wave").limit(2))
-    again = discovery.discover(index, seeds, 5, 6, root=half)
+    again = discover(index, seeds, 5, 6, root=half)
     assert sorted(map(str, again["confirmed"].collect())) == sorted(map(str, whole["confirmed"].collect()))
     assert sorted(map(str, again["frontier"].collect())) == sorted(map(str, whole["frontier"].collect()))
     # pruned symbols are not searched
     stop = f"file://{tmp_path}/stop"
-    first = discovery.discover(index, seeds, 5, 1, root=stop)
-    ended = discovery.discover(index, seeds, 5, 6, root=stop, dropped=first["pending"])
+    first = discover(index, seeds, 5, 1, root=stop)
+    ended = discover(index, seeds, 5, 6, root=stop, dropped=first["pending"])
     assert ended["hits"].filter("wave > 0").count() == 0
