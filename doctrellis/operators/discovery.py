@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import _col, all_matches, dirname
+from ..functions.text import _col, all_matches, dirname, lines_of
 from ..session import durable_dir
-from .facts import is_comment_line, md_lines
+from .facts import holding, is_comment_line, md_lines
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -241,3 +241,78 @@ def with_priority(frontier: DataFrame, confirmed_dirs: DataFrame, folder: str =
         .withColumn("priority", F.when(F.col("_near").isNotNull() | F.col("_child").isNotNull(), "HIGH").otherwise("LOW"))
         .drop("_near", "_child", "_parent")
     )
+
+
+_IDENTIFIER = r"^[A-Za-z_]\w*$"
+_NAMES = r"([A-Za-z_][\w.]*)"
+
+
+def symbol_links(files: DataFrame) -> DataFrame:
+    """``(src, dst, kind, file, line)``: names that a change of ``src`` reaches before any search.
+
+    ``subclass``: from a class or interface to what extends or implements it; ``alias``: from an
+    imported or exported name to the name it gets; ``entry``: from a file's path to what it
+    defines.  Of dotted names the last part counts.
+    """
+    lines = holding(files, "class", "interface", "import", "export", "def", "func", "fn ").transform(md_lines)
+    text = F.col("text")
+    heir = F.regexp_extract(text, r"\b(?:class|interface)\s+([A-Za-z_]\w*)", 1)
+    bases = F.concat_ws(
+        ",", F.regexp_extract(text, r"^\s*class\s+\w+\s*\(([^)]*)\)", 1), F.regexp_extract(text, r"\bextends\s+([\w.,\s]+?)(?:\bimplements\b|\{|$)", 1),
+        F.regexp_extract(text, r"\bimplements\s+([\w.,\s]+)", 1),
+    )
+    # keyword arguments of a class head are no bases
+    parents = F.regexp_extract_all(F.regexp_replace(bases, r"\w+\s*=[^,]*", ""), F.lit(_NAMES), F.lit(1))
+    named = r"([A-Za-z_][\w.]*\s+as\s+[A-Za-z_]\w*)"
+    aliases = F.when(F.rlike(text, F.lit(r"^\s*(?:from|import|export)\b")), F.regexp_extract_all(text, F.lit(named), F.lit(1)))
+    defined = F.regexp_extract(text, r"^\s*(?:export\s+)?(?:def|class|interface|function|func|fn)\s+([A-Za-z_]\w*)", 1)
+
+    def last_part(name: Column) -> Column:
+        return F.substring_index(name, ".", -1)
+
+    def link(src: Column, dst: Column, kind: str) -> Column:
+        return F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
+
+    links = F.concat(
+        F.when(heir != "", F.transform(parents, lambda p: link(last_part(p), heir, "subclass"))).otherwise(F.array()),
+        F.coalesce(F.transform(aliases, lambda a: link(last_part(F.regexp_extract(a, r"^(\S+)", 1)), F.regexp_extract(a, r"(\S+)$", 1), "alias")), F.array()),
+        F.when(defined != "", F.array(link(F.col("path"), defined, "entry"))).otherwise(F.array()),
+    ).cast("array<struct<src: string, dst: string, kind: string>>")
+    return lines.select(F.inline(links), F.col("path").alias("file"), "line")
+
+
+def expand_seeds(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(symbol, depth)``: seeds and all that subclasses, aliases and entry points lead to.
+
+    A seed may be a symbol, a dotted or ``self.`` form, of which the last part is searched, or
+    the path of a file.
+    """
+    form = F.rlike("symbol", F.lit(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)+$"))
+    starts = seeds.select(F.explode(F.array_distinct(F.array("symbol", F.when(form, F.substring_index("symbol", ".", -1)).otherwise(F.col("symbol"))))).alias("node"))
+    found = reach(links.select("src", "dst"), starts)
+    return found.filter(F.rlike("node", F.lit(_IDENTIFIER))).select(F.col("node").alias("symbol"), "depth")
+
+
+def definition_scopes(files: DataFrame) -> DataFrame:
+    """``(file, name, start, end)``: line ranges of definitions, by indentation, nested ones too."""
+    lines = F.transform(lines_of("text"), lambda t, i: F.struct(
+        (i + 1).alias("line"), F.length(F.regexp_extract(t, r"^(\s*)", 1)).alias("indent"),
+        F.regexp_extract(t, r"^\s*(?:export\s+)?(?:async\s+)?(?:def|class|interface|function|func|fn)\s+([A-Za-z_]\w*)", 1).alias("name"), (F.trim(t) != "").alias("filled"),
+    ))
+    held = holding(files, "def", "class", "interface", "func", "fn ").select(F.col("path").alias("file"), F.filter(lines, lambda x: x["filled"]).alias("lines"))
+    # a definition ends before the next line that is not indented more
+    ranges = F.transform(F.filter("lines", lambda d: d["name"] != ""), lambda d: F.struct(
+        d["name"].alias("name"), d["line"].alias("start"),
+        F.coalesce(
+            F.array_min(F.transform(F.filter("lines", lambda x: (x["line"] > d["line"]) & (x["indent"] <= d["indent"])), lambda x: x["line"])) - 1,
+            F.element_at("lines", -1)["line"],
+        ).alias("end"),
+    ))
+    return held.select("file", F.inline(ranges))
+
+
+def in_scopes(hits: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Hits ``(symbol, file, line)`` with ``scope`` and ``scope_start`` of the nearest definition around them, or NULL."""
+    around = hits.select("symbol", "file", "line").distinct().join(scopes, "file").filter(F.col("line").between(F.col("start"), F.col("end")))
+    nearest = around.groupBy("symbol", "file", "line").agg(F.max_by("name", F.struct("start", F.negative("end"))).alias("scope"), F.max("start").alias("scope_start"))
+    return hits.join(nearest, ["symbol", "file", "line"], "left")

@@ -26,8 +26,9 @@ from .ordered import RowNumber, ordered_scan
 
 SYMBOL = ["symbol", "scope_file", "confidence", "priority", "origin", "origin_file", "origin_line"]
 _FRONTIER = "symbol string, scope_file string, confidence string, priority string, origin string, origin_file string, origin_line int"
-_LOG = """waves int, frontier bigint, deferred bigint, waiting bigint, raw bigint, recorded bigint, dedup bigint, filtered bigint, collapsed bigint,
- backend string, warning string, buckets int, opened int"""
+_LOG = ("waves int, frontier bigint, deferred bigint, waiting bigint, raw bigint, recorded bigint, dedup bigint, filtered bigint, collapsed bigint, "
+        "backend string, warning string, buckets int, opened int")
+_LOG_COLUMNS = [tuple(c.split()) for c in _LOG.split(", ")]
 _REASONS = {"recorded": "recorded", "dedup": "dedup", "filtered": "comment", "collapsed": "noise-collapse"}
 JUDGED = "reason in ('recorded', 'dedup')"
 LIVE = "reason in ('recorded', 'noise-collapse') and (relevant or noisy)"
@@ -36,16 +37,20 @@ BACKENDS = {"auto": "index", "index": "index"}
 
 @dataclass
 class Frontier:
-    """Symbols to be searched, how many, and the buckets of the index that have them."""
+    """Symbols to be searched, how many, and the buckets of the index with those for everywhere and for one file."""
 
     rows: DataFrame
     size: int
-    buckets: list[int]
+    everywhere: list[int]
+    scoped: list[int]
 
 
 def _measured(rows: DataFrame, buckets: int) -> Frontier:
-    found = rows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(bucket_of("symbol", buckets)).alias("b")).first()  # at most ``buckets`` numbers
-    return Frontier(rows, found.n, sorted(found.b))
+    def of(test):
+        return F.collect_set(F.when(test, bucket_of("symbol", buckets)))  # at most ``buckets`` numbers
+
+    found = rows.agg(F.count(F.lit(1)).alias("n"), of(F.col("scope_file").isNull()).alias("e"), of(F.col("scope_file").isNotNull()).alias("s")).first()
+    return Frontier(rows, found.n, sorted(found.e), sorted(found.s))
 
 
 def _priorities(rows: DataFrame, store: WaveStore, priority) -> DataFrame:
@@ -105,7 +110,8 @@ class Walk:
     def commit(self, wave: int, frontier: Frontier, deferred: int, waiting: int, counts, backend: str, warning: str | None, opened: int) -> None:
         """Wave ``wave`` is whole; written last."""
         row = (wave, frontier.size, deferred, waiting, *counts, backend, warning, self.store.buckets, opened)
-        self.store.write("log", wave, self.spark.createDataFrame([row], _LOG).coalesce(1))
+        columns = [F.lit(value).cast(kind).alias(name) for value, (name, kind) in zip(row, _LOG_COLUMNS)]
+        self.store.write("log", wave, self.spark.range(1).select(*columns))
 
     def last(self):
         """The log row of the last whole wave, if the folder holds a walk; a wave whose tables lack rows isn't whole."""
@@ -155,14 +161,18 @@ class Walk:
         return _unknown(rows, self.known(wave))
 
     def found(self, wave: int, frontier: Frontier) -> DataFrame:
-        """Locations of the frontier's symbols, once per symbol at their best confidence."""
+        """Locations of the frontier's symbols; one that is searched everywhere is not searched in a file as well."""
+        def read(buckets: list[int]) -> DataFrame:
+            return self.store.in_buckets("index", 0, buckets, self.tokens).drop("bucket", "wave")
+
         wanted = frontier.rows.select("symbol", "scope_file", "confidence")
-        rows = self.store.in_buckets("index", 0, frontier.buckets, self.tokens).drop("bucket", "wave")
-        rows = rows.join(wanted, "symbol").filter("scope_file is null or scope_file = file").groupBy("symbol", "file", "line").agg(
-            F.min("confidence").alias("confidence"), F.bool_or("is_comment").alias("is_comment"),
-            F.first("derived").alias("derived"), F.first("passed").alias("passed"),
-        )
-        return self.store.write("matched", wave, rows)
+        everywhere = wanted.filter("scope_file is null").drop("scope_file")
+        rows = read(frontier.everywhere).join(everywhere, "symbol") if frontier.everywhere or not frontier.scoped else None
+        if frontier.scoped:
+            scoped = wanted.filter("scope_file is not null").withColumnRenamed("scope_file", "file").join(everywhere, "symbol", "left_anti")
+            scoped = read(frontier.scoped).join(scoped, ["symbol", "file"])
+            rows = scoped if rows is None else rows.unionByName(scoped)
+        return self.store.write("matched", wave, rows.select("symbol", "file", "line", "confidence", "is_comment", "derived", "passed"))
 
     def seen(self, wave: int, found: DataFrame) -> DataFrame:
         """Locations that earlier waves recorded, in the buckets of the files that were found."""
@@ -223,7 +233,7 @@ def discover(
         frontier, waiting = _measured(store.write("frontier", wave, walk.put_off(wave)), store.buckets), 0
         walk.commit(wave, frontier, state.deferred, 0, [state[c] for c in ("raw", *_REASONS)], state.backend, state.warning, state.opened)
     while frontier.size and wave < max_waves:
-        opened = len(frontier.buckets)
+        opened = len({*frontier.everywhere, *frontier.scoped})
         found = walk.found(wave, frontier)
         tagged = found.join(walk.seen(wave, found), ["file", "line"], "left") if wave else found.withColumn("_seen", F.lit(None).cast("boolean"))
         aside = F.when(F.col("is_comment") & F.lit(comment_filter), "comment").when(F.col("_seen").isNotNull(), "dedup")
@@ -257,7 +267,7 @@ def discover(
         wave += 1
         if priority is None:
             deferred, chosen = 0, store.write("frontier", wave, fresh)
-            store.write("deferred", wave, spark.createDataFrame([], _FRONTIER))
+            store.write("deferred", wave, fresh.filter("false"))
         else:
             both = store.write("fresh", wave, fresh)  # derived once, told apart twice
             deferred = store.write("deferred", wave, both.filter("priority = 'LOW'")).count()

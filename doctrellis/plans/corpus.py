@@ -203,3 +203,43 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     return customers.unionByName(orders).unionByName(invoices)
+
+
+def class_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A class per region, nation, customer and supplier, each heir of the row it belongs to.
+
+    Customers in debt are exported and imported under further names.
+    """
+    regions = render(table(spark, folder, "region"), say("src/model/region_{}.py", "r_regionkey"), say("class Region_{}:\n    pass", "r_regionkey"))
+    nations = render(
+        table(spark, folder, "nation"), say("src/model/nation_{}.py", "n_nationkey"),
+        say("class Nation_{}(model.Region_{}, metaclass=Meta):\n    pass", "n_nationkey", "n_regionkey"),
+    )
+    customers = table(spark, folder, "customer")
+    classes = render(
+        customers, say("src/model/customer_{}.py", "c_custkey"),
+        lines(
+            say("class Customer_{}(Nation_{}, Serializable):", "c_custkey", "c_nationkey"),
+            say("    limit_{} = 1", "c_custkey"),
+            "",
+            "    def open(self):",
+            say("        self.limit_{} = 2", "c_custkey"),
+            "        def inner():",
+            say("            return limit_{}", "c_custkey"),
+            "    def close(self):",
+            say("        return self.limit_{}", "c_custkey"),
+            say("print(limit_{})", "c_custkey"),
+        ),
+    )
+    names = render(
+        customers.filter("c_acctbal < 0"), say("src/names/{}.js", "c_custkey"),
+        lines(
+            F.concat(F.lit("export { "), say("Customer_{} as Client_{}, other", "c_custkey", "c_custkey"), F.lit(" } from './model';")),
+            say("import Client_{} as Debtor_{}", "c_custkey", "c_custkey"),
+        ),
+    )
+    suppliers = render(
+        table(spark, folder, "supplier"), say("src/model/supplier_{}.js", "s_suppkey"),
+        lines(say("export class Supplier_{} extends base.Nation_{} implements Shipper, Payee", "s_suppkey", "s_nationkey"), "end"),
+    )
+    return regions.unionByName(nations).unionByName(classes).unionByName(names).unionByName(suppliers)
