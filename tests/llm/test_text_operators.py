@@ -10,7 +10,7 @@ import pytest
 
 from doctrellis.llm import queries
 from doctrellis.llm.boosted_trees import fit
-from doctrellis.llm.decontaminate import clean, contaminated, edit_match, plain, plain_with_places
+from doctrellis.llm.decontaminate import clean, contaminated, edit_match, may_match, plain, plain_with_places
 from doctrellis.llm.line_blocks import extract, main_text
 from doctrellis.llm.quality_model import STATISTICS, fit_quality, quality_scores, statistics
 from doctrellis.llm.quality_rules import accepted, measures, quality_rules
@@ -211,23 +211,50 @@ def damaged(text, rate, rng):
     return "".join(out)
 
 
-@pytest.mark.parametrize("rate, least", [(0.0, 1.0), (0.05, 0.97), (0.1, 0.9)])
-def test_decontamination_recall(spark, small, rate, least):
+@pytest.mark.parametrize("rate, least", [(0.0, 1.0), (0.05, 0.97), (0.1, 0.95), (0.12, 0.9), (0.145, 0.9)])
+def test_decontamination_recall(spark, rate, least):
+    """Of items that are within the limit, by length; items are those of the larger table, and parts of them."""
     rng = random.Random(8)
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
-    other = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(50).collect()]
-    made = [(i, f"{rng.choice(other)[:200]} {damaged(t, rate, rng)} {rng.choice(other)[:200]}") for i, t in items * 2]
+    whole = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    items = dict(enumerate([*whole, *(t[:60] for t in whole[:60]), *(t[7:40] for t in whole[60:120])]))
+    other = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(50).collect()]
+    made = [(i, f"{rng.choice(other)[:200]} {damaged(t, rate, rng)} {rng.choice(other)[:200]}") for i, t in [*items.items()] * 2]
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(made)], "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in contaminated(docs, bench).collect()}
-    want = [(k, i) for k, (i, t) in enumerate(made) if edit_match(plain(dict(items)[i]), plain(t), int(0.15 * len(plain(dict(items)[i]))))]
-    assert sum(w in got for w in want) >= least * len(want)
+    sizes = {i: len(plain(t)) for i, t in items.items()}
+    want = [(k, i) for k, (i, t) in enumerate(made) if edit_match(plain(items[i]), plain(t), int(0.15 * sizes[i]))]
+    for low, high in ((0, 48), (48, 130), (130, 10**6)):
+        own = [w for w in want if low <= sizes[w[1]] < high]
+        assert len(own) > 20 and sum(w in got for w in own) >= least * len(own)
     for (k, i), r in list(got.items())[:40]:
-        assert distance(plain(dict(items)[i]), plain(made[k][1][r.start:r.end]), False) == r.distance
+        # bytes are compared: a character that is cut at either end is given whole
+        assert r.distance <= distance(plain(items[i]), plain(made[k][1][r.start:r.end]), False) <= r.distance + 2
     kept = {r.doc_id for r in clean(docs, bench).collect()}
     assert kept == {k for k in range(len(made))} - {k for k, _ in got}
 
 
+def test_decontamination_of_short_items_and_of_text_without_spaces(spark):
+    bench = spark.createDataFrame([(1, "What is 7 times 8? 56"), (2, "Ja"), (3, "人工智能是研究如何使計算機模擬人類智能行為的一門科學"), (4, "  ?! "), (5, "ja!")], "item_id long, text string")
+    chinese = "前面還有很多文字沒有空格" * 9 + "人工智能是研究如何使計算機模擬人類智慧行為的一門科學" + "後面也有很多文字" * 9
+    texts = ["so: what is 7 TIMES 8?\n56.", "what is 17 times 8 56", "jam and ninja", "well, ja.", chinese, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in contaminated(docs, bench).collect()}
+    assert set(got) == {(0, 1), (3, 2), (3, 5), (4, 3)}
+    assert texts[0][got[0, 1].start:got[0, 1].end] == "what is 7 TIMES 8?\n56" and got[0, 1].distance == 0
+    assert got[4, 3].start == len("前面還有很多文字沒有空格") * 9 and 0 < got[4, 3].distance <= 3
+    assert {r.doc_id for r in clean(docs, bench).collect()} == {1, 2, 5, 6}
+
+
+def test_trigrams_bound_the_edit_distance():
+    rng = random.Random(3)
+    for _ in range(300):
+        item = bytes(rng.choice(b"abc ") for _ in range(rng.randrange(1, 30)))
+        text = bytes(rng.choice(b"abc ") for _ in range(rng.randrange(0, 40)))
+        most = rng.randrange(0, 6)
+        assert may_match(item, text, most) or edit_match(item, text, most) is None
+
+
 def test_decontamination_finds_what_is_there(spark, rows, nothing):
     folder = "/root/testdata/sf0.01"
     items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
@@ -236,7 +263,7 @@ def test_decontamination_finds_what_is_there(spark, rows, nothing):
     got = queries.QUERIES["op10_decontaminate"](spark, folder).collect()
     assert exact <= {(r.doc_id, r.item_id) for r in got}
     assert all(distance(items[r.item_id], docs[r.doc_id], True) <= 0.15 * len(items[r.item_id]) for r in got if (r.doc_id, r.item_id) not in exact)
-    bench = spark.createDataFrame([(1, None), (2, ""), (3, "tiny"), (None, rows.where("doc_id = 7").first().text[5000:5400])], "item_id long, text string")
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "tinyx"), (None, rows.where("doc_id = 7").first().text[5000:5400])], "item_id long, text string")
     assert [(r.doc_id, r.item_id, r.distance) for r in contaminated(rows, bench, size=1).collect()] == [(7, None, 0)]
     assert contaminated(nothing, bench).count() == 0 and contaminated(rows, bench.limit(0)).count() == 0
     assert clean(rows, bench).schema == rows.schema and clean(rows, bench).count() == rows.count() - 1 and clean(nothing, bench).count() == 0
