@@ -89,3 +89,13 @@ LINE_COMMENTS = {
     "js": "//", "ts": "//", "go": "//", "rs": "//", "swift": "//", "cs": "//",
     "sql": "--", "lua": "--",
 }
+
+# Lines of the run and suite reports (fixed values).
+RUN_LINE = "[%s] mode=%s model=%s -> %s"
+RUN_COST = " ($%s)"
+RUN_VIOLATION = "    ✗ %s"
+FALSE_FAILURES = "偽失敗率: %d/%d"
+TOTAL_COST = "累積コスト: $%s / 上限 $%s（工程数 %d）"
+SUITE_HEAD = "=== unit (unittest) ==="
+SUITE_LINE = "%s %s  %s"
+LINT_COUNTS = "refcheck: errors=%d warnings=%d"

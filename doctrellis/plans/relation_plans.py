@@ -624,11 +624,11 @@ def review_brief(spark, folder):
 
 
 @query("golden_files", """
-SELECT c_nationkey::VARCHAR AS doc_set, count(*) AS members, min(c_custkey) AS first, true AS newline FROM customer GROUP BY 1""")
+SELECT lpad(c_nationkey::VARCHAR, 3, '0') AS doc_set, count(*) AS members, min(c_custkey) AS first, true AS newline FROM customer GROUP BY 1""")
 def golden_files(spark, folder):
     """Golden objects written as one file per set and read back."""
     root = work_folder(spark, "goldens")
-    customers = table(spark, folder, "customer").groupBy(F.col("c_nationkey").cast("string").alias("doc_set")).agg(
+    customers = table(spark, folder, "customer").groupBy(F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("doc_set")).agg(
         F.count(F.lit(1)).alias("members"), F.min("c_custkey").alias("first")
     )
     sinks.write_goldens(sinks.golden_json(customers, "doc_set"), root)
@@ -636,3 +636,55 @@ def golden_files(spark, folder):
     return read.select("doc_set", F.endswith("json", F.lit("\n")).alias("newline"), F.from_json("json", "members bigint, first bigint").alias("g")).select(
         "doc_set", "g.*", "newline"
     )
+
+
+_RUNS = """WITH r AS (SELECT event_id, 'run-' || event_id AS seed, CASE WHEN event_type = 'error' THEN 'calibrate' ELSE 'assert' END AS mode, event_type AS model,
+ CASE WHEN value > 25 THEN 'violations' ELSE 'ok' END AS status, CASE WHEN event_type <> 'view' THEN CAST(value AS DECIMAL(28,4)) END AS cost, value > 25 AS bad FROM events)"""
+
+
+def _runs(spark, folder):
+    """A run per event; dear ones have violations, views cost nothing."""
+    bad = F.col("value") > 25
+    return table(spark, folder, "events").select(
+        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("seed"),
+        F.when(F.col("event_type") == "error", "calibrate").otherwise("assert").alias("mode"), F.col("event_type").alias("model"),
+        F.when(bad, "violations").otherwise("ok").alias("status"), F.when(F.col("event_type") != "view", F.col("value")).alias("cost_usd"),
+        F.when(bad, F.array(F.concat(F.lit("dear "), "event_type"), F.lit("second"))).alias("violations"), bad.alias("false_failure"),
+    )
+
+
+@query("run_report", f"""{_RUNS}
+SELECT seed, 0 AS line, '[' || seed || '] mode=' || mode || ' model=' || model || ' -> ' || status || coalesce(' ($' || cost::VARCHAR || ')', '') AS rendered FROM r
+UNION ALL SELECT seed, 1, '    ✗ dear ' || model FROM r WHERE bad UNION ALL SELECT seed, 2, '    ✗ second' FROM r WHERE bad""")
+def run_report(spark, folder):
+    """Every run and its violations as lines."""
+    return report.render_runs(_runs(spark, folder))
+
+
+@query("run_report_totals", f"""{_RUNS}
+SELECT 1 AS line, '偽失敗率: ' || count(*) FILTER (mode = 'calibrate' AND bad) || '/' || count(*) FILTER (mode = 'calibrate') AS rendered FROM r HAVING count(*) FILTER (mode = 'calibrate') > 0
+UNION ALL SELECT 2, '累積コスト: $' || sum(cost)::DECIMAL(28,4)::VARCHAR || ' / 上限 $30.0000（工程数 ' || count(cost) || '）' FROM r""")
+def run_report_totals(spark, folder):
+    """What the runs add up to."""
+    return report.render_run_totals(_runs(spark, folder), 30.0)
+
+
+@query("run_report_json", f"""{_RUNS} SELECT seed, mode, status, cost::DOUBLE AS cost, CASE WHEN bad THEN 2 END AS violations FROM r""")
+def run_report_json(spark, folder):
+    """The runs as objects, read back."""
+    rows = report.runs_json(_runs(spark, folder))
+    parsed = F.from_json("json", "mode string, status string, cost_usd double, violations array<string>")
+    return rows.select("seed", parsed.alias("j")).select(
+        "seed", "j.mode", "j.status", F.col("j.cost_usd").alias("cost"), F.when(F.col("j.violations").isNotNull(), F.size("j.violations")).alias("violations"))
+
+
+@query("suite_report", """
+WITH s AS (SELECT 'tests/' || c_custkey AS dir, c_acctbal >= 0 AS ok, c_mktsegment AS summary, c_name, c_acctbal < -500 AS long FROM customer)
+SELECT dir, 0 AS line, CASE WHEN ok THEN '✅ ' ELSE '❌ ' END || dir || '  ' || summary AS rendered FROM s
+UNION ALL SELECT dir, 1, 'FAILED ' || c_name FROM s WHERE NOT ok UNION ALL SELECT dir, 2, 'in debt' FROM s WHERE long""")
+def suite_report(spark, folder):
+    """A suite per customer; those in debt have failed and show their output."""
+    output = F.concat(F.lit("FAILED "), "c_name", F.when(F.col("c_acctbal") < -500, F.lit("\nin debt\n")).otherwise(""))
+    return report.render_suites(table(spark, folder, "customer").select(
+        F.concat(F.lit("tests/"), F.col("c_custkey").cast("string")).alias("dir"), (F.col("c_acctbal") >= 0).alias("ok"), F.col("c_mktsegment").alias("summary"), output.alias("output"),
+    ))

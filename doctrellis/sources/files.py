@@ -41,14 +41,19 @@ def read_tree(spark: SparkSession, root: str, recursive: bool = True, glob: str
 
 
 def read_goldens(spark: SparkSession, root: str) -> DataFrame:
-    """``(doc_set, ..., corrupt)``: one row per golden file, the set named after the file.
+    """``(doc_set, ..., corrupt)``: one row per golden file, the set named after the file or, as
+    ``write_goldens`` leaves them, after its folder ``doc_set=<name>``.
 
     Every member is optional; a file that is not JSON shows up as ``corrupt``, so that the
     next refresh can replace it entirely.
     """
     parsed = F.from_json(F.col("text"), GOLDEN_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return read_tree(spark, root, recursive=False, glob="*.json").select(
-        F.regexp_replace("path", r"\.json$", "").alias("doc_set"), parsed.alias("g")
+    folder = F.regexp_extract("path", r"^doc_set=([^/]*)/[^/]+$", 1)
+    # Spark escapes some characters in the names of such folders
+    name = F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(F.regexp_replace("path", r"\.json$", ""))
+    found = read_tree(spark, root, glob="{*.json,part-*}").filter((folder != "") | F.rlike("path", F.lit(r"^[^/]+\.json$")))
+    return found.select(
+        name.alias("doc_set"), parsed.alias("g")
     ).select("doc_set", "g.*").withColumn("corrupt", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
 
 

@@ -63,5 +63,5 @@ def write_goldens(goldens: DataFrame, root: str, name: str = "doc_set", json: st
 
 
 def read_golden_files(spark, root: str, name: str = "doc_set") -> DataFrame:
-    """``(doc_set, json)`` of what ``write_goldens`` wrote."""
-    return spark.read.text(root, wholetext=True).select(F.col(name).cast("string").alias(name), F.col("value").alias("json"))
+    """``(doc_set, json)`` of what ``write_goldens`` wrote; names stay text, with all their zeros."""
+    return spark.read.schema(f"value string, `{name}` string").text(root, wholetext=True).select(name, F.col("value").alias("json"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from doctrellis.operators import structure
+from doctrellis.operators import report, structure
 from doctrellis.operators.ledger import budget_gate
 from doctrellis.sources import files, sinks
 from doctrellis.streaming import flows
@@ -56,6 +56,44 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "raw")).first().t == "é"
 
 
+def test_goldens_are_read_back_as_they_were_written(spark, tmp_path):
+    docs = [("01", "# A\nUR-1"), ("002", "# B"), ("10%/x y", "# C"), ("名", "# D")]
+    profiles = structure.document_profiles(spark.createDataFrame(docs, "path string, text string"))
+    root = str(tmp_path / "goldens")
+    sinks.write_goldens(sinks.golden_json(profiles).withColumnRenamed("path", "doc_set"), root)
+    want = {("01", "A"), ("002", "B"), ("10%/x y", "C"), ("名", "D")}
+    assert {(r.doc_set, json.loads(r.json)["headings"][0]) for r in sinks.read_golden_files(spark, root).collect()} == want
+    read = files.read_goldens(spark, root)
+    assert {(r.doc_set, r.headings[0]) for r in read.collect()} == want and read.filter("corrupt").count() == 0
+
+
+def test_reports_as_files(spark, tmp_path):
+    found = spark.createDataFrame([("b.md", 3, "error", "X", "late"), ("a.md", 10, "error", "X", "two"), ("a.md", 9, "warning", "Y", "one"), ("a.md", 0, "error", "Z", "whole")],
+                                  "file string, line int, severity string, check string, message string")
+    sinks.write_report(report.render_text(found), str(tmp_path / "report"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "report")).orderBy(F.col("_metadata.file_name"), F.monotonically_increasing_id()).collect()]
+    assert lines == ["❌ [Z] a.md  whole", "⚠️ [Y] a.md:9  one", "❌ [X] a.md:10  two", "❌ [X] b.md:3  late"]
+    assert report.render_lint_totals(found).first().rendered == "refcheck: errors=3 warnings=1"
+    assert report.render_lint_totals(found.limit(0)).first().rendered == "refcheck: errors=0 warnings=0"
+    cells = spark.createDataFrame([("r1", "c", "x y"), ("r2", "c", None)], "row string, column string, value string")
+    sinks.write_tsv(cells, str(tmp_path / "tsv"))
+    assert [f.read_text().splitlines()[0] for f in (tmp_path / "tsv").glob("part-*.csv")][0] == "row\tcolumn\tvalue"
+
+
+def test_runs_and_suites_as_lines(spark):
+    runs = spark.createDataFrame([("a", "assert", "m", "ok", 1.25, None, None), ("b", "calibrate", "m", "violations", None, ["x", "y"], True), ("c", "calibrate", "m", "ok", 0.5, [], False)],
+                                 "seed string, mode string, model string, status string, cost_usd double, violations array<string>, false_failure boolean")
+    got = {(r.seed, r.line): r.rendered for r in report.render_runs(runs).collect()}
+    assert got == {("a", 0): "[a] mode=assert model=m -> ok ($1.2500)", ("b", 0): "[b] mode=calibrate model=m -> violations", ("b", 1): "    ✗ x", ("b", 2): "    ✗ y",
+                   ("c", 0): "[c] mode=calibrate model=m -> ok ($0.5000)"}
+    assert [r.rendered for r in report.render_run_totals(runs, 2).orderBy("line").collect()] == ["偽失敗率: 1/2", "累積コスト: $1.7500 / 上限 $2.0000（工程数 2）"]
+    assert [r.rendered for r in report.render_run_totals(runs.filter("seed = 'a'"), 2).collect()] == ["累積コスト: $1.2500 / 上限 $2.0000（工程数 1）"]
+    assert json.loads(report.runs_json(runs).filter("seed = 'b'").first().json)["violations"] == ["x", "y"]
+    suites = spark.createDataFrame([("t/a", True, "3 tests", "noise"), ("t/b", False, "1 failed", "E 1\nE 2\n"), ("t/c", False, "none", None)], "dir string, ok boolean, summary string, output string")
+    assert {(r.dir, r.line): r.rendered for r in report.render_suites(suites).collect()} == {
+        ("t/a", 0): "✅ t/a  3 tests", ("t/b", 0): "❌ t/b  1 failed", ("t/b", 1): "E 1", ("t/b", 2): "E 2", ("t/c", 0): "❌ t/c  none"}
+
+
 def test_pretty_golden_json_keeps_text(spark):
     docs = spark.createDataFrame([("a.md", "# 見出し\nUR-1")], "path string, text string")
     text = sinks.golden_json(structure.document_profiles(docs)).first().json
