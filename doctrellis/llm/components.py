@@ -37,4 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = mark
         now = written(small_star(large_star(now).distinct()).distinct(), "edges")
+    else:
+        raise RuntimeError(f"components still change after {ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

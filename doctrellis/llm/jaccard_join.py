@@ -385,10 +385,23 @@ def jaccard_components(docs: DataFrame, block_tile: int = BLOCK_TILE, set_tile:
 def one_per_component(docs: DataFrame) -> DataFrame:
     """Of each component the rows with its smallest id, each text of such an id once, with all columns.
 
+    Of rows alike in id and text the first stays, by their other columns in order (maps as JSON).
     Documents without words, and components without any id, keep their rows.
     """
+    leader, number = (fresh_name(docs, name) for name in ("leader", "copy_number"))
     placed = jaccard_components(docs)
-    leaders = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("leader")).distinct()
-    kept = docs.join(leaders, F.col("doc_id").eqNullSafe(F.col("leader")), "left_semi")
-    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return kept.withColumn("copy_number", F.row_number().over(copies)).where("copy_number = 1").drop("copy_number")
+    leaders = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(leader)).distinct()
+    kept = docs.join(leaders, F.col("doc_id").eqNullSafe(F.col(leader)), "left_semi")
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    quoted = {f.name: F.col("`" + f.name.replace("`", "``") + "`") for f in others}
+    order = [F.to_json(F.struct(quoted[f.name])) if "map<" in f.dataType.simpleString() else quoted[f.name] for f in others]
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*order or [F.lit(0)])
+    return kept.withColumn(number, F.row_number().over(copies)).where(F.col(number) == 1).drop(number)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

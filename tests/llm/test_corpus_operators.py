@@ -221,3 +221,23 @@ def test_stages_keep_the_columns_of_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs, small).columns == docs.columns
+
+
+def test_one_per_component_with_clashing_names_and_differing_copies(spark):
+    made = [(1, "a b c d e f", "de", 1, 2, {"k": 1}), (1, "a b c d e f", "aa", 1, 2, {"k": 2}), (1, "a b c d e f", "aa", 1, 2, {"k": 1}), (2, "a b c d e f", "en", 3, 4, None),
+            (3, "other words in this one here", "fr", 5, 6, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, leader int, copy_number int, Leader_ map<string, int>")
+    for rows in (docs, docs.orderBy(F.desc("lang")).repartition(3)):
+        kept = one_per_component(rows)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.lang, r.leader, r.copy_number) for r in kept.collect()) == [(1, "aa", 1, 2), (3, "fr", 5, 6)]
+    assert kept.where("doc_id = 1").first()["Leader_"] == {"k": 1}
+
+
+def test_components_say_when_they_do_not_end(spark, monkeypatch):
+    from doctrellis.llm import components as module
+
+    monkeypatch.setattr(module, "ROUNDS", 1)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    with pytest.raises(RuntimeError, match="still change"):
+        components(edges)
