@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id stays; of rows alike in every column, one."""
+    """Of each group of linked documents, the one with the smallest id stays; of rows alike in id and text, the first by their other columns."""
     return one_per_component(docs)
 
 
