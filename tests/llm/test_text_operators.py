@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -132,6 +133,34 @@ def test_articles_surge_and_dive():
     assert main_text(f"<article>{''.join(f'<p>Item {i}</p>' for i in range(9))}<p>{long}</article>").split("\n") == ["Item 7", "Item 8", long.strip()]
 
 
+LINE = "One sentence of an article, long enough to surge on its own, with words that go on and on and on."
+
+
+@pytest.mark.parametrize("page, kept", [
+    (f"<article><h1>Tea</h1><p>By Ann</p><p>1 May</p><p>{LINE}</p></article>", ["Tea", "By Ann", "1 May", LINE]),
+    (f"<h1>A title of this page</h1><p>By Ann Lee</p><p>1 May 2020</p><h2>Intro</h2><p>{LINE}</p>", ["A title of this page", "By Ann Lee", "1 May 2020", "Intro", LINE]),
+    (f"<main><article>{LINE}</article><div class='post-comments'>{LINE}</div><div class='related-posts'>{LINE}</div></main>", [LINE]),
+    *[(f"<article><p>{LINE}</p>{mark}>{LINE}</div><p>{LINE}</p></article>", [LINE, LINE]) for mark in (
+        "<div id=comments", "<div class='advert-box'", "<div class='share-buttons'", "<div class=shareButtons", "<div id='ad-slot'", "<div class='x comments-area y'")],
+    (f"<article><p>{LINE}</p><section id=comments>{LINE}</section><p>{LINE}</p></article>", [LINE, LINE]),
+    (f"<article><p>{LINE}</p><section id=discussion><h2>Discussion</h2>{LINE}</section><div class='related-work'>Kept</div><p>{LINE}</p></article>",
+     [LINE, "Discussion", LINE, "Kept", LINE]),
+    (f"<article><p>{LINE}</p><p><a href=x>Where this comes from, a link</a></p></article>", [LINE, "Where this comes from, a link"]),
+    (f"<p>{LINE}<p><a href=x><b><i><u><s>Read on, a link in many tags</s></u></i></b></a><p>{LINE}", [LINE, "Read on, a link in many tags", LINE]),
+    (f"<nav><h2>Menu</h2></nav><p>{LINE}</p>", [LINE]),
+])
+def test_headlines_stay_and_page_parts_inside_articles_go(page, kept):
+    assert main_text(page).split("\n") == kept
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<b>", "<a x='", "</p>", "<!--", "<!", "<", "<p", "<li>", "<a>", '<a href="x>'])
+def test_long_broken_markup_takes_time_in_proportion(piece):
+    begun = time.process_time()
+    main_text(piece * (1_000_000 // len(piece)))
+    main_text("<div>" * 100_000 + piece * 60_000 + "</p>" * 60_000 + '">')
+    assert time.process_time() - begun < 20
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div id="cookie-notice">We use cookies, and this notice goes on for quite a while so that it is long.</div>
 <div class="content"><h2>Title&nbsp;here</h2><p>A paragraph with <a href=x>a link</a>, enough text to be a paragraph of an article &amp; more.<p>Unclosed one
