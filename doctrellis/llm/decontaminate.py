@@ -146,9 +146,20 @@ def edit_match(item: bytes, text: bytes, most: int) -> tuple[int, int, int] | No
 
 
 def may_match(item: bytes, text: bytes, most: int) -> bool:
-    """Whether enough trigrams are shared: an edit takes three away at most."""
-    there = {text[i:i + 3] for i in range(len(text) - 2)}
-    return sum(item[i:i + 3] in there for i in range(len(item) - 2)) >= len(item) - 2 - 3 * most
+    """Whether enough runs of four bytes are shared: an edit takes four of them away at most."""
+    there = {text[i:i + 4] for i in range(len(text) - 3)}
+    return sum(item[i:i + 4] in there for i in range(len(item) - 3)) >= len(item) - 3 - 4 * most
+
+
+def runs(numbers: list[int]) -> Iterator[tuple[int, int]]:
+    """First and last of each run of numbers that follow each other."""
+    first = last = numbers[0]
+    for n in numbers[1:]:
+        if n > last + 1:
+            yield first, last
+            first = n
+        last = n
+    yield first, last
 
 
 @dataclass
@@ -298,9 +309,9 @@ class Searcher:
         for (text, item), starts in near.items():
             passage = self.items[item][1]
             most = int(share * len(passage))
-            for start in sorted(starts):
-                low = max(0, start * 16 - most)
-                around = normal[text][low:max(0, start * 16 + 16 + len(passage) + most)]
+            for first, last in runs(sorted(starts)):
+                low = max(0, first * 16 - most)
+                around = normal[text][low:max(0, last * 16 + 16 + len(passage) + most)]
                 found = edit_match(passage, around, most) if may_match(passage, around, most) else None
                 if found and ((text, item) not in best or found[0] < best[text, item][0]):
                     best[text, item] = found[0], low + found[1], low + found[2]

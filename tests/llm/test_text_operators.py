@@ -275,7 +275,7 @@ def test_decontamination_of_short_items_and_of_text_without_spaces(spark):
     assert {r.doc_id for r in clean(docs, bench).collect()} == {1, 2, 5, 6}
 
 
-def test_trigrams_bound_the_edit_distance():
+def test_shared_runs_bound_the_edit_distance():
     rng = random.Random(3)
     for _ in range(300):
         item = bytes(rng.choice(b"abc ") for _ in range(rng.randrange(1, 30)))
