@@ -142,7 +142,8 @@ def lead_stage(spark, folder):
 SELECT event_id, 'W' || strftime(ts, '%d') || '-R' || row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS row_id FROM events""")
 def wave_numbering(spark, folder):
     rows = _events(spark, folder).withColumn("day", F.date_format("ts", "dd")).withColumn("date", F.to_date("ts"))
-    numbered = ordered_scan(rows, ["date"], _ORDER, {"n": RowNumber()})
+    # nothing bounds the events of a day
+    numbered = ordered_scan(rows, ["date"], _ORDER, {"n": RowNumber()}, segments=int(spark.conf.get("spark.sql.shuffle.partitions")))
     return number_rows(numbered, "day", "R", "n").select("event_id", "row_id")
 
 

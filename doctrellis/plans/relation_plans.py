@@ -284,7 +284,8 @@ SELECT t.source, coalesce(block, 0) AS block, coalesce(members, 0) AS members, c
 FROM (SELECT DISTINCT source FROM documents UNION SELECT DISTINCT 'lang-' || lang FROM documents) t LEFT JOIN i USING (source)""")
 def inverted_index(spark, folder):
     docs = table(spark, folder, "documents").select("source", "doc_id")
-    numbered = ordered_scan(docs, ["source"], ["doc_id"], {"n": RowNumber()})
+    # a source may hold a third of all rows
+    numbered = ordered_scan(docs, ["source"], ["doc_id"], {"n": RowNumber()}, segments=int(spark.conf.get("spark.sql.shuffle.partitions")))
     index = trace.posting_lists(docs, "source", "doc_id", numbered, 100)
     tags = table(spark, folder, "documents").select(F.explode(F.array("source", F.concat(F.lit("lang-"), "lang"))).alias("source"))
     return trace.with_empty_tags(index, tags, "source")

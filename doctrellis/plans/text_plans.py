@@ -179,11 +179,11 @@ def change_magnitude(spark, folder):
 SELECT doc_id, line, upper(lang) || '_KEY' AS key, 'v' || n_chars AS value
 FROM documents, unnest([2, 3]) AS u(line)""")
 def config_values(spark, folder):
-    """``KEY: value`` lines in either decoration, from a block derived per document."""
+    """``KEY: value`` lines in either decoration, from a block put before each document's whole text."""
     docs = table(spark, folder, "documents").withColumn("k", F.upper("lang"))
     block = docs.select(
         F.col("doc_id").cast("string").alias("path"),
-        lines("```", say("{}_KEY: v{}   # note", "k", "n_chars"), say("- `{}_KEY` = `v{}`", "k", "n_chars"), "not a pair", "```").alias("text"),
+        lines("```", say("{}_KEY: v{}   # note", "k", "n_chars"), say("- `{}_KEY` = `v{}`", "k", "n_chars"), "not a pair", "```", F.col("text")).alias("text"),
     )
     return facts.config_pairs(block).select(F.col("path").cast("bigint").alias("doc_id"), "line", "key", "value")
 
@@ -195,7 +195,7 @@ def config_typed(spark, folder):
     docs = table(spark, folder, "documents").withColumn("q", F.col("n_chars") / 4)
     block = docs.select(
         F.col("doc_id").cast("string").alias("path"),
-        lines(say("LIMIT_USD: {}", "q"), "LIMIT_USD: many", say("MAX_STEPS: {}", "n_chars"), "MAX_STEPS: 1.5").alias("text"),
+        lines(say("LIMIT_USD: {}", "q"), "LIMIT_USD: many", say("MAX_STEPS: {}", "n_chars"), "MAX_STEPS: 1.5", F.col("text")).alias("text"),
     )
     return facts.typed_config(facts.config_pairs(block), ["LIMIT_USD"], ["MAX_STEPS"]).select(
         F.col("path").cast("bigint").alias("doc_id"), "LIMIT_USD", "MAX_STEPS"
