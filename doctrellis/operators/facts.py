@@ -285,15 +285,15 @@ def table_column_errors(table_rows: DataFrame) -> DataFrame:
     )
 
 
-def mermaid_blocks(docs: DataFrame) -> DataFrame:
-    """``(path, block, line, text)``: the lines inside mermaid fences."""
+def mermaid_blocks(docs: DataFrame, every: bool = False) -> DataFrame:
+    """``(path, block, line, text)``: the lines inside mermaid fences; unless ``every``, those that may hold something."""
     lines = md_lines(holding(docs, K.MERMAID_FENCE)).withColumn("fence", M.is_fence("text"))
     order = Window.partitionBy("path").orderBy("line")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     one = F.when(F.col("fence"), F.lit(1)).otherwise(F.lit(0))
     opened = F.last(F.when(F.col("fence"), trim_u("text")), ignorenulls=True)
     return (
-        lines.filter(F.col("fence") | F.rlike("text", F.lit(r"-->|---|-\.->|==>|\[|\(|^\s*(graph|flowchart|sequenceDiagram|erDiagram|stateDiagram|classDiagram)\b|^\s*(end|subgraph)\b")))
+        lines.filter(F.lit(every) | F.col("fence") | F.rlike("text", F.lit(r"-->|---|-\.->|==>|\[|\(|^\s*(graph|flowchart|sequenceDiagram|erDiagram|stateDiagram|classDiagram)\b|^\s*(end|subgraph)\b")))
         .withColumn("block", F.sum(one).over(so_far))
         .withColumn("opener", opened.over(so_far))
         .filter("not fence and opener like '```mermaid%' and block % 2 = 1")
@@ -301,21 +301,62 @@ def mermaid_blocks(docs: DataFrame) -> DataFrame:
     )
 
 
+_QUOTED = r'"[^"]*"'
+_KINDS = r"^(?:(?:graph|flowchart)(?:\s+(?:TB|TD|BT|RL|LR))?\s*;?|(?:sequence|class|er|state|requirement)Diagram(?:-v2)?|gantt|pie\b.*|journey|mindmap|timeline|gitGraph\b.*|quadrantChart)$"
+_OPENS = r"^(?:subgraph|loop|alt|opt|par|critical|break|rect|box)\b|\{$"
+_CLOSES = r"^(?:end|\})$"
+
+
+def diagram_faults(docs: DataFrame) -> DataFrame:
+    """``(path, block, line, fault)`` of mermaid blocks.
+
+    ``kind``: the first line names no kind of diagram or no direction; ``quote``: a quote is left
+    open; ``bracket``: round, square and curly brackets of a line do not nest, outside quotes;
+    ``end``: an ``end`` or ``}`` closes nothing; ``open``: a ``subgraph``, a block of a sequence or
+    a body in braces is never closed.  Comments (``%%``) and blank lines are skipped.
+
+    Brackets are taken away pair by pair from the inside out, in the row; what is open across
+    lines is a running sum over the lines of a document.
+    """
+    lines = mermaid_blocks(docs, every=True).withColumn("bare", F.trim(F.regexp_replace("text", r"%%.*$", ""))).filter("bare <> ''")
+    lines = lines.withColumn("quoted", F.regexp_replace("bare", _QUOTED, ""))
+    # cardinalities and flags use bracket signs of their own
+    plain = F.regexp_replace(F.regexp_replace("quoted", r"[|}o]{1,2}(?:--|\.\.)[|{o]{1,2}", ""), r"(?<=\w)>[^\[\]]*\]", "")
+    plain = F.when(F.rlike("quoted", F.lit(rf"{_OPENS}|{_CLOSES}")), F.regexp_replace(plain, r"\{$|^\}$", "")).otherwise(plain)
+    pair = r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}"
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(plain, F.lit(r"[(\[{]"))))
+    nested = F.aggregate(rounds, plain, lambda rest, _: F.regexp_replace(rest, pair, ""))
+    order = Window.partitionBy("path", "block").orderBy("line")
+    back = Window.partitionBy("path", "block").orderBy(F.desc("line"))
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
+    step = F.when(F.rlike("quoted", F.lit(_OPENS)), 1).when(F.rlike("quoted", F.lit(_CLOSES)), -1).otherwise(0)
+    read = lines.select(
+        "path", "block", "line", "bare", F.contains("quoted", F.lit('"')).alias("quote"), F.rlike(nested, F.lit(r"[()\[\]{}]")).alias("bracket"), step.alias("step"),
+    ).withColumns({"first": F.row_number().over(order) == 1, "depth": F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    read = read.withColumns({
+        "lowest": F.least(F.lit(0), F.coalesce(F.min("depth").over(before), F.lit(0))), "later": F.min("depth").over(after),
+    })
+    faults = F.array_compact(F.array(
+        F.when(F.col("first") & ~F.rlike("bare", F.lit(_KINDS)), "kind"), F.when(F.col("quote"), "quote"), F.when(~F.col("quote") & F.col("bracket"), "bracket"),
+        F.when((F.col("step") < 0) & (F.col("depth") < F.col("lowest")), "end"),
+        F.when((F.col("step") > 0) & (F.coalesce("later", F.col("depth")) >= F.col("depth")), "open"),
+    ))
+    return read.select("path", "block", "line", F.explode(faults).alias("fault"))
+
+
 def mermaid_edges(docs: DataFrame) -> DataFrame:
     """``(path, line, src, dst)`` of arrows, also of several on a line; node labels are dropped."""
     label = r"(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\})"
     arrow = r"\s*(?:-->|---|-\.->|==>)(?:\|[^|]*\|)?\s*"
     chain = rf"^\s*[A-Za-z0-9_]+{label}?(?:{arrow}[A-Za-z0-9_]+{label}?)+"
-    nodes = F.transform(
-        F.split(F.regexp_extract("text", chain, 0), arrow, -1), lambda n: F.regexp_extract(n, r"^\s*([A-Za-z0-9_]+)", 1)
-    )
+    bare = F.regexp_replace(F.regexp_extract("text", chain, 0), label, "")  # an arrow in a label is text
+    nodes = F.transform(F.split(bare, arrow, -1), lambda n: F.regexp_extract(n, r"^\s*([A-Za-z0-9_]+)", 1))
     steps = F.transform(
         F.sequence(F.lit(0), F.size("_nodes") - 2),
         lambda i: F.struct(F.get("_nodes", i).alias("src"), F.get("_nodes", i + 1).alias("dst")),
     )
-    return mermaid_blocks(docs).filter(F.rlike("text", F.lit(chain))).withColumn("_nodes", nodes).select(
-        "path", "line", F.inline(steps)
-    )
+    lines = mermaid_blocks(docs).withColumn("text", F.regexp_replace("text", _QUOTED, ""))
+    return lines.filter(F.rlike("text", F.lit(chain))).withColumn("_nodes", nodes).select("path", "line", F.inline(steps))
 
 
 def mermaid_errors(docs: DataFrame) -> DataFrame:

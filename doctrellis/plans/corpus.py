@@ -243,3 +243,18 @@ def class_files(spark: SparkSession, folder: str) -> DataFrame:
         lines(say("export class Supplier_{} extends base.Nation_{} implements Shipper, Payee", "s_suppkey", "s_nationkey"), "end"),
     )
     return regions.unionByName(nations).unionByName(classes).unionByName(names).unionByName(suppliers)
+
+
+def diagram_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """A diagram per order, with faults that counting brackets doesn't see."""
+    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
+    text = lines(
+        "```mermaid",
+        F.when(priority == "5-LOW", F.lit("flowchart UP")).otherwise(F.lit("flowchart LR")),
+        say("  subgraph s{}", "o_orderkey"),
+        say('    c{}["a ) b --> x{}"] -->|so| o{}[(order --> y)]', "o_custkey", "o_custkey", "o_orderkey"),
+        F.when(status == "F", F.lit("    p)q(")).when(status == "P", say('    o{}["never closed', "o_orderkey")).otherwise(F.lit("    q{{x}} %% a ( comment")),
+        F.when(priority == "3-MEDIUM", F.lit("  end\n  end")).when(priority == "2-HIGH", F.lit("  %% end")).otherwise(F.lit("  end")),
+        "```",
+    )
+    return render(table(spark, folder, "orders"), say("diagrams/{}.md", "o_orderkey"), text)

@@ -343,6 +343,22 @@ def diagram_errors(spark, folder):
     return facts.mermaid_errors(corpus.order_docs(spark, folder))
 
 
+@query("diagram_syntax", """
+WITH d AS (SELECT 'diagrams/' || o_orderkey || '.md' AS path, o_orderpriority AS p, o_orderstatus AS s FROM orders)
+SELECT path, 2 AS line, 'kind' AS fault FROM d WHERE p = '5-LOW' UNION ALL SELECT path, 3, 'open' FROM d WHERE p = '2-HIGH'
+UNION ALL SELECT path, 5, CASE s WHEN 'F' THEN 'bracket' ELSE 'quote' END FROM d WHERE s <> 'O' UNION ALL SELECT path, 7, 'end' FROM d WHERE p = '3-MEDIUM'""")
+def diagram_syntax(spark, folder):
+    """Faults of diagrams: kinds, quotes, nesting of brackets and of subgraphs."""
+    return facts.diagram_faults(corpus.diagram_docs(spark, folder)).select("path", "line", "fault")
+
+
+@query("diagram_label_arrows", """
+SELECT 'diagrams/' || o_orderkey || '.md' AS path, 4 AS line, 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders""")
+def diagram_label_arrows(spark, folder):
+    """Edges of diagrams whose labels hold arrows and brackets."""
+    return facts.mermaid_edges(corpus.diagram_docs(spark, folder))
+
+
 @query("traceability_rows", """
 SELECT 'req/' || o_orderkey || '.md' AS path, 'UR-' || o_custkey AS ur_id, 'SR-' || o_orderkey || '-001' AS sr_id,
  'SP-' || o_orderkey || '-' || n AS sp_id FROM orders, unnest(['001', '002']) AS u(n)""")

@@ -130,3 +130,22 @@ def test_config(spark):
     assert {(r.line, r.key, r.value) for r in pairs.collect()} >= {(1, "RUN_BUDGET", "30.0"), (2, "MAX_PHASES", "10")}
     typed = facts.typed_config(pairs, ["RUN_BUDGET"], ["MAX_PHASES"]).first()
     assert (typed.RUN_BUDGET, typed.MAX_PHASES) == (30.0, 10)
+
+
+def test_diagram_faults(spark):
+    def faults(*lines):
+        text = "before\n```mermaid\n" + "\n".join(lines) + "\n```\nafter ( "
+        got = facts.diagram_faults(spark.createDataFrame([("a.md", text)], "path string, text string")).collect()
+        return sorted((r.line - 2, r.fault) for r in got)
+
+    assert faults("graph LR", "a[x] --> b((y))", "c{{z}} --> d[(w)]", "e>flag] --> f{q (r)}") == []
+    assert faults("graph LR", "a)b(", "a(b[c)]", 'a["(("] --> b', 'a["( --> b', "a(b") == [(2, "bracket"), (3, "bracket"), (5, "quote"), (6, "bracket")]
+    assert faults("graph UP", "a --> b") == [(1, "kind")] and faults("", "%% note", "a --> b") == [(3, "kind")]
+    assert faults("flowchart TD;", "subgraph one", "subgraph two", "end", "x[end] --> y") == [(2, "open")]
+    assert faults("flowchart TD", "end", "subgraph a", "end", "end") == [(2, "end"), (5, "end")]
+    assert faults("sequenceDiagram", "loop each", "A->>B: hi (there)", "end", "alt x") == [(5, "open")]
+    assert faults("classDiagram", "class A {", "+run(x) int", "}", "class B {") == [(5, "open")]
+    assert faults("erDiagram", "A ||--o{ B : has", "B }o--|| C : is", "A {", "int id", "}") == []
+    assert faults("pie title Pets", '"Dogs" : 3') == []
+    docs = spark.createDataFrame([("a.md", '```mermaid\ngraph LR\na[x --> y] --> b("p --> q)") --> c\n```')], "path string, text string")
+    assert [(r.src, r.dst) for r in facts.mermaid_edges(docs).orderBy("src").collect()] == [("a", "b"), ("b", "c")]
