@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions.text import lines_of
-from ..operators import facts, lint, references, report, structure, trace
+from ..operators import facts, incremental, lint, references, report, structure, trace
+from ..operators.discovery import work_folder
 from . import corpus
 from .registry import query, table
 
@@ -145,6 +146,43 @@ def document_headings(spark, folder):
     return facts.headings(corpus.order_docs(spark, folder))
 
 
+def _yearbook(spark, folder, later: bool):
+    """A page per customer and, later on, per supplier: customers in debt are rewritten then, solvent machine builders are gone."""
+    customers = table(spark, folder, "customer")
+    debt = F.col("c_acctbal") < 0
+    state = F.when(debt & F.lit(later), F.lit("## In debt")).otherwise(F.concat(F.lit("## Segment "), "c_mktsegment"))
+    if later:
+        customers = customers.filter(debt | (F.col("c_mktsegment") != "MACHINERY"))
+    pages = corpus.render(customers, corpus.say("year/c{}.md", "c_custkey"), corpus.lines(corpus.say("# Customer {}", "c_custkey"), state, "text"))
+    if later:
+        pages = pages.unionByName(corpus.render(
+            table(spark, folder, "supplier"), corpus.say("year/s{}.md", "s_suppkey"), corpus.lines(corpus.say("# Supplier {}", "s_suppkey"), "nothing else")))
+    return pages
+
+
+def _two_years(spark, folder):
+    root = work_folder(spark, "facts")
+    incremental.refresh_facts(_yearbook(spark, folder, False), facts.headings, root, 1)
+    return root, incremental.refresh_facts(_yearbook(spark, folder, True), facts.headings, root, 2)
+
+
+@query("facts_incremental", """
+WITH c AS (SELECT * FROM customer WHERE c_acctbal < 0 OR c_mktsegment <> 'MACHINERY')
+SELECT 'year/c' || c_custkey || '.md' AS path, 1 AS line, 1 AS level, 'Customer ' || c_custkey AS heading FROM c
+UNION ALL SELECT 'year/c' || c_custkey || '.md', 2, 2, CASE WHEN c_acctbal < 0 THEN 'In debt' ELSE 'Segment ' || c_mktsegment END FROM c
+UNION ALL SELECT 'year/s' || s_suppkey || '.md', 1, 1, 'Supplier ' || s_suppkey FROM supplier""")
+def facts_incremental(spark, folder):
+    """Headings after pages came, changed and went: the same as those of a whole run."""
+    return _two_years(spark, folder)[1]
+
+
+@query("facts_incremental_work", """
+SELECT 'year/c' || c_custkey || '.md' AS path FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'year/s' || s_suppkey || '.md' FROM supplier""")
+def facts_incremental_work(spark, folder):
+    """Which pages the second run extracted."""
+    return spark.read.parquet(f"{_two_years(spark, folder)[0]}/facts/version=2").select("path").distinct()
+
+
 @query("lint_headings", f"""
 SELECT 'skills/order/' || o_orderkey || '.md' AS path, 'Priority ' || o_orderpriority AS heading FROM orders
 UNION ALL SELECT 'skills/order/' || o_orderkey || '.md', 'Seen on ' || {_DAY} FROM orders""")
