@@ -7,10 +7,12 @@ import ctypes
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BATCH_BYTES = 4 << 20  # texts that one step of a task handles together; a longer text is a step of its own
@@ -69,6 +71,20 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [v if v is not None else b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
+class Shared:
+    """A broadcast object of this package: it goes out by value, so executors need no repository."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @cached_property
+    def value(self):
+        return cloudpickle.loads(self.sent.value)
+
+    def __getstate__(self):
+        return {"sent": self.sent}
+
+
 def numbering() -> defaultdict:
     """Numbers keys in the order they are first asked for."""
     return defaultdict(count().__next__)

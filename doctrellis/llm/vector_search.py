@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import mapped, written
+from .common import Shared, mapped, written
 
 K = 5
 EVERY = 50  # queries are the ids divisible by this
@@ -346,7 +346,7 @@ def nearest(rows: DataFrame, recall: float = RECALL, leaf: int = LEAF) -> DataFr
     read = Vectors("f4" if known.schema["embedding"].dataType.elementType.typeName() == "float" else "f8", usual["size"])
     sample = known.orderBy(F.xxhash64("embedding", "vec_id")).limit(SAMPLE).select("embedding").toArrow()  # SAMPLE vectors
     tree = Tree(read.of(sample.column(0).combine_chunks().flatten().to_numpy().astype(read.kind, copy=False).tobytes()), leaf)
-    model = spark.sparkContext.broadcast(tree)  # two vectors for LEAF sample vectors at most
+    model = Shared(spark, tree)  # two vectors for LEAF sample vectors at most
     placed = written(placed_rows(known, read, model), "search-leaves")
     asked = placed.where(F.col("vec_id") % EVERY == 0).select("vec_id", "k1", "k2", "vector").distinct()
     chosen = asked.orderBy(F.xxhash64("vec_id", "k1", "k2")).limit(CALIBRATION).collect()
