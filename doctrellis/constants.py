@@ -98,4 +98,4 @@ FALSE_FAILURES = "偽失敗率: %d/%d"
 TOTAL_COST = "累積コスト: $%s / 上限 $%s（工程数 %d）"
 SUITE_HEAD = "=== unit (unittest) ==="
 SUITE_LINE = "%s %s  %s"
-LINT_COUNTS = "refcheck: errors=%d warnings=%d"
+LINT_COUNTS = "checks: errors=%d warnings=%d"

@@ -73,8 +73,8 @@ def test_reports_as_files(spark, tmp_path):
     sinks.write_report(report.render_text(found), str(tmp_path / "report"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "report")).orderBy(F.col("_metadata.file_name"), F.monotonically_increasing_id()).collect()]
     assert lines == ["❌ [Z] a.md  whole", "⚠️ [Y] a.md:9  one", "❌ [X] a.md:10  two", "❌ [X] b.md:3  late"]
-    assert report.render_lint_totals(found).first().rendered == "refcheck: errors=3 warnings=1"
-    assert report.render_lint_totals(found.limit(0)).first().rendered == "refcheck: errors=0 warnings=0"
+    assert report.render_lint_totals(found).first().rendered == "checks: errors=3 warnings=1"
+    assert report.render_lint_totals(found.limit(0)).first().rendered == "checks: errors=0 warnings=0"
     cells = spark.createDataFrame([("r1", "c", "x y"), ("r2", "c", None)], "row string, column string, value string")
     sinks.write_tsv(cells, str(tmp_path / "tsv"))
     assert [f.read_text().splitlines()[0] for f in (tmp_path / "tsv").glob("part-*.csv")][0] == "row\tcolumn\tvalue"
