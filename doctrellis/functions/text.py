@@ -37,6 +37,24 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def carried(values: Column) -> Column:
+    """For each element of an array the last one so far that is not NULL.
+
+    Each run between two values is one repetition, so the work is linear in the array and
+    nothing is shuffled or sorted for it.
+    """
+    size = F.size(values)
+    marked = F.filter(F.transform(values, lambda v, i: F.struct(i.alias("at"), v.alias("v"))), lambda m: m["v"].isNotNull())
+
+    def runs(marks: Column) -> Column:
+        before = F.array_repeat(F.get(values, F.lit(-1)), F.coalesce(F.get(marks, F.lit(0))["at"], size))
+        return F.concat(F.array(before), F.transform(
+            marks, lambda m, j: F.array_repeat(m["v"], F.coalesce(F.get(marks, j + 1)["at"], size) - m["at"])
+        ))
+
+    return F.flatten(let(marked, runs))
+
+
 def lines_of(c: Column | str) -> Column:
     """Array of lines; a final line break does not open another, empty line.
 
