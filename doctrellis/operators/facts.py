@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import markdown as M
 from ..functions.text import (
-    _col, all_matches, basename, extension, first_match, lines_of, ltrim_u, normalize_heading,
+    _col, all_matches, basename, extension, first_match, let, lines_of, ltrim_u, normalize_heading,
     resolve_path, stem, trim_u,
 )
 
@@ -125,56 +125,43 @@ def agent_calls(docs: DataFrame) -> DataFrame:
     """``(path, line, agent, parsed, passed_required, passed_optional)`` per call line.
 
     The payload is the first code fence that opens on the call line or within the three
-    lines below it.  Fences are numbered per document; a call asks for the next fence, a
-    payload key belongs to the latest one, so both meet in one group per (path, fence) on
-    the partitioning the window already has: one shuffle, no join.
+    lines below it.  A document is cut at its fences: the calls of a part, with those on the
+    fence that ends it, ask for that fence, whose payload is the part after it.  All that
+    happens in the row of the document, so nothing is shuffled or sorted.
     """
     # The first visible character tells most lines apart from fences and payload keys.
-    head = F.substring(F.ltrim("text"), 1, 1)
-    may_matter = F.contains("text", F.lit("subagent_type")) | F.rlike(head, F.lit(r"(?U)[A-Z`（(\s]"))
-    lines = (
-        md_lines(holding(docs, "subagent_type")).filter(may_matter)
-        .withColumn("fence", M.is_fence("text"))
-        .withColumn("agent", F.when(F.contains("text", F.lit("subagent_type")), first_match("text", K.SUBAGENT)))
-        .withColumn("required", F.when(~F.col("fence"), first_match("text", K.PAYLOAD_KEY)))
-        .withColumn(
-            "optional",
-            F.when(~F.col("fence") & F.col("required").isNull(), first_match("text", K.PAYLOAD_KEY_AFTER_CONDITION)),
-        )
-        .drop("text")
-    )
-    order = Window.partitionBy("path").orderBy("line")
-    one = F.when(F.col("fence"), F.lit(1)).otherwise(F.lit(0))
-    placed = lines.withColumn(
-        "fences_before",
-        F.coalesce(F.sum(one).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).withColumn(
-        "next_fence",
-        # Looking ahead as looking back in descending order: linear in the document.
-        F.last(F.when(F.col("fence"), F.col("line")), ignorenulls=True).over(
-            Window.partitionBy("path").orderBy(F.col("line").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    def may_matter(text: Column) -> Column:
+        head = F.substring(F.ltrim(text), 1, 1)
+        return F.contains(text, F.lit("subagent_type")) | F.rlike(head, F.lit(r"(?U)[A-Z`（(\s]"))
+
+    numbered = F.transform(lines_of("text"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), M.is_fence(t).alias("fence")))
+    split = holding(docs, "subagent_type").select("path", F.filter(numbered, lambda x: x["fence"] | may_matter(x["text"])).alias("lines"))
+    at = F.filter(F.transform("lines", lambda x, i: F.when(x["fence"], i + 1)), lambda i: i.isNotNull())
+    cut = split.withColumn("cuts", F.concat(F.array(F.lit(0)), at, F.array(F.size("lines") + 1)))
+    # From each cut the lines to the next one, that included, and those between it and the one after.
+    parts = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda start, j: let(
+        F.struct(F.get("cuts", j + 1).alias("fence"), F.get("cuts", j + 2).alias("end")),
+        lambda c: F.struct(
+            F.get("lines", c["fence"] - 1)["line"].alias("next_fence"),
+            F.filter(F.slice("lines", start + 1, c["fence"] - start), lambda x: F.contains(x["text"], F.lit("subagent_type"))).alias("calls"),
+            F.when(c["end"].isNotNull(), F.slice("lines", c["fence"] + 1, c["end"] - c["fence"] - 1)).alias("payload"),
         ),
-    )
-    call = F.when(F.col("agent").isNotNull(), F.struct("line", "agent", "next_fence"))
-    has_key = F.col("required").isNotNull() | F.col("optional").isNotNull()
-    roles = F.array_compact(F.array(
-        F.when(call.isNotNull(), F.struct((F.col("fences_before") + 1).alias("fence_no"), call.alias("call"),
-               F.lit(None).cast("string").alias("required"), F.lit(None).cast("string").alias("optional"))),
-        F.when(has_key & (F.col("fences_before") > 0), F.struct(F.col("fences_before").alias("fence_no"),
-               F.lit(None).cast("struct<line:int,agent:string,next_fence:int>").alias("call"), "required", "optional")),
     ))
-    met = (
-        placed.select("path", F.inline(roles))
-        .groupBy("path", "fence_no")
-        .agg(
-            F.collect_list("call").alias("calls"),
-            F.array_sort(F.collect_set("required")).alias("keys"),
-            F.array_sort(F.collect_set("optional")).alias("extra"),
-        )
-        .select("path", "keys", "extra", F.explode("calls").alias("call"))
+    asked = cut.select("path", F.inline(F.filter(parts, lambda p: F.size(p["calls"]) > 0)))
+    calls = F.filter(
+        F.transform("calls", lambda x: F.struct(x["line"].alias("line"), first_match(x["text"], K.SUBAGENT).alias("agent"))),
+        lambda x: x["agent"].isNotNull(),
     )
+
+    texts = F.transform(F.coalesce("payload", F.array().cast("array<struct<line: int, text: string, fence: boolean>>")), lambda x: F.struct(
+        first_match(x["text"], K.PAYLOAD_KEY).alias("required"), first_match(x["text"], K.PAYLOAD_KEY_AFTER_CONDITION).alias("optional"),
+    ))
+    read = asked.select("path", "next_fence", calls.alias("calls"), texts.alias("keys"))
+    required = F.array_sort(F.array_distinct(F.array_compact(F.transform("keys", lambda k: k["required"]))))
+    optional = F.array_sort(F.array_distinct(F.array_compact(F.transform("keys", lambda k: F.when(k["required"].isNull(), k["optional"])))))
+    met = read.select("path", "next_fence", required.alias("keys"), optional.alias("extra"), F.explode("calls").alias("call"))
     nothing = F.array().cast("array<string>")
-    parsed = F.coalesce(F.col("call.next_fence") <= F.col("call.line") + 3, F.lit(False))
+    parsed = F.coalesce(F.col("next_fence") <= F.col("call.line") + 3, F.lit(False))
     return met.select(
         "path", "call.line", "call.agent", parsed.alias("parsed"),
         F.when(parsed, F.col("keys")).otherwise(nothing).alias("passed_required"),

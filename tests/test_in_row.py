@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from doctrellis.functions import text as T
-from doctrellis.operators import discovery
+from doctrellis.operators import discovery, facts
 
 
 def plan_of(df):
@@ -21,3 +21,10 @@ def test_code_index_is_built_inside_the_row(spark):
     assert "Window" not in plan_of(index.tokens)
     derived = {(r.line, r.symbol): r.derived for r in index.tokens.collect()}
     assert derived[(1, "a")] == [] and derived[(4, "g")] == ["f", "y"] and derived[(6, "y")] == ["k"]
+
+
+def test_calls_and_payloads_are_read_inside_the_row(spark):
+    text = "subagent_type=a\n```\nKEY: 1\n```\nsubagent_type=b"
+    calls = facts.agent_calls(spark.createDataFrame([("d.md", text)], "path string, text string"))
+    assert "Window" not in plan_of(calls) and "Aggregate" not in plan_of(calls)
+    assert sorted((r.line, r.agent, r.parsed, r.passed_required) for r in calls.collect()) == [(1, "a", True, ["KEY"]), (5, "b", False, [])]
