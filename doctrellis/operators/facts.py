@@ -272,20 +272,25 @@ def table_column_errors(table_rows: DataFrame) -> DataFrame:
     )
 
 
+def _mermaid_parts(docs: DataFrame, every: bool) -> DataFrame:
+    """``(path, block, lines)``: the lines inside each mermaid fence, cut out in the row of the document."""
+    numbered = F.transform(lines_of("text"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), M.is_fence(t).alias("fence")))
+    shape = r"-->|---|-\.->|==>|\[|\(|^\s*(graph|flowchart|sequenceDiagram|erDiagram|stateDiagram|classDiagram)\b|^\s*(end|subgraph)\b"
+    split = holding(docs, K.MERMAID_FENCE).select(
+        "path", F.filter(numbered, lambda x: F.lit(every) | x["fence"] | F.rlike(x["text"], F.lit(shape))).alias("lines")
+    )
+    at = F.filter(F.transform("lines", lambda x, i: F.when(x["fence"], i + 1)), lambda i: i.isNotNull())
+    parts = F.transform("fences", lambda start, j: F.struct(
+        (j + 1).cast("bigint").alias("block"), trim_u(F.get("lines", start - 1)["text"]).alias("opener"),
+        F.slice("lines", start + 1, F.coalesce(F.get("fences", j + 1), F.size("lines") + 1) - start - 1).alias("lines"),
+    ))
+    opened = F.filter(parts, lambda p: (p["block"] % 2 == 1) & F.startswith(p["opener"], F.lit("```mermaid")))
+    return split.withColumn("fences", at).select("path", F.inline(opened)).drop("opener")
+
+
 def mermaid_blocks(docs: DataFrame, every: bool = False) -> DataFrame:
     """``(path, block, line, text)``: the lines inside mermaid fences; unless ``every``, those that may hold something."""
-    lines = md_lines(holding(docs, K.MERMAID_FENCE)).withColumn("fence", M.is_fence("text"))
-    order = Window.partitionBy("path").orderBy("line")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    one = F.when(F.col("fence"), F.lit(1)).otherwise(F.lit(0))
-    opened = F.last(F.when(F.col("fence"), trim_u("text")), ignorenulls=True)
-    return (
-        lines.filter(F.lit(every) | F.col("fence") | F.rlike("text", F.lit(r"-->|---|-\.->|==>|\[|\(|^\s*(graph|flowchart|sequenceDiagram|erDiagram|stateDiagram|classDiagram)\b|^\s*(end|subgraph)\b")))
-        .withColumn("block", F.sum(one).over(so_far))
-        .withColumn("opener", opened.over(so_far))
-        .filter("not fence and opener like '```mermaid%' and block % 2 = 1")
-        .select("path", "block", "line", "text")
-    )
+    return _mermaid_parts(docs, every).select("path", "block", F.inline("lines")).drop("fence")
 
 
 _QUOTED = r'"[^"]*"'
@@ -302,33 +307,61 @@ def diagram_faults(docs: DataFrame) -> DataFrame:
     ``end``: an ``end`` or ``}`` closes nothing; ``open``: a ``subgraph``, a block of a sequence or
     a body in braces is never closed.  Comments (``%%``) and blank lines are skipped.
 
-    Brackets are taken away pair by pair from the inside out, in the row; what is open across
-    lines is a running sum over the lines of a document.
+    Brackets are taken away pair by pair from the inside out; what is open across lines is
+    summed over the lines of a block, forwards and backwards, all in the row of the document.
     """
-    lines = mermaid_blocks(docs, every=True).withColumn("bare", F.trim(F.regexp_replace("text", r"%%.*$", ""))).filter("bare <> ''")
-    lines = lines.withColumn("quoted", F.regexp_replace("bare", _QUOTED, ""))
-    # cardinalities and flags use bracket signs of their own
-    plain = F.regexp_replace(F.regexp_replace("quoted", r"[|}o]{1,2}(?:--|\.\.)[|{o]{1,2}", ""), r"(?<=\w)>[^\[\]]*\]", "")
-    plain = F.when(F.rlike("quoted", F.lit(rf"{_OPENS}|{_CLOSES}")), F.regexp_replace(plain, r"\{$|^\}$", "")).otherwise(plain)
     pair = r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}"
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(plain, F.lit(r"[(\[{]"))))
-    nested = F.aggregate(rounds, plain, lambda rest, _: F.regexp_replace(rest, pair, ""))
-    order = Window.partitionBy("path", "block").orderBy("line")
-    back = Window.partitionBy("path", "block").orderBy(F.desc("line"))
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.rlike("quoted", F.lit(_OPENS)), 1).when(F.rlike("quoted", F.lit(_CLOSES)), -1).otherwise(0)
-    read = lines.select(
-        "path", "block", "line", "bare", F.contains("quoted", F.lit('"')).alias("quote"), F.rlike(nested, F.lit(r"[()\[\]{}]")).alias("bracket"), step.alias("step"),
-    ).withColumns({"first": F.row_number().over(order) == 1, "depth": F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    read = read.withColumns({
-        "lowest": F.least(F.lit(0), F.coalesce(F.min("depth").over(before), F.lit(0))), "later": F.min("depth").over(after),
-    })
-    faults = F.array_compact(F.array(
-        F.when(F.col("first") & ~F.rlike("bare", F.lit(_KINDS)), "kind"), F.when(F.col("quote"), "quote"), F.when(~F.col("quote") & F.col("bracket"), "bracket"),
-        F.when((F.col("step") < 0) & (F.col("depth") < F.col("lowest")), "end"),
-        F.when((F.col("step") > 0) & (F.coalesce("later", F.col("depth")) >= F.col("depth")), "open"),
-    ))
-    return read.select("path", "block", "line", F.explode(faults).alias("fault"))
+
+    def unpaired(quoted: Column) -> Column:
+        # cardinalities and flags use bracket signs of their own
+        plain = F.regexp_replace(F.regexp_replace(quoted, r"[|}o]{1,2}(?:--|\.\.)[|{o]{1,2}", ""), r"(?<=\w)>[^\[\]]*\]", "")
+        plain = F.when(F.rlike(quoted, F.lit(rf"{_OPENS}|{_CLOSES}")), F.regexp_replace(plain, r"\{$|^\}$", "")).otherwise(plain)
+
+        def nested(text: Column) -> Column:
+            rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"[(\[{]"))))
+            return F.aggregate(rounds, text, lambda rest, _: F.regexp_replace(rest, pair, ""))
+
+        return F.rlike(let(plain, nested), F.lit(r"[()\[\]{}]"))
+
+    def judged(x: Column, quoted: Column) -> Column:
+        step = F.when(F.rlike(quoted, F.lit(_OPENS)), 1).when(F.rlike(quoted, F.lit(_CLOSES)), -1).otherwise(0)
+        return F.struct(
+            x["line"].alias("line"), x["bare"].alias("bare"), F.contains(quoted, F.lit('"')).alias("quote"),
+            unpaired(quoted).alias("bracket"), step.alias("step"),
+        )
+
+    def gather(state: Column, test: Column, line: Column) -> Column:
+        return F.when(test, F.concat(state["at"], F.array(line))).otherwise(state["at"]).alias("at")
+
+    def forwards(state: Column, x: Column) -> Column:
+        depth = state["depth"] + x["step"]
+        ends = gather(state, (x["step"] < 0) & (depth < state["lowest"]), x["line"])
+        return F.struct(depth.alias("depth"), F.least(state["lowest"], depth).alias("lowest"), ends)
+
+    def backwards(state: Column, x: Column) -> Column:
+        depth = state["depth"]
+        opens = gather(state, (x["step"] > 0) & (F.coalesce(state["later"], depth) >= depth), x["line"])
+        return F.struct((depth - x["step"]).alias("depth"), F.least(state["later"], depth).alias("later"), opens)
+
+    none = F.array().cast("array<int>").alias("at")
+    ends = F.aggregate("read", F.struct(F.lit(0).alias("depth"), F.lit(0).alias("lowest"), none), forwards, lambda s: s["at"])
+    opens = F.aggregate(
+        F.reverse("read"), F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("later"), none), backwards, lambda s: s["at"]
+    )
+
+    def named(rows: Column, fault: str, line=lambda x: x) -> Column:
+        return F.transform(rows, lambda x: F.struct(line(x).alias("line"), F.lit(fault).alias("fault")))
+
+    bare = F.transform("lines", lambda x: F.struct(x["line"].alias("line"), F.trim(F.regexp_replace(x["text"], r"%%.*$", "")).alias("bare")))
+    blocks = _mermaid_parts(docs, every=True).select("path", "block", F.filter(bare, lambda x: x["bare"] != "").alias("bare"))
+    read = blocks.select("path", "block", F.transform("bare", lambda x: let(F.regexp_replace(x["bare"], _QUOTED, ""), lambda q: judged(x, q))).alias("read"))
+    line = lambda x: x["line"]
+    return read.select("path", "block", F.inline(F.concat(
+        named(F.filter(F.slice("read", 1, 1), lambda x: ~F.rlike(x["bare"], F.lit(_KINDS))), "kind", line),
+        named(F.filter("read", lambda x: x["quote"]), "quote", line),
+        named(F.filter("read", lambda x: ~x["quote"] & x["bracket"]), "bracket", line),
+        named(ends, "end"), named(opens, "open"),
+    )))
 
 
 def mermaid_edges(docs: DataFrame) -> DataFrame:

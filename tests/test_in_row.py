@@ -28,3 +28,12 @@ def test_calls_and_payloads_are_read_inside_the_row(spark):
     calls = facts.agent_calls(spark.createDataFrame([("d.md", text)], "path string, text string"))
     assert "Window" not in plan_of(calls) and "Aggregate" not in plan_of(calls)
     assert sorted((r.line, r.agent, r.parsed, r.passed_required) for r in calls.collect()) == [(1, "a", True, ["KEY"]), (5, "b", False, [])]
+
+
+def test_diagram_faults_are_found_inside_the_row(spark):
+    text = "```mermaid\ngraph LR\nsubgraph a\nsubgraph b\nend\n```\n```py\nend\n```\n```mermaid\ngraph UP\nend\nsubgraph c\nx[\n%% y(\n```"
+    found = facts.diagram_faults(spark.createDataFrame([("d.md", text)], "path string, text string"))
+    assert "Window" not in plan_of(found)
+    assert sorted((r.block, r.line, r.fault) for r in found.collect()) == [
+        (1, 3, "open"), (5, 11, "kind"), (5, 12, "end"), (5, 13, "open"), (5, 14, "bracket"),
+    ]
