@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import dirname
-from .discovery import CodeIndex, WaveStore, bucket_of, noisy_symbols, number_rows, reconcile_counts, representatives, with_priority, work_folder
+from .discovery import CodeIndex, WaveStore, bucket_of, noisy_symbols, number_rows, read_places, reconcile_counts, representatives, with_priority, work_folder
 from .ordered import RowNumber, ordered_scan
 
 SYMBOL = ["symbol", "scope_file", "confidence", "priority", "origin", "origin_file", "origin_line"]
@@ -101,7 +101,9 @@ class Walk:
 
     def __init__(self, index: CodeIndex, root: str, buckets: int):
         self.spark = index.tokens.sparkSession
-        self.tokens, self.formals = with_folders(index.tokens), with_folders(index.formals)
+        self.unread = index.places is not None
+        self.laid = index.places if self.unread else index.tokens
+        self.tokens, self.formals = with_folders(self.laid), with_folders(index.formals)
         self.store = WaveStore(self.spark, root, buckets)
 
     def log(self) -> DataFrame:
@@ -134,7 +136,7 @@ class Walk:
 
     def start(self, index: CodeIndex, seeds: DataFrame) -> None:
         store = self.store
-        store.write_buckets("index", 0, index.tokens, "symbol", "file")
+        store.write_in_place("index", 0, self.laid, "symbol")
         store.write_buckets("formals", 0, index.formals, "callee", "callee_file")
         none = {"origin": "string", "origin_file": "string", "origin_line": "int"}
         rows = seeds.select("symbol").distinct().select(
@@ -172,6 +174,7 @@ class Walk:
             scoped = wanted.filter("scope_file is not null").withColumnRenamed("scope_file", "file").join(everywhere, "symbol", "left_anti")
             scoped = read(frontier.scoped).join(scoped, ["symbol", "file"])
             rows = scoped if rows is None else rows.unionByName(scoped)
+        rows = read_places(rows, "confidence") if self.unread else rows
         return self.store.write("matched", wave, rows.select("symbol", "file", "line", "confidence", "is_comment", "derived", "passed"))
 
     def seen(self, wave: int, found: DataFrame) -> DataFrame:

@@ -37,3 +37,15 @@ def test_diagram_faults_are_found_inside_the_row(spark):
     assert sorted((r.block, r.line, r.fault) for r in found.collect()) == [
         (1, 3, "open"), (5, 11, "kind"), (5, 12, "end"), (5, 13, "open"), (5, 14, "bracket"),
     ]
+
+
+def test_lines_are_read_from_hits_alone(spark):
+    long = "z = " + " + ".join(f"g{i}(a{i})" for i in range(40))
+    text = f"def f(x):\n    y = g(h(x), 'f(')\n    # x\n    {long}"
+    index = discovery.code_index(spark.createDataFrame([("a.py", text)], "path string, text string"))
+    rows = {(r.line, r.symbol): r for r in index.places.collect()}
+    assert rows[(2, "y")].text == "    y = g(h(x), 'f(')" and rows[(2, "y")].read is None
+    assert rows[(4, "a1")].text is None and rows[(4, "a1")].read.passed == [("g1", 0)]  # no long text for each name on it
+    read = {(r.line, r.symbol): r for r in index.tokens.collect()}
+    assert read[(2, "x")].derived == ["f", "y"] and read[(2, "x")].passed == [("h", 0), ("g", 0)]
+    assert read[(4, "a39")].derived == ["f", "z"] and read[(4, "a39")].passed == [("g39", 0)] and read[(3, "x")].is_comment
