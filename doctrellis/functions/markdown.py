@@ -49,7 +49,7 @@ def is_fence(line: Column | str) -> Column:
 
 
 def _is_rule(line: Column) -> Column:
-    return F.rlike(line, F.lit(r"(?U)^\s*---\s*$"))
+    return F.contains(line, F.lit("---")) & F.rlike(line, F.lit(r"(?U)^\s*---\s*$"))  # most lines need no pattern
 
 
 def _before(array: Column, position: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import markdown as M
 from ..functions.text import let, lines_of, trim_u
+from ..session import cut_lineage
 from .facts import artifact_files
 
 EXTRACTED = ("heading", "frontmatter_key", "id", "unreplaced_token")
@@ -111,12 +112,16 @@ def without_golden(sets: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def refresh_golden(old: DataFrame, actual: DataFrame) -> DataFrame:
-    """New extracted facts replace the old ones; hand-written kinds and other sets survive."""
+    """New extracted facts replace the old ones; hand-written kinds and other sets survive.
+
+    The new facts are needed twice, so they are written down: texts are parsed once.
+    """
+    actual = cut_lineage(actual.select("doc_set", "kind", "value"))
     touched = actual.select("doc_set").distinct().withColumn("_new", F.lit(True))
     kept = old.join(touched, "doc_set", "left").filter(
         F.col("_new").isNull() | ~F.col("kind").isin(*EXTRACTED)
     )
-    return kept.select("doc_set", "kind", "value").unionByName(actual.select("doc_set", "kind", "value"))
+    return kept.select("doc_set", "kind", "value").unionByName(actual)
 
 
 SHORT_BLOCK = 2000  # passages of one or two words searched for together
