@@ -64,7 +64,9 @@ def elements(docs: DataFrame, missing_category: bool = False) -> DataFrame:
         .when((F.col("_head") == "*") & F.rlike("text", F.lit(_BOLD_LINE)), "spec_group")
     )
     title = trim_u(F.regexp_replace("text", "^#+", ""))
-    typed = staged.withColumn("kind", kind).filter("kind is not null").select(
+    # Through a generator: a filter pushed below the patterns would try them several times over.
+    told = staged.select(F.inline(F.array(F.struct("path", "line", "text", kind.alias("kind")))))
+    typed = told.filter("kind is not null").select(
         "path", "line", "kind",
         F.when(F.col("kind").isin("UR", "SR"), F.regexp_extract(title, _ID, 1))
         .when(F.col("kind") == "SP", F.regexp_extract("text", _SPEC, 1)).alias("id"),

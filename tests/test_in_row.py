@@ -49,3 +49,11 @@ def test_lines_are_read_from_hits_alone(spark):
     read = {(r.line, r.symbol): r for r in index.tokens.collect()}
     assert read[(2, "x")].derived == ["f", "y"] and read[(2, "x")].passed == [("h", 0), ("g", 0)]
     assert read[(4, "a39")].derived == ["f", "z"] and read[(4, "a39")].passed == [("g39", 0)] and read[(3, "x")].is_comment
+
+
+def test_elements_try_each_pattern_once(spark):
+    from doctrellis.operators import lint
+
+    rows = lint.elements(spark.createDataFrame([("r.md", "### ＜a＞\n#### UR-1 b\n- **理由：** c")], "path string, text string"))
+    assert plan_of(rows).count("^(#+)\\s") == 1
+    assert sorted((r.line, r.kind, r.reason) for r in rows.collect()) == [(1, "category", None), (2, "UR", "c")]
