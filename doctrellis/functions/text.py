@@ -55,6 +55,44 @@ def carried(values: Column) -> Column:
     return F.flatten(let(marked, runs))
 
 
+_BLOCK = 512  # states that are put together before they are set aside
+
+
+def scanned(rows: Column, state: str, step) -> Column:
+    """The state after each element of an array; ``step(last, element)`` gives the next one, ``last`` is NULL at first.
+
+    States are collected in blocks, so the work is linear in the array for all sizes that a row
+    has, and nothing is shuffled or sorted for it.
+    """
+    none = F.array().cast(f"array<{state}>")
+    start = F.struct(none.alias("block"), F.array().cast(f"array<array<{state}>>").alias("blocks"))
+
+    def put(kept: Column, element: Column) -> Column:
+        block, full = kept["block"], F.size(kept["block"]) >= _BLOCK
+        following = F.array(step(F.get(block, F.size(block) - 1), element))
+        return F.struct(
+            F.concat(F.when(full, none).otherwise(block), following).alias("block"),
+            F.when(full, F.concat(kept["blocks"], F.array(block))).otherwise(kept["blocks"]).alias("blocks"),
+        )
+
+    return F.aggregate(rows, start, put, lambda kept: F.flatten(F.concat(kept["blocks"], F.array(kept["block"]))))
+
+
+def repeated(keys: Column) -> Column:
+    """For each element of an array of texts whether another one is equal; NULL has no equal.
+
+    Found by sorting inside the row, so an array with many equal keys is not quadratic.
+    """
+    by_key = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    marked = let(by_key, lambda s: F.transform(s, lambda x, j: F.struct(
+        x["i"].alias("i"), F.coalesce((F.get(s, j - 1)["k"] == x["k"]) | (F.get(s, j + 1)["k"] == x["k"]), F.lit(False)).alias("same"),
+    )))
+    told = F.array_compact(keys)
+    return F.when(F.size(told) == F.size(F.array_distinct(told)), F.array_repeat(F.lit(False), F.size(keys))).otherwise(
+        F.transform(F.sort_array(marked), lambda x: x["same"])
+    )
+
+
 def lines_of(c: Column | str) -> Column:
     """Array of lines; a final line break does not open another, empty line.
 

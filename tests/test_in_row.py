@@ -57,3 +57,32 @@ def test_elements_try_each_pattern_once(spark):
     rows = lint.elements(spark.createDataFrame([("r.md", "### ＜a＞\n#### UR-1 b\n- **理由：** c")], "path string, text string"))
     assert plan_of(rows).count("^(#+)\\s") == 1
     assert sorted((r.line, r.kind, r.reason) for r in rows.collect()) == [(1, "category", None), (2, "UR", "c")]
+
+
+def test_scan_goes_on_over_blocks_of_states(spark):
+    rows = [([],), (None,), (list(range(2000)),)]
+    docs = spark.createDataFrame(rows, "v array<int>")
+    sums = docs.select(T.scanned(F.col("v"), "struct<n: int>", lambda last, x: F.struct((F.coalesce(last["n"], F.lit(0)) + x).alias("n"))).alias("s")).collect()
+    assert sums[0].s == [] and sums[1].s is None and [s.n for s in sums[2].s] == [i * (i + 1) // 2 for i in range(2000)]
+
+
+def test_repeated_keys(spark):
+    rows = [([],), (["a", None, "b", "a", None],), (["a", "b"],), (["a", "b", "b", "c", "b"],)]
+    got = spark.createDataFrame(rows, "v array<string>").select(T.repeated(F.col("v")).alias("x")).collect()
+    assert [r.x for r in got] == [[], [True, False, False, True, False], [False, False], [False, True, True, False, True]]
+
+
+def test_requirements_are_linted_inside_the_row(spark):
+    from doctrellis.operators import lint
+
+    text = "\n".join(["### ＜a＞", "#### UR-1 b", "- **理由：** c"] + [f"**＜g{i}＞**\n- **SP-{i % 900}**: s{i}" for i in range(1000)])
+    docs = spark.createDataFrame([("r.md", text), ("s.md", "##### ＜x＞\n###### SR-1 y\n- **理由：** z\n- **SP-1**: a\n### ＜b＞\n- **SP-2**: b")], "path string, text string")
+    rows, rules = lint.elements(docs), lint.lint_requirements(docs)
+    for df in (rows, lint.requirement_paths(rows), rules):
+        assert "Window" not in plan_of(df) and "Aggregate" not in plan_of(df)
+    found = rules.groupBy("path", "rule").count().collect()
+    assert {r.rule: r["count"] for r in found if r.path == "r.md"} == {"id_unique": 200, "spec_under_sub_requirement": 1000, "id_namespace": 1001}
+    lines = sorted((r.rule, r.line) for r in rules.filter("path = 's.md'").collect())
+    assert lines == [("forced_two_layers", 2), ("id_namespace", 2), ("id_namespace", 4), ("id_namespace", 6), ("spec_under_sub_requirement", 6), ("sub_requirement_has_spec_group", 2)]
+    trails = {(r.path, r.line): r.trail for r in lint.requirement_paths(rows).collect()}
+    assert trails[("r.md", 5)] == "＜a＞ / UR-1 / ＜g0＞" and trails[("s.md", 4)] == "＜x＞ / SR-1" and trails[("s.md", 6)] == "＜b＞"
