@@ -120,3 +120,17 @@ def test_run_checks_selects(spark):
     agents = frame(spark, [("ag/x.md", "name: y")])
     letters = lambda c: sorted({r.check for r in references.run_checks(corpus, agents, HOME, REPO, c).collect()})
     assert letters("A") == ["A"] and letters("AB") == ["A", "B"]
+
+
+def test_calls_are_not_sorted_to_meet_their_definitions(spark):
+    docs = spark.createDataFrame([(f"d{i}.md", "subagent_type=a\n```\nKEY: 1\n```\nsubagent_type=b") for i in range(20)], "path string, text string")
+    agents = spark.createDataFrame([("x/a.md", "---\nname: a\n---\n### Inputs (provided by the caller)\n- `OTHER`: x")], "path string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = references.check_agents(docs, agents)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        got = found.groupBy("severity").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.severity: r["count"] for r in got} == {"warning": 20, "error": 20}
