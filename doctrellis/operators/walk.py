@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import dirname
-from .discovery import CodeIndex, WaveStore, bucket_of, noisy_symbols, number_rows, read_places, reconcile_counts, representatives, with_priority, work_folder
+from .discovery import CodeIndex, WaveStore, bucket_of, may_be_among, noisy_symbols, number_rows, read_places, reconcile_counts, representatives, with_priority, work_folder
 from .ordered import RowNumber, ordered_scan
 
 SYMBOL = ["symbol", "scope_file", "confidence", "priority", "origin", "origin_file", "origin_line"]
@@ -99,6 +99,8 @@ def with_folders(rows: DataFrame) -> StructType:
 class Walk:
     """Tables of one walk and the steps of a wave."""
 
+    FEW = 100_000  # symbols that Spark may send to all tasks as they are
+
     def __init__(self, index: CodeIndex, root: str, buckets: int):
         self.spark = index.tokens.sparkSession
         self.unread = index.places is not None
@@ -165,7 +167,9 @@ class Walk:
     def found(self, wave: int, frontier: Frontier) -> DataFrame:
         """Locations of the frontier's symbols; one that is searched everywhere is not searched in a file as well."""
         def read(buckets: list[int]) -> DataFrame:
-            return self.store.in_buckets("index", 0, buckets, self.tokens).drop("bucket", "wave")
+            rows = self.store.in_buckets("index", 0, buckets, self.tokens).drop("bucket", "wave")
+            # A large frontier is joined by shuffling: most of the index stays out of that.
+            return may_be_among(rows, wanted.select("symbol"), "symbol") if frontier.size > self.FEW else rows
 
         wanted = frontier.rows.select("symbol", "scope_file", "confidence")
         everywhere = wanted.filter("scope_file is null").drop("scope_file")

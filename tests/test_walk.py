@@ -154,3 +154,24 @@ def test_nearest_definition(spark):
     hits = spark.createDataFrame([("x", "a.py", n) for n in (3, 6, 9, 10, 11, 13)] + [("x", "b.py", 1)], "symbol string, file string, line int")
     got = {(r.file, r.line): (r.scope, r.scope_start) for r in discovery.in_scopes(hits, scopes).collect()}
     assert got == {("a.py", 3): ("A", 2), ("a.py", 6): ("f", 5), ("a.py", 9): ("g", 8), ("a.py", 10): ("f", 5), ("a.py", 11): ("A", 2), ("a.py", 13): (None, None), ("b.py", 1): (None, None)}
+
+
+def test_large_frontiers_leave_most_of_the_index_out(spark):
+    names = spark.range(0, 3000).selectExpr("'n' || id * 7 as symbol")
+    rows = spark.range(0, 40000).selectExpr("'n' || id as symbol", "id")
+    met = discovery.may_be_among(rows, names, "symbol")
+    assert met.columns == ["symbol", "id"]
+    assert met.filter("id % 7 = 0 and id < 21000").count() == 3000 and met.count() < 3100
+    assert discovery.may_be_among(rows, names.filter("false"), "symbol").count() == 0
+
+
+def test_index_is_written_without_a_sort(spark, tmp_path):
+    store = discovery.WaveStore(spark, str(tmp_path), 4)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    rows = spark.range(0, 1000).selectExpr("'s' || id % 50 as symbol", "id")
+    store.write_in_place("index", 0, rows, "symbol")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert store.in_buckets("index", 0, [0, 1, 2, 3], rows.schema).count() == 1000
+    one = spark.read.parquet(f"{tmp_path}/index/wave=0/bucket=1")
+    ids = [[r.id for r in part] for part in one.rdd.glom().collect()]
+    assert all(part == sorted(part) for part in ids) and len(ids) > 0
