@@ -35,7 +35,9 @@ MERMAID_FENCE = "```mermaid"
 CODE_FENCE = "```"
 ISO_DATE = r"(?U)\d{4}-\d{2}-\d{2}"
 DATE_MASK = "{DATE}"
-CONFIG_LINE = r"(?U)^-?\s*`?([A-Z_][A-Z0-9_]*)`?\s*[:=]\s*(.+)$"
+CONFIG_EDGES = r"(?U)^[\s\x1F]+|[\s\x1F]+$"  # the unit separator is white space to the loader
+CONFIG_LINE = r"(?U)^[\s\x1F]*+-?[\s\x1F]*+`?([A-Z_][A-Z0-9_]*)`?[\s\x1F]*[:=][\s\x1F]*(.+)$"
+CONFIG_NOTE = r"(?U)[\s\x1F]+#.*$"
 
 # --- fixed values: section titles and words read by the input-contract parser ----------
 REQUIRED_SECTION = "inputs (provided by the caller)"

@@ -219,9 +219,14 @@ def config_pairs(docs: DataFrame) -> DataFrame:
     def unquote(c: Column) -> Column:
         return F.regexp_replace(c, "^`+|`+$", "")
 
-    lines = md_lines(docs).withColumn("bare", trim_u("text")).filter(F.rlike("bare", F.lit(K.CONFIG_LINE)))
-    value = unquote(trim_u(F.regexp_extract("bare", K.CONFIG_LINE, 2)))
-    value = unquote(trim_u(F.regexp_replace(value, r"(?U)\s+#.*$", "")))
+    def trim(c: Column | str) -> Column:
+        return F.regexp_replace(c, K.CONFIG_EDGES, "")
+
+    # the first test spares the other lines the trim, the second one leaves out values of white space alone
+    near = md_lines(docs).filter(F.rlike("text", F.lit(K.CONFIG_LINE)))
+    lines = near.withColumn("bare", trim("text")).filter(F.rlike("bare", F.lit(K.CONFIG_LINE)))
+    value = unquote(trim(F.regexp_extract("bare", K.CONFIG_LINE, 2)))
+    value = unquote(trim(F.regexp_replace(value, K.CONFIG_NOTE, "")))
     return lines.select("path", "line", F.regexp_extract("bare", K.CONFIG_LINE, 1).alias("key"), value.alias("value"))
 
 

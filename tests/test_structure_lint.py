@@ -132,6 +132,12 @@ def test_config(spark):
     assert (typed.RUN_BUDGET, typed.MAX_PHASES) == (30.0, 10)
 
 
+def test_config_unit_separator(spark):
+    text = "\x1fA: 1\x1f\n-\x1fB\x1f=\x1f`2`\x1f# two\nC: a\x1fb\x1f \nnone"
+    pairs = facts.config_pairs(frame(spark, [("c.md", text)]))
+    assert sorted((r.line, r.key, r.value) for r in pairs.collect()) == [(1, "A", "1"), (2, "B", "2"), (3, "C", "a\x1fb")]
+
+
 def test_diagram_faults(spark):
     def faults(*lines):
         text = "before\n```mermaid\n" + "\n".join(lines) + "\n```\nafter ( "
