@@ -42,9 +42,9 @@ def line_profile(spark, folder):
 @query("last_line", f"""
 SELECT doc_id, max_by(text, line) AS last_line FROM ({_DOC_LINES}) GROUP BY 1""")
 def last_line(spark, folder):
-    """Summary line of a run's output: its last line."""
-    return table(spark, folder, "documents").select(
-        "doc_id", F.element_at(lines_of("text"), -1).alias("last_line")
+    """Summary line of a run's output: its last line; an empty output has none and so no row."""
+    return table(spark, folder, "documents").where(F.col("text").isNull() | (F.col("text") != "")).select(
+        "doc_id", F.try_element_at(lines_of("text"), F.lit(-1)).alias("last_line")
     )
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from doctrellis.functions import markdown as M
 from doctrellis.functions import text as T
 from doctrellis.functions import values as V
+from doctrellis.plans.catalog import QUERIES
 
 
 def one(spark, expr, value):
@@ -94,3 +95,10 @@ def test_values(spark):
     ).first()
     assert (row.gap, row.all, row.done, row.minor) == ("■□□", "■■■", "done", "1.3.0")
     assert row.m == {"a": "2", "h": "x"} and row.zero == 7 and (row.fine, row.bad) == (False, True)
+
+
+def test_last_line_of_empty_texts(spark, tmp_path):
+    texts = {1: "a\nb", 2: "", 3: "\n", 4: None, 5: "x\r\ny\r\n", 6: "one"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.last_line for r in QUERIES["last_line"](spark, str(tmp_path)).collect()}
+    assert got == {1: "b", 3: "", 4: None, 5: "y", 6: "one"}
