@@ -14,7 +14,7 @@ import corpus_pipeline
 from doctrellis.llm import queries
 from doctrellis.llm.byte_bpe import read_ranks
 from doctrellis.llm.components import components
-from doctrellis.llm.context_mixing import KINDS, Counts, Mixer, log_odds
+from doctrellis.llm.context_mixing import CODE, HEAD, KINDS, Counts, Mixer, before_words, decisions, edges, head_keys, heads, log_odds, spelled
 from doctrellis.llm.decontaminate import contaminated
 from doctrellis.llm.jaccard_join import folded, groups_for, jaccard_components, needed, one_per_component
 from doctrellis.llm.lm_scoring import lm_scores
@@ -184,6 +184,49 @@ def test_the_tuning_fold_reaches_the_scores(spark):
     assert per_word and min(per_word) > -2  # never seen, it costs 7 bytes
 
 
+def test_bytes_before_words():
+    rng = random.Random(1)
+    texts = [[bytes(rng.choice(b"abc\x00\xff") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 12))] + [b""] for _ in range(200)]
+    words = [w for t in texts for w in t]
+    first, last = edges(words)
+    before = before_words(last, np.array([i == 0 for t in texts for i in range(len(t))]))
+    code = lambda raw: sum((b + 1) << (CODE * i) for i, b in enumerate(raw[:HEAD]))
+    want = [code(b" ".join(t[:i])[::-1]) for t in texts for i in range(len(t))]
+    assert before.tolist() == want and first.tolist() == [code(w + b" " if w else b"\n") for w in words]
+    kinds = np.array([rng.randrange(KINDS) for _ in words])
+    for place, (keys, there, number) in enumerate(head_keys(kinds, before, first)):
+        head, of_kind = heads(keys, place)
+        assert there.tolist() == [i for i, w in enumerate(words) if len(w or b"") >= place]
+        assert of_kind[number].tolist() == kinds[there].tolist()
+        assert [bytes(x[:place + 1]) for x in head.bytes[number]] == [(words[i] + b" " if words[i] else b"\n")[:place + 1] for i in there]
+
+
+def test_contexts_cross_word_borders():
+    first, last = edges([b"one", b"word", b"ore", b"word"])
+    before = before_words(last, np.array([True, False, True, False]))[[1, 3]]  # "word" after "one" and after "ore"
+    whole, kinds = decisions(spelled([b"word"]), np.zeros(1, np.int64))[0], np.zeros(2, np.int64)
+    for place, (keys, _, number) in enumerate(head_keys(kinds, before, first[[1, 3]])):
+        head, of_kind = heads(keys, place)
+        cells = [x[number] for x in decisions(spelled(head), of_kind)[0]]
+        differ = [bool((x[0] != x[1]).any()) for x in cells]
+        assert differ == [[False, False, True, True, False, False], [False, False, False, True, False, False], [False] * 6][place]
+        assert all((x[0] == y[place]).all() for x, y in zip(cells[4:], whole[4:]))  # the word so far is the same everywhere
+    rest = decisions(spelled([b"word"], HEAD), np.zeros(1, np.int64))[0]
+    assert all((x == y[HEAD:]).all() for x, y in zip(rest, whole))
+
+
+def test_scores_follow_the_order_of_words(spark):
+    rng = random.Random(4)
+    pairs = ["kalu zu", "tiri ro", "mopa pe", "suno xi"]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    inside = " ".join(pairs * 10)
+    rows = [(i, " ".join(rng.choice(pairs) for _ in range(30))) for i in range(400) if i not in held[:2]]
+    rows += [(held[0], inside), (held[1], " ".join(sorted(inside.split())))]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right, wrong = got[held[0]], got[held[1]]
+    assert math.isclose(right.base_score, wrong.base_score, rel_tol=1e-9) and right.score > wrong.score + 10
+
+
 def stages_by_hand(spark, docs, folder):
     """The pipeline from operators' reports and plain Python; rows as {id: text}."""
     kept = {r.doc_id for r in quality_rules(docs).collect() if r.kept}
