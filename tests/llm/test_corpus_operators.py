@@ -11,7 +11,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from doctrellis.llm import queries
+from doctrellis.llm import lm_scoring, queries
+from doctrellis.llm.blocks import planes
 from doctrellis.llm.byte_bpe import read_ranks
 from doctrellis.llm.components import components
 from doctrellis.llm.context_mixing import CODE, HEAD, KINDS, Counts, Mixer, before_words, decisions, edges, head_keys, heads, log_odds, spelled
@@ -215,6 +216,21 @@ def test_contexts_cross_word_borders():
     assert all((x == y[HEAD:]).all() for x, y in zip(rest, whole))
 
 
+def test_slices_of_a_block_keep_the_bytes_before(monkeypatch):
+    rng = random.Random(2)
+    texts = [[bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 9))] + [b""] for _ in range(60)]
+    number = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    first, last = edges(list(number))
+    documents = {"counts": np.array([len(t) for t in texts]), "numbers": planes(np.array([number[w] for t in texts for w in t])),
+                 "first": planes(first), "last": planes(last)}
+    rows = lambda: [(which.start + d, *x) for which, owner, *rest in lm_scoring.read_along(documents) for d, *x in zip(owner, *rest)]
+    whole = rows()
+    assert [r[0] for r in whole] == [i for i, t in enumerate(texts) for _ in t]
+    for size in (1, 2, 7):
+        monkeypatch.setattr(lm_scoring, "TEXT_WORDS", size)
+        assert rows() == whole
+
+
 def test_scores_follow_the_order_of_words(spark):
     rng = random.Random(4)
     pairs = ["kalu zu", "tiri ro", "mopa pe", "suno xi"]
